@@ -98,6 +98,11 @@ def subject_word(name: Column | str, words: list[str]) -> Column:
     return contains_any(norm(split_camel(name)), words)
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with `value` computed once however often the body mentions it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def longest_contained(text: Column, words: list[str]) -> Column:
     """The longest of `words` contained in `text`; the earlier word wins a tie. Null if none."""
     ranked = [w for _, w in sorted(enumerate(words), key=lambda p: (-len(p[1]), p[0]))]
@@ -107,11 +112,13 @@ def longest_contained(text: Column, words: list[str]) -> Column:
 def vocabulary_hit(name: Column | str, vocabulary: list[str], action_only: list[str],
                    subject_words: list[str]) -> Column:
     """The erasure word a name carries; a bare action verb needs a subject beside it."""
-    text = norm(split_camel(name))
-    best = longest_contained(text, vocabulary)
     named = [w for w in vocabulary if w not in set(action_only)]
-    return F.when(best.isin(action_only) & ~subject_word(name, subject_words),
-                  longest_contained(text, named)).otherwise(best)
+
+    def pick(text: Column) -> Column:
+        return let(longest_contained(text, vocabulary), lambda best: F.when(
+            best.isin(action_only) & ~contains_any(text, subject_words),
+            longest_contained(text, named)).otherwise(best))
+    return let(norm(split_camel(name)), pick)
 
 
 def subject_path_segment(path: Column | str, subjects: list[str], verbs: list[str]) -> Column:
@@ -205,3 +212,17 @@ def plain_model_name(name: Column | str) -> Column:
 
 def undated_model_name(name: Column) -> Column:
     return F.regexp_replace(name, r"-20[0-9]{6}$", "")
+
+
+def norm_with_prefixes(df, name: str, prefixes: list[str], known, known_name: str):
+    """Adds `stem`: the normalised name, its app prefix gone where the rest is a known stem.
+
+    `known` holds the names whose (prefix-stripped) stems count as known.
+    """
+    stems = known.select(
+        singular(strip_prefix(base(known_name), prefixes)).alias("_k")).distinct()
+    cut = df.withColumn("_b", base(name)).withColumn("_p", strip_prefix(F.col("_b"), prefixes))
+    cut = cut.withColumn("_ps", F.when(F.col("_p") != F.col("_b"), singular(F.col("_p"))))
+    joined = cut.join(stems, cut["_ps"] == stems["_k"], "left")
+    stem = singular(F.when(F.col("_k").isNotNull(), F.col("_p")).otherwise(F.col("_b")))
+    return joined.withColumn("stem", F.regexp_replace(stem, "^_+|_+$", "")).drop("_b", "_p", "_ps", "_k")

@@ -1,0 +1,15 @@
+"""Registered queries. Importing the query modules fills the registry."""
+
+from __future__ import annotations
+
+import importlib
+
+MODULES = ("text_queries", "graph_queries")
+
+
+def load_queries():
+    from datarights.plans import registry
+
+    for name in MODULES:
+        importlib.import_module(f"datarights.plans.{name}")
+    return registry.QUERIES, registry.ORACLES
