@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,3 +63,20 @@ def literal_table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     Built as a local relation, so a join against it is a broadcast by its known size.
     """
     return spark.createDataFrame(rows, schema)
+
+
+def stage(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+    """Write `df` as a Parquet table beside the checkpoints and read it back.
+
+    Where a result is read several times for a few of its columns, this serves better than a
+    checkpoint: readers prune columns and partitions and know the table's size.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
+    path = f"{base}/stage-{uuid.uuid4().hex}"
+    writer = df.write
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
