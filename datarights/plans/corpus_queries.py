@@ -65,7 +65,7 @@ def a6_tree(spark, sf):
 
 
 @query("a7_slice_lines", f"""WITH {DOC_LINES_SQL}, r AS (SELECT doc_id, (doc_id % 5)::INT AS lo, (doc_id % 5 + quality * 6)::INT AS hi FROM labels)
-SELECT doc_id, line::INT AS line, text FROM lines JOIN r USING (doc_id) WHERE line BETWEEN greatest(lo, 1) AND CASE WHEN hi < lo THEN greatest(lo, 1) + 399 ELSE least(hi, greatest(lo, 1) + 399) END""")
+SELECT doc_id, line::INT AS line, text FROM lines JOIN r USING (doc_id) WHERE line BETWEEN greatest(lo, 1) AND CASE WHEN hi < lo OR hi <= 0 THEN greatest(lo, 1) + 399 ELSE least(hi, greatest(lo, 1) + 399) END""")
 def a7_slice_lines(spark, sf):
     requests = read(spark, sf, "labels").select("doc_id", (F.col("doc_id") % 5).cast("int").alias("lo"),
                                                 (F.col("doc_id") % 5 + F.col("quality") * 6).cast("int").alias("hi"))
@@ -95,12 +95,12 @@ def i1_grep(spark, sf):
     return co.grep(table, PATTERN, "repo_id", "path", 20)
 
 
-@query("e14_versioning", f"""WITH {DOC_LINES_SQL}, h AS (SELECT doc_id, line, CASE WHEN contains(text, 'License') THEN 'License' WHEN contains(text, 'Copyright') THEN 'Copyright' END AS literal FROM lines),
+@query("e14_versioning", f"""WITH {DOC_LINES_SQL}, h AS (SELECT doc_id, line, CASE WHEN contains(text, '@') THEN '@' WHEN contains(text, 'icense') THEN 'icense' END AS literal FROM lines),
 b AS (SELECT h.doc_id, h.line, h.literal, string_agg(l.text, chr(10) ORDER BY l.line) AS block FROM h JOIN lines l ON l.doc_id = h.doc_id AND l.line BETWEEN h.line AND h.line + 5 WHERE h.literal IS NOT NULL GROUP BY 1, 2, 3)
-SELECT doc_id, line::INT AS line, literal FROM b WHERE regexp_matches(block, '(?i)the\\s+[a-z]+\\s+of')""")
+SELECT doc_id, line::INT AS line, literal FROM b WHERE regexp_matches(block, '(?i)[a-z.]+\\s+[0-9]')""")
 def e14_versioning(spark, sf):
     table = doc_lines(spark, sf).select("doc_id", "line", "text")
-    return co.versioning(table, ["doc_id"], ["License", "Copyright"], r"(?i)the\s+[a-z]+\s+of", 5)
+    return co.versioning(table, ["doc_id"], ["@", "icense"], r"(?i)[a-z.]+\s+[0-9]", 5)
 
 
 SPANS_SQL = "spans AS (SELECT doc_id, line AS start, (line + length(text) % 4)::INT AS \"end\" FROM lines WHERE line % 2 = 1)"

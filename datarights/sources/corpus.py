@@ -113,7 +113,8 @@ def slice_lines(line_table: DataFrame, requests: DataFrame, keys: list[str], r:
     """
     limit = int((r or default_rules()).map("limits")["max_read_lines"])
     lo = F.greatest("lo", F.lit(1))
-    hi = F.when((F.col("hi").isNull()) | (F.col("hi") < F.col("lo")), lo + limit - 1).otherwise(F.least("hi", lo + limit - 1))
+    open_end = F.col("hi").isNull() | (F.col("hi") <= 0) | (F.col("hi") < F.col("lo"))
+    hi = F.when(open_end, lo + limit - 1).otherwise(F.least("hi", lo + limit - 1))
     wanted = requests.select(*keys, "lo", "hi", F.explode(F.sequence(lo, hi)).alias("line"))
     return wanted.join(line_table, [*keys, "line"])
 
