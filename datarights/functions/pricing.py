@@ -17,8 +17,8 @@ def resolve_model(df: DataFrame, name: str, prices: DataFrame, aliases: DataFram
     plain = plain_model_name(name)
     first = look.select(F.col("_k").alias("_k1"), F.col("_to").alias("_m1"))
     second = look.select(F.col("_k").alias("_k2"), F.col("_to").alias("_m2"))
-    return (df.join(F.broadcast(first), plain == F.col("_k1"), "left")
-            .join(F.broadcast(second), undated_model_name(plain) == F.col("_k2"), "left")
+    return (df.join(first, plain == F.col("_k1"), "left")
+            .join(second, undated_model_name(plain) == F.col("_k2"), "left")
             .withColumn("model", F.coalesce("_m1", "_m2")).drop("_k1", "_k2", "_m1", "_m2"))
 
 
@@ -37,5 +37,5 @@ def price_usage(usage: DataFrame, prices: DataFrame) -> DataFrame:
              + dec("cache_read") * rate * F.lit("0.1").cast("decimal(2,1)")
              + (dec("cache_write") - hourly) * rate * F.lit("1.25").cast("decimal(3,2)")
              + hourly * rate * F.lit("2").cast("decimal(1,0)"))
-    return (usage.join(F.broadcast(prices), "model", "left")
+    return (usage.join(prices, "model", "left")
             .withColumn("micro_usd", micro.cast("decimal(30,6)")).drop("price_in", "price_out"))

@@ -9,7 +9,7 @@ from datarights.functions import text as t
 from datarights.operators.graph import all_modes, closure, mode_array, package_seeds
 from datarights.operators.inventory import first_literal, literals, matches_suffix, null, settings_facts, union
 from datarights.operators.resolve import Code, call_edges, dotted_of, head_of, join_name, lookup, model_of, tail_of
-from datarights.session import stage
+from datarights.session import rule_table, stage
 from datarights.sources.rules import Rules
 
 COLUMNS = ["repo_id", "src", "dst", "kind", "file", "line", "rule", "ambiguous", "modes", "sets_mode", "hub", "note"]
@@ -137,10 +137,10 @@ def enforcing_engines(code: Code, engines: DataFrame, r: Rules) -> DataFrame:
 def match_primitives(code: Code, r: Rules) -> DataFrame:
     """Calls against deletion patterns: one row per (call, pattern) that fits, with the order tried."""
     rows = [(int(o), k, p, p.split(".")[-1], a, m, rule) for o, k, p, a, m, rule in r.rows("primitives")]
-    table = code.imports.sparkSession.createDataFrame(rows, "ord int, store_kind string, pattern string, tail string, arg0_call string, sets string, prim_rule string")
+    table = rule_table(code.imports.sparkSession, rows, "ord int, store_kind string, pattern string, tail string, arg0_call string, sets string, prim_rule string")
     tails = sorted({x[3] for x in rows})
     calls = code.calls.where(F.col("name").isin(tails))
-    joined = calls.join(F.broadcast(table), calls["name"] == table["tail"])
+    joined = calls.join(table, calls["name"] == table["tail"])
     dotted = F.coalesce(F.nullif("dotted", F.lit("")), "name")
     return joined.where(t.call_matches(dotted, F.col("name"), F.col("pattern")))
 
@@ -243,9 +243,9 @@ def synthetic_edges(code: Code, stores: DataFrame, relations: DataFrame, entries
     parent = node.select("repo_id", F.col("store_id").alias("parent"), F.col("node").alias("src"))
     child = node.select("repo_id", F.col("store_id").alias("child"), F.col("node").alias("dst"))
     rel = relations.join(parent, ["repo_id", "parent"]).join(child, ["repo_id", "child"]).join(enforcing.withColumn("_enf", F.lit(True)), ["repo_id"], "left")
-    tokens = code.imports.sparkSession.createDataFrame([(a, b, c, d, e) for a, b, c, d, e in r.rows("on_delete")], "token string, is_edge boolean, edge_kind string, edge_rule string, sets string")
+    tokens = rule_table(code.imports.sparkSession, [(a, b, c, d, e) for a, b, c, d, e in r.rows("on_delete")], "token string, is_edge boolean, edge_kind string, edge_rule string, sets string")
     rows_deleted = mode_array(["model_delete", "queryset_delete"])
-    fk = rel.where("kind = 'fk' AND token <> ''").join(F.broadcast(tokens), ["token"]).where("is_edge")
+    fk = rel.where("kind = 'fk' AND token <> ''").join(tokens, ["token"]).where("is_edge")
     parts = [edge_rows(fk, F.col("edge_kind"), F.col("edge_rule"), rows_deleted, sets_mode=F.nullif("sets", F.lit("")), note=F.concat(F.lit("on_delete="), "token"))]
     ddl = rel.where("kind = 'fk' AND token = ''").where(t.norm("ondelete") == "cascade")
     parts.append(edge_rows(ddl.where("_enf"), "SE7", "R6", all_modes()))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from datarights.session import cut
+
 
 def _windows(keys: list[str], order: list[str]):
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
@@ -27,6 +29,7 @@ def in_order(df: DataFrame, keys: list[str], order: list[str], bucket: Column, *
     upcoming: name -> value whose smallest non-null among this and later rows is wanted.
     """
     sums, previous, upcoming = sums or {}, previous or {}, upcoming or {}
+    kept = df.columns
     df = df.withColumn("_bucket", bucket)
     for i, value in enumerate(sums.values()):
         df = df.withColumn(f"_v{i}", value)
@@ -64,8 +67,22 @@ def in_order(df: DataFrame, keys: list[str], order: list[str], bucket: Column, *
     for i, name in enumerate(previous):
         out[name] = F.when(F.col("_rn") > 1, F.col(f"_p{i}.x")).otherwise(F.col(f"_ol{i}.x"))
     for i, name in enumerate(upcoming):
-        out[name] = F.coalesce(F.col(f"_q{i}"), F.col(f"_om{i}"))
-    return joined.withColumns(out).drop(*[c for c in joined.columns if c.startswith("_")])
+        out[name] = F.least(F.col(f"_q{i}"), F.col(f"_om{i}"))
+    return joined.withColumns(out).select(*kept, *out)
+
+
+def placed(df: DataFrame, keys: list[str], order: list[str], *, number: str | None = None, sums: dict[str, Column] | None = None) -> DataFrame:
+    """`in_order` for data with no natural bucket: a range sort over (keys, order) makes one.
+
+    The sorted layout is written before its parts are used as buckets, so that a recomputed
+    task cannot cut it elsewhere.
+    """
+    spread = df.repartitionByRange(*keys, *order) if keys or order else df
+    laid = cut(spread.withColumn("_part", F.spark_partition_id()))
+    if keys:
+        return in_order(laid, keys, order, F.col("_part"), number=number, sums=sums).drop("_part")
+    one = laid.withColumn("_all", F.lit(0))
+    return in_order(one, ["_all"], order, F.col("_part"), number=number, sums=sums).drop("_part", "_all")
 
 
 def hour_bucket(ts: str) -> Column:

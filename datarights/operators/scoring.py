@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from datarights.functions.text import norm, singular, strip_prefix, base
@@ -68,14 +68,14 @@ def rekey(claims: DataFrame, truth_stores: DataFrame, run: list[str], prefixes:
     stores = stores.join(named, [*case, "store"], "left")
     files = (truth_stores.where("name LIKE '%.%'").groupBy(*case, "file", "line")
              .agg(F.min(norm("name")).alias("_file_store")))
-    stores = stores.join(files.select(*case, F.col("file").alias("_f"), F.col("line").alias("_l"), "_file_store"),
-                         [stores[c] == files[c] for c in case] + [F.col("declared_at.file") == F.col("_f"), F.col("declared_at.line") == F.col("_l")],
-                         "left").drop(*[files[c] for c in case])
+    stores = stores.withColumn("_f", F.col("declared_at.file")).withColumn("_l", F.col("declared_at.line"))
+    stores = stores.join(files.select(*case, F.col("file").alias("_f"), F.col("line").alias("_l"), "_file_store"), [*case, "_f", "_l"], "left")
     taken = stores.select(*run, F.col("store").alias("_file_store"), F.lit(True).alias("_taken")).distinct()
     stores = stores.join(taken, [*run, "_file_store"], "left")
     free = F.col("_known").isNull() & F.col("_file_store").isNotNull() & F.col("_taken").isNull()
-    first = F.min(F.when(free, F.col("store_pos"))).over(Window.partitionBy(*run, "_file_store"))
-    stores = stores.withColumn("store", F.when(free & (F.col("store_pos") == first), F.col("_file_store")).otherwise(F.col("store")))
+    first = stores.where(free).groupBy(*run, "_file_store").agg(F.min("store_pos").alias("_first"))
+    stores = stores.join(first, [*run, "_file_store"], "left")
+    stores = stores.withColumn("store", F.when(free & (F.col("store_pos") == F.col("_first")), F.col("_file_store")).otherwise(F.col("store")))
     return (claims.join(stores.select(*run, "store_pos", "store"), [*run, "store_pos"])
             .withColumn("field", norm("field_name")))
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from datarights.operators.ordered import placed
 from datarights.operators.scoring import count_if
 
 #: Budgets a run may not exceed.
@@ -98,8 +99,8 @@ def bootstrap(pairs: DataFrame, resamples: int, seed: int = 20260830) -> DataFra
         index = min(resamples - 1, max(0, int(q * resamples)))
         return F.max(F.when(F.col("rank") == index, F.col("d")))
     interval = ranked.agg(at(0.025).alias("lo"), at(0.975).alias("hi"))
-    mean = pairs.agg((F.avg("a") - F.avg("b")).alias("delta_mean"))
-    return mean.crossJoin(interval)  # one row beside one row
+    mean = pairs.agg(F.avg("a") - F.avg("b")).scalar()
+    return interval.select(mean.alias("delta_mean"), "lo", "hi")
 
 
 def nearest_rank(df: DataFrame, value: str, q: float, by: list[str]) -> DataFrame:
@@ -108,12 +109,18 @@ def nearest_rank(df: DataFrame, value: str, q: float, by: list[str]) -> DataFram
     Equal values are counted first, so a hot group is ranked over its distinct values only.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_k"))
-    w = Window.partitionBy(*by).orderBy(value)
-    ranked = counted.select(*by, value, F.sum("_k").over(w).alias("_upto"), F.sum("_k").over(Window.partitionBy(*by)).alias("_n"))
+    ranked = placed(counted, by, [value], sums={"_upto": F.col("_k")})
+    totals = counted.groupBy(*by).agg(F.sum("_k").alias("_n"))
+    ranked = ranked.join(totals, by)
     index = F.least(F.col("_n") - 1, F.greatest(F.lit(0), F.floor(F.lit(q) * F.col("_n"))))
     return ranked.where(F.col("_upto") > index).groupBy(*by).agg(F.min(value).alias("value"))
 
 
+def indexed(df: DataFrame, order: list[str]) -> DataFrame:
+    """Adds `idx`, 0 and up in the given order, without sorting everything in one task."""
+    return placed(df, [], order, number="_at").withColumn("idx", F.col("_at") - 1).drop("_at")
+
+
 def cost_source(rows: DataFrame, by: list[str]) -> DataFrame:
     """The weakest of the sources: one unpriced run makes the column unpriceable."""
     rank = F.when(F.col("cost_source") == "unpriced", 0).when(F.col("cost_source") == "cli_estimate", 1).otherwise(2)
@@ -163,10 +170,9 @@ def compare_results(previous: DataFrame, current: DataFrame, resamples: int, see
     """
     old = previous.select("case", F.col("f1").alias("b"), F.col("passed").alias("was"), F.col("false_safe").alias("fs_old"))
     both = current.select("case", F.col("f1").alias("a"), F.col("passed").alias("now"), F.col("false_safe").alias("fs_new")).join(old, "case")
-    pairs = both.select((F.row_number().over(Window.orderBy("case")) - 1).alias("idx"), "a", "b")  # one row per case
-    moved = both.agg(F.count("*").alias("paired"), (F.sum("fs_new") - F.sum("fs_old")).alias("false_safe_change"),
-                     count_if(F.col("was") & ~F.col("now")).alias("regressions"))
-    return bootstrap(pairs, resamples, seed).crossJoin(moved)
+    pairs = indexed(both.select("case", "a", "b"), ["case"])
+    moved = {"paired": F.count("*"), "false_safe_change": F.sum("fs_new") - F.sum("fs_old"), "regressions": count_if(F.col("was") & ~F.col("now"))}
+    return bootstrap(pairs, resamples, seed).withColumns({name: both.agg(value).scalar() for name, value in moved.items()})
 
 
 def failed_runs(runs: DataFrame, diagnoses: DataFrame, keys: list[str]) -> DataFrame:

@@ -17,7 +17,7 @@ from datarights.operators.graph import first_paths, paths, reach
 from datarights.operators.inventory import detect_stores, null, settings_facts, union
 from datarights.operators.resolve import Code, hub_members, propagate_bindings, references, tail_of, unmodelled
 from datarights.operators.scoring import BACKUP_ONLY, REACHING
-from datarights.session import stage
+from datarights.session import rule_table, stage
 from datarights.sources.rules import Rules, rules as default_rules
 
 JOBS = ["cli", "task"]
@@ -137,9 +137,9 @@ def parse_days(code: Code, jobs: DataFrame, r: Rules) -> DataFrame:
     constant; else a retention constant of the job's own module. `jobs`: repo_id, symbol, module.
     """
     spark = code.imports.sparkSession
-    units = spark.createDataFrame([(str(a), int(b), int(c)) for a, b, c in r.rows("day_kwargs")], "k string, per int, ord int")
+    units = rule_table(spark, [(str(a), int(b), int(c)) for a, b, c in r.rows("day_kwargs")], "k string, per int, ord int")
     c = code.calls.select("repo_id", F.col("caller").alias("symbol"), "module", "line", "dotted", F.explode("kw").alias("k", "a")).join(jobs.select("repo_id", "symbol"), ["repo_id", "symbol"], "left_semi")
-    c = c.join(F.broadcast(units), ["k"])
+    c = c.join(units, ["k"])
     lits = code.assigns.where("scope IS NULL AND value_kind = 'literal'").select("repo_id", "module", F.col("target").alias("short"), "seq", "value")
     own = lits.groupBy("repo_id", "module", "short").agg(F.min_by("value", "seq").alias("_own"))
     anywhere = lits.groupBy("repo_id", "short").agg(F.min_by("value", F.struct("module", "seq")).alias("_any"))
@@ -384,10 +384,10 @@ def forwarding(estate: Estate, steps: DataFrame, hit: DataFrame, r: Rules) -> Da
     """repo_id, store_id, _forwards: a third party told, by literal, to delete downstream as well."""
     spark = steps.sparkSession
     kinds = [(name, f) for name, _r, _i, _t, _s, _d, forward in r.rows("recipients") for f in forward]
-    wanted = spark.createDataFrame(kinds, "store_id string, value string")
+    wanted = rule_table(spark, kinds, "store_id string, value string")
     on = hit.select("repo_id", F.col("hit.entry").alias("entry"), F.col("node").alias("target"))
     said = steps.join(on, ["repo_id", "entry", "target"], "left_semi").withColumn("value", F.substring_index("note", "|", -1)).withColumn("store_id", F.regexp_replace("target", "^store:", ""))
-    return said.join(F.broadcast(wanted), ["store_id", "value"], "left_semi").select("repo_id", "store_id", F.lit(True).alias("_forwards")).distinct()
+    return said.join(wanted, ["store_id", "value"], "left_semi").select("repo_id", "store_id", F.lit(True).alias("_forwards")).distinct()
 
 
 def explain(estate: Estate, found: dict[str, DataFrame], r: Rules | None = None) -> DataFrame:

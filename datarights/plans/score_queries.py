@@ -157,9 +157,8 @@ def per_case(spark, sf):
 SELECT round((SELECT avg(d) FROM pairs), 6) AS delta_mean, round(max(d) FILTER (k = {int(0.025 * RESAMPLES)}), 6) AS lo, round(max(d) FILTER (k = {int(0.975 * RESAMPLES)}), 6) AS hi FROM rk""")
 def f11_bootstrap(spark, sf):
     means = per_case(spark, sf).groupBy("case").pivot("arm", ARMS).agg(F.first("f1"))
-    from pyspark.sql import Window
-    pairs = means.select((F.row_number().over(Window.orderBy("case")) - 1).alias("idx"), F.col("plain").alias("a"), F.col("long").alias("b"))
-    out = st.bootstrap(pairs.where("a IS NOT NULL AND b IS NOT NULL"), RESAMPLES)
+    pairs = means.select("case", F.col("plain").alias("a"), F.col("long").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    out = st.bootstrap(st.indexed(pairs, ["case"]), RESAMPLES)
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 

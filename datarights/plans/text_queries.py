@@ -8,6 +8,7 @@ from datarights.functions import text as t
 from datarights.functions.pricing import price_usage, resolve_model
 from datarights.plans.registry import query, read
 from datarights.plans.sqltext import s_array, s_base, s_list, s_norm_of
+from datarights.session import rule_table
 from datarights.sources.rules import rules
 
 R = rules()
@@ -112,9 +113,9 @@ WITH {FIELDS_SQL} SELECT category, count(*) AS n FROM
 (SELECT CASE {CATEGORY_CASE} ELSE 'unclassified' END AS category FROM fn) GROUP BY category""")
 def b6_category(spark, sf):
     rows = [(t.py_norm(n), cat) for cat, names in R.rows("categories") for n in names]
-    taxonomy = spark.createDataFrame(sorted(dict(reversed(rows)).items()), "stem string, category string")
+    taxonomy = rule_table(spark, sorted(dict(reversed(rows)).items()), "stem string, category string")
     fields = customer_fields(spark, sf).groupBy("field").agg(F.count("*").alias("k"))
-    named = fields.withColumn("stem", t.norm("field")).join(F.broadcast(taxonomy), "stem", "left")
+    named = fields.withColumn("stem", t.norm("field")).join(taxonomy, "stem", "left")
     return (named.groupBy(F.coalesce("category", F.lit("unclassified")).alias("category"))
             .agg(F.sum("k").alias("n")))
 

@@ -57,12 +57,11 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return df
 
 
-def literal_table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
-    """A small rule table; its size is fixed by the rule files, not by the data.
-
-    Built as a local relation, so a join against it is a broadcast by its known size.
-    """
-    return spark.createDataFrame(rows, schema)
+def rule_table(spark: SparkSession, rows: list, schema: str, limit: int = 5_000) -> DataFrame:
+    """A table of rule rows to join by broadcast: its size is that of a rule file, and checked."""
+    if len(rows) > limit:
+        raise ValueError(f"{len(rows)} rule rows; load them as an ordinary table instead")
+    return F.broadcast(spark.createDataFrame(rows, schema))
 
 
 def stage(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:

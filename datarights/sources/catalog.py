@@ -17,10 +17,10 @@ def scan_catalog(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame
 def write_inventory(df: DataFrame, path: str, fmt: str = "parquet", buckets: int = 64, draft: bool = False) -> None:
     """Write an inventory table, laid out by a hash bucket of the repository.
 
-    A rejected record goes beside the accepted ones, under `draft=true`, never over them.
+    A rejected record goes beside the accepted ones, under `state=draft`, never over them.
     """
-    out = df.withColumn("draft", F.lit(draft)).withColumn("bucket", F.pmod(F.xxhash64("repo_id"), F.lit(buckets)))
-    out.repartition("bucket").write.mode("append").partitionBy("draft", "bucket").format(fmt).save(path)
+    out = df.withColumn("state", F.lit("draft" if draft else "accepted")).withColumn("bucket", F.pmod(F.xxhash64("repo_id"), F.lit(buckets)))
+    out.repartition("bucket").write.mode("append").partitionBy("state", "bucket").format(fmt).save(path)
 
 
 def write_report(lines: DataFrame, path: str) -> None:

@@ -23,6 +23,20 @@ def scan_corpus(spark: SparkSession, root: str, pattern: str | None = None) -> D
         F.col("length").alias("n_bytes"), "content")
 
 
+def with_package_markers(files: DataFrame) -> DataFrame:
+    """Adds an empty `__init__.py` for every directory of Python files that shows none.
+
+    Spark's file sources never list empty files, and most package markers are empty. Without
+    them `import app` would look like a foreign package.
+    """
+    py = files.where(F.col("path").endswith(".py") & F.col("path").contains("/"))
+    parts = F.split("path", "/")
+    dirs = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    marks = py.select("repo_id", F.explode(dirs).alias("dir")).distinct().select("repo_id", F.concat("dir", F.lit("/__init__.py")).alias("path"))
+    new = marks.join(files.select("repo_id", "path"), ["repo_id", "path"], "left_anti")
+    return files.unionByName(new.select("repo_id", "path", F.lit(0).cast("bigint").alias("n_bytes"), F.lit(b"").alias("content")))
+
+
 def _glob(pattern: str) -> str:
     """A file glob as a regular expression over one whole string; `*` crosses `/`."""
     out = "".join({"*": ".*", "?": "."}.get(c, "\\" + c if c in r".+()[]{}^$|\\" else c) for c in pattern)

@@ -14,7 +14,7 @@ def read_traces(spark: SparkSession, path: str, mode: str = "drop") -> DataFrame
     `drop` keeps the good lines only; `strict` keeps every line with what is wrong with it.
     A file is read whole so that its line numbers are its own; logs are one run each.
     """
-    whole = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     parts = F.split("value", "\n")
     kept = F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
     rows = whole.select(F.col("_metadata.file_path").alias("file"), F.posexplode(kept).alias("pos", "text"))
