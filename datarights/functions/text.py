@@ -169,13 +169,29 @@ def tokens(text: Column | str) -> Column:
                        lambda t: norm(t))
 
 
+def tokens_like(text: Column | str, stems: Column) -> Column:
+    """The normalised tokens of a line that could equal one of `stems`.
+
+    Normalising changes the end of a word and its underscores only, so a token must contain
+    the stem's first segment (a single segment without its last letter) to be worth it.
+    """
+    heads = F.transform(stems, lambda s: F.when(s.contains("_"), F.substring_index(s, "_", 1)).otherwise(
+        F.substr(s, F.lit(1), F.greatest(F.length(s) - 1, F.lit(0)))))
+    words = F.regexp_extract_all(_c(text), F.lit("[A-Za-z0-9_]+"), F.lit(0))
+    near = let(heads, lambda hs: F.filter(words, lambda w: F.exists(hs, lambda h: F.lower(w).contains(h))))
+    return F.transform(near, lambda w: norm(w))
+
+
+def symbol_parts(symbol: Column) -> Column:
+    return F.filter(F.transform(F.split(symbol, r"\."), lambda p: norm(p)), lambda p: p != "")
+
+
 def line_contains(text: Column, symbol: Column) -> Column:
     """The symbol is one of the line's tokens, or every part of a dotted symbol is."""
-    found = tokens(text)
-    parts = F.filter(F.transform(F.split(symbol, r"\."), lambda p: norm(p)), lambda p: p != "")
-    whole = F.array_contains(found, norm(symbol))
-    dotted = (F.size(parts) > 1) & (F.size(F.array_except(parts, found)) == 0)
-    return F.coalesce(whole | dotted, F.lit(False))
+    def test(want: Column) -> Column:
+        found = tokens_like(text, F.concat(F.array(want["whole"]), want["parts"]))
+        return let(found, lambda f: F.array_contains(f, want["whole"]) | ((F.size(want["parts"]) > 1) & (F.size(F.array_except(want["parts"], f)) == 0)))
+    return F.coalesce(let(F.struct(norm(symbol).alias("whole"), symbol_parts(symbol).alias("parts")), test), F.lit(False))
 
 
 def call_matches(dotted: Column, name: Column, pattern: Column) -> Column:

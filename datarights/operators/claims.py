@@ -49,10 +49,11 @@ def check_citations(cites: DataFrame, files: DataFrame, line_table: DataFrame, s
              .when(F.col("has_symbol") & (stem == ""), "no symbol"))
     seen = seen.withColumn("_early", early)
     open_ = enclosing_span(seen.where("_early IS NULL AND has_symbol").select("cite_id", *keys, "line", "symbol"), spans, keys)
-    parts = F.filter(F.transform(F.split("symbol", r"\."), lambda p: t.norm(p)), lambda p: p != "")
-    rows = open_.select("cite_id", *keys, t.norm("symbol").alias("_want"), parts.alias("_parts"), F.explode(
+    rows = open_.select("cite_id", *keys, t.norm("symbol").alias("_want"), t.symbol_parts(F.col("symbol")).alias("_parts"), F.explode(
         F.sequence(F.coalesce("start", "line"), F.coalesce("end", "line"))).alias("line"))
-    read = rows.join(line_table.select(*keys, "line", t.tokens("text").alias("_tok")), [*keys, "line"])
+    # Tokens are made after the join: cited lines only, and of those only words near the symbol.
+    read = rows.join(line_table.select(*keys, "line", "text"), [*keys, "line"])
+    read = read.withColumn("_tok", t.tokens_like("text", F.concat(F.array("_want"), "_parts")))
     found = read.groupBy("cite_id").agg(
         F.bool_or(F.array_contains("_tok", F.col("_want"))).alias("_whole"), F.first("_parts").alias("_parts"),
         F.flatten(F.collect_set(F.array_intersect("_parts", "_tok"))).alias("_got"))

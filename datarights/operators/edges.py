@@ -9,7 +9,7 @@ from datarights.functions import text as t
 from datarights.operators.graph import all_modes, closure, mode_array, package_seeds
 from datarights.operators.inventory import first_literal, literals, matches_suffix, null, settings_facts, union
 from datarights.operators.resolve import Code, call_edges, dotted_of, head_of, join_name, lookup, model_of, tail_of
-from datarights.session import rule_table, stage
+from datarights.session import rule_table, stage, stage_all
 from datarights.sources.rules import Rules
 
 COLUMNS = ["repo_id", "src", "dst", "kind", "file", "line", "rule", "ambiguous", "modes", "sets_mode", "hub", "note"]
@@ -212,8 +212,7 @@ def raw_targets(calls: DataFrame, stores: DataFrame) -> DataFrame:
 def primitives(code: Code, stores: DataFrame, relations: DataFrame, bindings: DataFrame, r: Rules) -> DataFrame:
     """repo_id, store_id, caller, file, line, call, mode, rule: one store at most per call (recipients aside)."""
     hits = stage(match_primitives(code, r))
-    rel = stage(relational_targets(code, hits, stores, relations, bindings, r))
-    keyed = stage(keyed_targets(code, hits, stores, r))
+    rel, keyed = stage_all([relational_targets(code, hits, stores, relations, bindings, r), keyed_targets(code, hits, stores, r)])
     by_key = hits.where("store_kind <> 'relational'").select("repo_id", "call_id", "store_kind", "ord", F.nullif("sets", F.lit("")).alias("mode"), F.col("prim_rule").alias("rule")).join(
         keyed, ["repo_id", "call_id", "store_kind"]).select("repo_id", "call_id", "ord", "store_id", "mode", "rule")
     # `row.field.delete()` on a file field goes first and takes the call.
@@ -291,7 +290,7 @@ def synthetic_edges(code: Code, stores: DataFrame, relations: DataFrame, entries
     parts.append(edge_rows(sent, "SE11", "CG-16", all_modes(), src=F.col("caller"), file=F.col("path")))
     prim = prims.join(node.select("repo_id", "store_id", F.col("node").alias("dst")), ["repo_id", "store_id"])
     parts.append(edge_rows(prim, "SE12", F.col("rule"), all_modes(), src=F.col("caller"), sets_mode=F.col("mode"), note=F.concat_ws("|", "call", "forwards")))
-    return union([stage(p) for p in parts]), flags
+    return union(stage_all(parts)), flags
 
 
 def build_edges(code: Code, synthetic: DataFrame) -> DataFrame:

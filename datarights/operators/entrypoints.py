@@ -9,7 +9,7 @@ from datarights.functions import text as t
 from datarights.operators.inventory import null, union
 from datarights.operators.resolve import Code, dotted_of, head_of, join_name, lookup, tail_of
 from datarights.sources.rules import Rules
-from datarights.session import stage
+from datarights.session import stage, stage_all
 
 COLUMNS = ["repo_id", "name", "kind", "file", "line", "symbol", "admin_only", "sets_mode", "path", "models", "flags", "ord"]
 
@@ -155,8 +155,9 @@ def entry_points(code: Code, stores: DataFrame, schedules: DataFrame, r: Rules,
     # 8 unclaimed functions
     free = s.where("owner IS NULL AND NOT nested").where(vocabulary("name", r).isNotNull())
     loose = _rows(free, "unknown", None, 10)
-    found = union([stage(p) for p in (routes, rules_, viewsets, urls, delete_views, commands, clicks, task_rows, loose)] + [d(code) for d in detectors or []])
-    admin = admin_entry_points(code, stores, r)
+    found = stage_all([routes, rules_, viewsets, urls, delete_views, commands, clicks, task_rows, loose, admin_entry_points(code, stores, r)])
+    admin = found.pop()
+    found = union(found + [d(code) for d in detectors or []])
     # Detectors that claim a symbol keep it from later ones; several rows of one detector stay.
     first = found.where("symbol IS NOT NULL").groupBy("repo_id", "symbol").agg(F.min("ord").alias("_first"))
     # A viewset, delete view or command always registers, whoever claimed the symbol before.

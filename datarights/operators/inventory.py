@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from datarights.functions import text as t
 from datarights.operators.resolve import Code, head_of, join_name, lookup, resolve_constants, tail_of
-from datarights.session import stage
+from datarights.session import stage, stage_all
 from datarights.sources.rules import Rules
 
 STORE = ["repo_id", "kind", "id", "name", "model", "identity", "file", "line", "link_file", "link_line", "client", "flag", "ord"]
@@ -416,13 +416,13 @@ def detect_stores(code: Code, r: Rules, detectors: list | None = None) -> tuple[
     parts = [relational(code, models, r)] + [d(code, r) for d in (buckets, caches, indexes, queues, recipients, logs, backups)]
     parts += [d(code) for d in detectors or []]
     # Every detector is a job of its own: written once, small plans, no shared recomputation.
-    parts = [(stage(s), stage(f)) for s, f in parts]
+    flat = stage_all([df for pair in parts for df in pair])
+    parts = list(zip(flat[::2], flat[1::2]))
     merged = stage(merge_stores(union([s for s, _ in parts])))
     ids = merged.select("repo_id", "kind", F.col("raw_id").alias("id"), "store_id")
     fields = union([f for _, f in parts]).join(ids, ["repo_id", "kind", "id"])
     fields = fields.groupBy("repo_id", "store_id", "kind", "field").agg(F.min(F.struct("line", "file", "declared", "flag")).alias("f")).select("repo_id", "store_id", "kind", "field", "f.*")
-    fields = stage(fields.withColumn("guard", guard_of("field", r)))
-    rel = stage(relations(code, models, core, r))
+    fields, rel = stage_all([fields.withColumn("guard", guard_of("field", r)), relations(code, models, core, r)])
     auth = settings_facts(code, r)["user_model"]
     strong = fields.where("guard = 'strong'").select("repo_id", "store_id", F.lit(True).alias("_strong")).distinct()
     about = models.select("repo_id", F.col("cls").alias("model"), "short", "subject_base")

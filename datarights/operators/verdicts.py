@@ -17,7 +17,7 @@ from datarights.operators.graph import first_paths, paths, reach
 from datarights.operators.inventory import detect_stores, null, settings_facts, union
 from datarights.operators.resolve import Code, hub_members, propagate_bindings, references, tail_of, unmodelled
 from datarights.operators.scoring import BACKUP_ONLY, REACHING
-from datarights.session import rule_table, stage
+from datarights.session import rule_table, stage, stage_all
 from datarights.sources.rules import Rules, rules as default_rules
 
 JOBS = ["cli", "task"]
@@ -47,15 +47,14 @@ def build_estate(code: Code, versioning: DataFrame, r: Rules | None = None, stor
     """Inventory, entry points and the edge table; each stage is written once."""
     r = r or default_rules()
     stores, fields, relations = detect_stores(code, r, store_detectors)
-    settings = {k: stage(v) for k, v in settings_facts(code, r).items()}
+    settings = settings_facts(code, r)
+    settings = dict(zip(settings, stage_all(list(settings.values()))))
     entries = entry_points(code, stores, settings["schedules"], r, entry_detectors)
-    tasks = stage(task_table(code, r))
-    heard = stage(receivers(code, loaded_modules(code, settings["apps"]), r))
+    tasks, heard, enforcing = stage_all([task_table(code, r), receivers(code, loaded_modules(code, settings["apps"]), r), enforcing_engines(code, settings["engines"], r)])
     sent = heard.where("sender IS NOT NULL").groupBy("repo_id", "symbol").agg(F.min("sender").alias("model")).withColumn("var", F.lit("instance"))
     bindings = code.bindings.unionByName(sent.join(code.bindings.select("repo_id", "symbol", "var"), ["repo_id", "symbol", "var"], "left_anti"))
     bindings = stage(bindings)
     prims = stage(primitives(code, stores, relations, bindings, r))
-    enforcing = stage(enforcing_engines(code, settings["engines"], r))
     synthetic, flags = synthetic_edges(code, stores, relations, entries, prims, settings, heard, enforcing, tasks, r)
     return Estate(code, stores, fields, relations, settings, entries, tasks, bindings, heard, prims, build_edges(code, synthetic),
                   hub_members(code.symbols), stage(flags), stage(versioning))
@@ -213,7 +212,7 @@ def verdicts(estate: Estate, r: Rules | None = None, extra_starts: DataFrame | N
     writes = stage(writes_on(estate, walked, r))
     columns = stage(columns_under_test(stores, estate.fields, code, claimed))
     anon, field_verdicts = anonymisation(stores, columns, writes, relations)
-    anon, field_verdicts = stage(anon), stage(field_verdicts)
+    anon, field_verdicts = stage_all([anon, field_verdicts])
     user_writes = writes_on(estate, walked.where(~F.col("entry_kind").isin(JOBS)), r).where("write = 'marker'")
     marks = stage(stores.where("model IS NOT NULL").select("repo_id", "store_id", "model").join(user_writes, ["repo_id", "model"]).groupBy("repo_id", "store_id").agg(
         F.min(F.struct("file", "line", "column")).alias("mark")))

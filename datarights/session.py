@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,3 +80,12 @@ def stage(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stage_all(frames: list[DataFrame], threads: int = 6) -> list[DataFrame]:
+    """Stage independent tables side by side, so that small jobs fill the cluster together."""
+    if not frames:
+        return []
+    ensure_checkpoint_dir(frames[0].sparkSession)
+    with ThreadPoolExecutor(max_workers=threads) as pool:
+        return list(pool.map(stage, frames))

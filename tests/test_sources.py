@@ -29,7 +29,7 @@ def tree(tmp_path):
 
 def test_scan_and_quarantine(spark, tree):
     files = corpus.scan_corpus(spark, tree)
-    assert rows(files.groupBy("repo_id").count()) == [("r1", 8)]  # empty files are not listed
+    assert rows(files.groupBy("repo_id").count()) == [("r1", 9)]  # the empty file of r2 is not listed
     assert rows(corpus.with_package_markers(files).where("n_bytes = 0"), "path") == [
         ("app/__init__.py",), ("app/tests/__init__.py",), ("proj/__init__.py",), ("proj/settings/__init__.py",)]
     marked = corpus.classify_paths(files.where("path LIKE '%.py'"))
