@@ -197,7 +197,8 @@ def line_contains(text: Column, symbol: Column) -> Column:
 def call_matches(dotted: Column, name: Column, pattern: Column) -> Column:
     """A call against one rule pattern: `.tail`, `name`, or a dotted chain."""
     tail = F.substring_index(pattern, ".", -1)
-    head = F.expr("slice(split(pattern, '[.]'), 1, size(split(pattern, '[.]')) - 1)")
+    parts = F.split(pattern, r"\.")
+    head = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
     receiver = F.transform(F.split(dotted, r"\."), lambda p: F.replace(p, F.lit("()"), F.lit("")))
     receiver = F.slice(receiver, 1, F.greatest(F.size(receiver) - 1, F.lit(0)))
     return (F.when(pattern.startswith("."), name == tail)
