@@ -129,12 +129,13 @@ def f9_majority(spark, sf):
 
 @query("f10_mcnemar", f"""WITH {BASE_SQL}, d AS (SELECT count(*) FILTER (a.passed AND NOT b.passed) AS b, count(*) FILTER (b.passed AND NOT a.passed) AS c
  FROM runs a JOIN runs b ON a."case" = b."case" AND a.seed = b.seed WHERE a.arm = 'long' AND b.arm = 'plain')
-SELECT b, c, b + c AS n_discordant, round(CASE WHEN b + c = 0 THEN 1.0 ELSE least(1.0, 2.0 * list_sum(list_transform(range(0, least(b, c) + 1),
- lambda k: exp(lgamma(b + c + 1) - lgamma(k + 1) - lgamma(b + c - k + 1) - (b + c) * ln(2))))) END, 9) AS p_exact FROM d""")
+SELECT b, c, b + c AS n_discordant, round(ln(CASE WHEN b + c = 0 THEN 1.0 ELSE least(1.0, 2.0 * list_sum(list_transform(range(0, least(b, c) + 1),
+ lambda k: exp(lgamma(b + c + 1) - lgamma(k + 1) - lgamma(b + c - k + 1) - (b + c) * ln(2))))) END), 9) AS ln_p FROM d""")
 def f10_mcnemar(spark, sf):
     scored = runs(spark, sf)
     out = st.mcnemar(scored.where("arm = 'long'"), scored.where("arm = 'plain'"), ["case", "seed"])
-    return out.withColumn("p_exact", F.round("p_exact", 9))
+    # p is k / 2^n, which rounds to a tie sooner or later; its logarithm does not
+    return out.select("b", "c", "n_discordant", F.round(F.log("p_exact"), 9).alias("ln_p"))
 
 
 RESAMPLES = 400
