@@ -258,9 +258,13 @@ def synthetic_edges(code: Code, stores: DataFrame, relations: DataFrame, entries
     live = receivers_.where("connected AND NOT guards_on_sender AND NOT (nested AND weak)")
     row = row_stores(stores)
     by_sender = live.where("sender IS NOT NULL").join(row.select("repo_id", F.col("model").alias("sender"), F.col("node").alias("src")), ["repo_id", "sender"])
-    by_all = live.where("sender IS NULL").join(stores.where("kind = 'relational'").select("repo_id", F.col("node").alias("src")), ["repo_id"])
-    for df in (by_sender, by_all):
-        parts.append(edge_rows(df, "SE2", "R9", rows_deleted, dst=F.col("symbol")))
+    parts.append(edge_rows(by_sender, "SE2", "R9", rows_deleted, dst=F.col("symbol")))
+    # A receiver without a sender hears every table: they meet in one node per repository, so
+    # tables times receivers is never written out.
+    every = live.where("sender IS NULL")
+    tables = stores.where("kind = 'relational'").select("repo_id", F.col("node").alias("src"), "file", "line").join(every.select("repo_id").distinct(), ["repo_id"], "left_semi")
+    parts.append(edge_rows(tables, "SE2", "R9", rows_deleted, dst=F.lit("signal:any")))
+    parts.append(edge_rows(every, "SE2", "R9", rows_deleted, src=F.lit("signal:any"), dst=F.col("symbol")))
     deco = code.classes.select("repo_id", F.col("name").alias("model"), F.col("file").alias("cfile"), F.col("line").alias("cline"), F.transform("decorators", lambda d: d["dotted"]).alias("marks"))
     filed = stores.where(F.array_contains("flags", "django_file_field") & F.col("model").isNotNull()).select("repo_id", "model", F.col("node").alias("dst"))
     clean = filed.join(row.select("repo_id", "model", F.col("node").alias("src")), ["repo_id", "model"]).join(deco, ["repo_id", "model"]).join(settings["cleanup"], ["repo_id"])

@@ -72,8 +72,8 @@ def reach(edges: DataFrame, starts: DataFrame, *, hubs: DataFrame | None = None,
           compact_every: int = 8) -> DataFrame:
     """Every (entry, node, mode) a search reaches, with depth and the edge that first got there.
 
-    `starts`: repo_id, entry, node, mode. `blocked`: (repo_id, entry, node) a search may not
-    enter. `must_pass`: (repo_id, node) of which a path has to visit one; states before that
+    `starts`: repo_id, entry, node, mode. `blocked`: (repo_id, node) no search may
+    enter, or (repo_id, entry, node) for one search. `must_pass`: (repo_id, node) of which a path has to visit one; states before that
     carry `passed` false. The first arrival wins, in the order of (parent, target, kind, file,
     line, rule), so equal inputs always give equal paths.
     """
@@ -102,8 +102,7 @@ def reach(edges: DataFrame, starts: DataFrame, *, hubs: DataFrame | None = None,
         depth += 1
         found = _extend(frontier, edges, hubs, must_pass)
         if blocked is not None:
-            found = found.join(blocked.select("repo_id", "entry", "node").distinct(),
-                               ["repo_id", "entry", "node"], "left_anti")
+            found = found.join(blocked, [c for c in ("repo_id", "entry", "node") if c in blocked.columns], "left_anti")
         fresh = found.join(visited.select(*STATE), STATE, "left_anti")
         # A range sort plus a position-based id orders a round of any size without
         # gathering one search in one task; only the order of the ids is used.

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from datarights.functions import text as t
 from datarights.operators.edges import (build_edges, enforcing_engines, loaded_modules, primitives, receivers, row_stores, synthetic_edges)
 from datarights.operators.entrypoints import entry_points, schedules_of, task_table
-from datarights.operators.graph import first_paths, paths, reach
+from datarights.operators.graph import all_modes, first_paths, paths, reach
 from datarights.operators.inventory import detect_stores, null, settings_facts, union
 from datarights.operators.resolve import Code, hub_members, propagate_bindings, references, tail_of, unmodelled
 from datarights.operators.scoring import BACKUP_ONLY, REACHING
@@ -161,8 +161,10 @@ def backup_retention(estate: Estate, r: Rules) -> DataFrame:
     consts = code.assigns.where("scope IS NULL AND value_kind = 'literal'").where(F.col("target").isin(r.words("retention_constants"))).select(
         "repo_id", "module", F.col("target").alias("const"), F.trim("value").try_cast("int").alias("days"), "line").where("days IS NOT NULL")
     d = b.join(consts, ["repo_id", "module"]).groupBy("repo_id", "store_id").agg(F.min_by(F.struct("days", "file", "line"), F.struct("const", "line")).alias("d"))
-    s = estate.settings["schedules"].select("repo_id", F.col("file").alias("sfile"), F.col("line").alias("sline"), "names")
-    s = b.join(s, ["repo_id"]).where((F.col("file") == F.col("sfile")) | F.array_contains("names", F.col("module"))).groupBy("repo_id", "store_id").agg(F.min(F.struct("sfile", "sline")).alias("s"))
+    said = estate.settings["schedules"].select("repo_id", F.struct(F.col("file").alias("sfile"), F.col("line").alias("sline")).alias("_s"), "file", "names")
+    beside = b.join(said.select("repo_id", "file", "_s"), ["repo_id", "file"]).select("repo_id", "store_id", "_s")
+    named = b.join(said.select("repo_id", F.explode("names").alias("module"), "_s"), ["repo_id", "module"]).select("repo_id", "store_id", "_s")
+    s = beside.unionByName(named).groupBy("repo_id", "store_id").agg(F.min("_s").alias("s"))
     out = b.select("repo_id", "store_id").join(d, ["repo_id", "store_id"], "left").join(s, ["repo_id", "store_id"], "left")
     return out.select("repo_id", "store_id", F.col("d.days").alias("retention_days"), (F.col("d").isNotNull() | F.col("s").isNotNull()).alias("cited"),
                       F.coalesce("d.file", "s.sfile").alias("cite_file"), F.coalesce("d.line", "s.sline").alias("cite_line"))
@@ -191,7 +193,7 @@ def verdicts(estate: Estate, r: Rules | None = None, extra_starts: DataFrame | N
         entries = entries.unionByName(extra_starts.select(*cols))
         more = extra_starts.where("symbol IS NOT NULL").select(
             "repo_id", F.concat(F.lit("entry:"), "name").alias("src"), F.col("symbol").alias("dst"), F.lit("entry").alias("kind"), "file", "line", F.lit("SE0").alias("rule"),
-            F.lit(False).alias("ambiguous"), F.expr("array('none', 'model_delete', 'queryset_delete', 'db_cascade', 'session_delete', 'bulk_dml', 'raw_sql')").alias("modes"),
+            F.lit(False).alias("ambiguous"), all_modes().alias("modes"),
             null().alias("sets_mode"), F.lit(False).alias("hub"), F.lit("").alias("note"))
         edges = edges.unionByName(more.select(*edges.columns))
     entries = entries.withColumn("entry", F.concat(F.lit("entry:"), "name"))
@@ -229,13 +231,18 @@ def verdicts(estate: Estate, r: Rules | None = None, extra_starts: DataFrame | N
     timer = timer.withColumn("symbol", F.col("timer.entry_symbol")).join(days, ["repo_id", "symbol"], "left").drop("symbol")
     timer = stage(timer.withColumnRenamed("days", "timer_days"))
 
-    # entry points that do not count for a store: its timer's own job, and unscheduled jobs beside a marker
-    idle = jobs.join(scheduled.select("repo_id", "entry_symbol"), ["repo_id", "entry_symbol"], "left_anti").select("repo_id", "entry").distinct()
-    skip = timer.select("repo_id", "store_id", F.col("timer.entry").alias("entry")).unionByName(
-        marks.select("repo_id", "store_id").join(idle, ["repo_id"]).select("repo_id", "store_id", "entry")).distinct()
-    hit = stage(_best_hit(sure_hits.join(skip, ["repo_id", "store_id", "entry"], "left_anti"), "hit"))
+    # Entry points that do not count for a store: its timer's own job, and unscheduled jobs
+    # beside a marker. Flags on stores and on entries, not a list of their pairs.
+    idle = jobs.join(scheduled.select("repo_id", "entry_symbol"), ["repo_id", "entry_symbol"], "left_anti").select("repo_id", "entry", F.lit(True).alias("_idle")).distinct()
+    own_job = timer.select("repo_id", "store_id", F.col("timer.entry").alias("_own"))
+    marked = marks.select("repo_id", "store_id", F.lit(True).alias("_marked"))
+
+    def counting(hits: DataFrame) -> DataFrame:
+        h = hits.join(idle, ["repo_id", "entry"], "left").join(own_job, ["repo_id", "store_id"], "left").join(marked, ["repo_id", "store_id"], "left")
+        return h.where(~F.coalesce(F.col("_idle") & F.col("_marked"), F.lit(False)) & ~F.coalesce(F.col("entry") == F.col("_own"), F.lit(False)))
+    hit = stage(_best_hit(counting(sure_hits), "hit"))
     any_hit = _best_hit(sure_hits, "any_hit")
-    maybe = stage(_best_hit(loose_hits.join(skip, ["repo_id", "store_id", "entry"], "left_anti"), "maybe"))
+    maybe = stage(_best_hit(counting(loose_hits), "maybe"))
     # steps of the winning paths
     wanted = hit.select("repo_id", F.col("hit.entry").alias("entry"), "node").unionByName(any_hit.select("repo_id", F.col("any_hit.entry").alias("entry"), "node")).distinct()
     steps = stage(paths(sure_states, wanted))
@@ -249,11 +256,14 @@ def verdicts(estate: Estate, r: Rules | None = None, extra_starts: DataFrame | N
     odd_on = stage(odd_on.select("repo_id", F.col("target").alias("node"), "dst").distinct())
     only_odd = node.select("repo_id", "node").where("false")
     if not odd_on.isEmpty():
-        again = odd_on.select("repo_id", "node").distinct().join(who.where(live).select("repo_id", F.col("entry").alias("from")).distinct(), ["repo_id"])
-        again = again.select("repo_id", F.concat_ws("|", "from", "node").alias("entry"), "from", "node")
-        blocked = again.join(odd_on, ["repo_id", "node"]).select("repo_id", "entry", F.col("dst").alias("node"))
-        round_ = reach(edges, again.select("repo_id", "entry", F.col("from").alias("node"), F.lit("none").alias("mode")), resolved_only=True, blocked=blocked)
-        bypass = round_.select("repo_id", "entry", "node").join(again.select("repo_id", "entry", "node"), ["repo_id", "entry", "node"]).select("repo_id", "node").distinct()
+        # One search per store, from a root in front of all its repository's entry points.
+        again = odd_on.select("repo_id", F.col("node").alias("entry")).distinct().select("repo_id", "entry", F.lit("entry:*").alias("node"), F.lit("none").alias("mode"))
+        root = who.where(live).select("repo_id", "entry").distinct().select(
+            "repo_id", F.lit("entry:*").alias("src"), F.col("entry").alias("dst"), F.lit("entry").alias("kind"), F.lit("").alias("file"), F.lit(0).alias("line"), F.lit("SE0").alias("rule"),
+            F.lit(False).alias("ambiguous"), all_modes().alias("modes"), null().alias("sets_mode"), F.lit(False).alias("hub"), F.lit("").alias("note"))
+        blocked = odd_on.select("repo_id", F.col("node").alias("entry"), F.col("dst").alias("node"))
+        round_ = reach(edges.unionByName(root.select(*edges.columns)), again, resolved_only=True, blocked=blocked)
+        bypass = round_.where("entry = node").select("repo_id", "node").distinct()
         only_odd = stage(odd_on.select("repo_id", "node").distinct().join(bypass, ["repo_id", "node"], "left_anti"))
     versioned = estate.versioning.select("repo_id").distinct().withColumn("_versioned", F.lit(True))
     with_id = code.calls.where(F.map_contains_key("kw", F.lit("VersionId"))).select("repo_id", F.col("path").alias("_f"), F.col("line").alias("_l"), F.lit(True).alias("_vid")).distinct()

@@ -237,7 +237,7 @@ SELECT entry, count(DISTINCT node) AS nodes FROM r GROUP BY 1""")
 def g3_blocked(spark, sf):
     starts = region_starts(spark, sf)
     big = read(spark, sf, "part").where("p_size > 25").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node"))
-    blocked = big.withColumn("repo_id", F.lit("shop")).join(starts.select("repo_id", "entry"), "repo_id")
+    blocked = big.withColumn("repo_id", F.lit("shop"))
     return reach(part_supplier_edges(spark, sf), starts, blocked=blocked).groupBy("entry").agg(F.count_distinct("node").alias("nodes"))
 
 

@@ -88,6 +88,7 @@ class Config:
     def ready(self):
         import app.signals
 """, settings="INSTALLED_APPS = ['app']\n")
+REPOS["receiver_any"] = {k: v.replace("sender=Avatar", "weak=True").replace("(sender, instance, **kw)", "(source, instance, **kw)") for k, v in REPOS["receiver"].items()}
 REPOS["receiver_unloaded"] = {k: v for k, v in REPOS["receiver"].items() if k != "app/apps.py"}
 REPOS["receiver_db_cascade"] = {k: v.replace("models.CASCADE", "models.DB_CASCADE") for k, v in REPOS["receiver"].items()}
 REPOS["receiver_other_sender"] = {k: v.replace("sender=Avatar", "sender=User").replace("import Avatar", "import User") for k, v in REPOS["receiver"].items()}
@@ -141,6 +142,15 @@ repo("override", app__models=USER + """
         self.photo.delete()
 """, app__views=DELETE)
 REPOS["override_queryset"] = {**REPOS["override"], "app/views.py": "from app.models import User\ndef delete_user(pk):\n    User.objects.filter(pk=pk).delete()\n"}
+REPOS["wrapped"] = {**REPOS["override"], "app/views.py": textwrap.dedent("""
+    from app.models import User
+    from web import audited
+    @audited
+    def delete_user(pk):
+        user = User(pk=pk)
+        user.delete()
+    """)}
+REPOS["wrapped_bypass"] = {**REPOS["wrapped"], "app/more.py": REPOS["override"]["app/views.py"].replace("delete_user", "remove_account")}
 repo("raw_sql", app__models=USER + """
 class Post(models.Model):
     user = models.ForeignKey(User, on_delete=models.CASCADE)
@@ -294,6 +304,16 @@ def test_receivers_and_cleanup(built):
     assert verdict_map(built, "cleanup_split")["avatar.image"] == ("unverified", "R10")
 
 
+def test_receiver_of_all_tables(built):
+    edges = rows(of(built[1].edges, "receiver_any").where("kind = 'SE2'"), "src", "dst")
+    assert edges == [("signal:any", "app.signals.clean"), ("store:avatar", "signal:any"), ("store:user", "signal:any")]
+
+
+def test_unmodelled_decorators(built):
+    assert verdict_map(built, "wrapped")["user"] == ("unverified", "R27")
+    assert verdict_map(built, "wrapped_bypass")["user"] == ("erased", "row 4")
+
+
 def test_orm_cascades(built):
     got = verdict_map(built, "orm")
     assert {k: v[0] for k, v in got.items()} == {"users": "erased", "posts": "erased", "user_tags": "erased", "logs": "not_erased", "labels": "not_erased", "notes": "unverified"}
