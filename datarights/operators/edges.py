@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from datarights.functions import text as t
 from datarights.operators.graph import all_modes, closure, mode_array, package_seeds
-from datarights.operators.inventory import first_literal, literals, matches_suffix, null, settings_facts, union
+from datarights.operators.inventory import first_literal, literals, matches_suffix, null, union
 from datarights.operators.resolve import Code, call_edges, dotted_of, head_of, join_name, lookup, model_of, tail_of
 from datarights.session import rule_table, stage, stage_all
 from datarights.sources.rules import Rules
@@ -301,5 +301,3 @@ def build_edges(code: Code, synthetic: DataFrame) -> DataFrame:
     """Call edges and synthetic edges as one table."""
     return stage(call_edges(code.calls).select(*COLUMNS).unionByName(synthetic.select(*COLUMNS)).distinct())
 
-
-__all__ = ["build_edges", "enforcing_engines", "keyed_targets", "loaded_modules", "match_primitives", "primitives", "receivers", "settings_facts", "synthetic_edges"]

@@ -11,7 +11,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from datarights.functions import text as t
 from datarights.operators.graph import all_modes
 from datarights.session import cut, stage
 from datarights.sources.rules import Rules, rules as default_rules

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -182,6 +180,3 @@ def failed_runs(runs: DataFrame, diagnoses: DataFrame, keys: list[str]) -> DataF
     both = bad.join(told, keys, "full_outer")
     return both.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("in_runs", "in_diagnoses")})
 
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from datarights.functions import text as t
@@ -16,7 +16,7 @@ from datarights.operators.entrypoints import entry_points, schedules_of, task_ta
 from datarights.operators.graph import all_modes, first_paths, paths, reach
 from datarights.operators.inventory import detect_stores, null, settings_facts, union
 from datarights.operators.resolve import Code, hub_members, propagate_bindings, references, tail_of, unmodelled
-from datarights.operators.scoring import BACKUP_ONLY, REACHING
+from datarights.operators.scoring import REACHING
 from datarights.session import rule_table, stage, stage_all
 from datarights.sources.rules import Rules, rules as default_rules
 
@@ -429,5 +429,3 @@ def explain(estate: Estate, found: dict[str, DataFrame], r: Rules | None = None)
         F.when(miss & F.col("_r2"), F.lit("R2 the row survives")), F.when(F.array_contains("flags", "recipient:stripe"), F.lit("R22 not erased at the recipient")), F.col("rule"))
     return out.select("repo_id", "store_id", "verdict", detail.alias("detail"))
 
-
-__all__ = ["BACKUP_ONLY", "Column", "Estate", "anonymisation", "build_estate", "classify_write", "explain", "parse_days", "verdicts"]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from datarights.operators import runlog as rl
 from datarights.operators.ordered import hour_bucket, in_order, line_bucket
-from datarights.operators.stats import SUBMIT_BUDGET, TOOL_BUDGET, token_usage
+from datarights.operators.stats import token_usage
 from datarights.plans.registry import query, read
 from datarights.plans.sqltext import s_list
 

@@ -1,4 +1,4 @@
-"""Session helpers: one place for lineage cuts and size-checked broadcasts."""
+"""Session helpers: one place for lineage cuts, staged tables and checked broadcasts."""
 
 from __future__ import annotations
 
@@ -9,10 +9,6 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest row count a side may have before we stop asking for a broadcast of it.
-BROADCAST_ROWS = 200_000
-
-
 def local_session(app: str = "datarights", cpus: str | int = "*", memory: str = "8g") -> SparkSession:
     """A session for tests and the bench; on a cluster the caller brings its own."""
     spark = (
@@ -51,13 +47,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast only after counting (at most `rows`+1 rows are looked at)."""
-    if df.limit(rows + 1).count() <= rows:
-        return F.broadcast(df)
-    return df
-
-
 def rule_table(spark: SparkSession, rows: list, schema: str, limit: int = 5_000) -> DataFrame:
     """A table of rule rows to join by broadcast: its size is that of a rule file, and checked."""
     if len(rows) > limit:

@@ -55,6 +55,8 @@ def test_compare_order(spark):
     v = df.select("id", "store_id", "found", F.lit("relational").alias("found_kind"), "allowed")
     out = cl.compare_claims(df.drop("found", "allowed"), v, ["id", "store_id"])
     assert rows(out.where("rule <> want"), "id", "rule") == []
+    noted = cl.wrong_kind_notes(df.drop("found", "allowed"), v, ["id", "store_id"])
+    assert rows(noted, "id", "found_kind") == [(7, "relational")]
     lone = cl.compare_claims(df.drop("found", "allowed"), v.where("id < 0"), ["id", "store_id"])
     assert set(rows(lone.where("id < 7").select("rule").distinct())) == {("uncorroborated",), ("uncorroborated_safe",)}
 

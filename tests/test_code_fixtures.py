@@ -241,6 +241,12 @@ def remover(pk):
 def close_account(queue, pk):
     queue.push(remover, pk)
 """)
+repo("declared", app__models=USER, app__views="""
+from app.models import User
+def blank(pk):
+    user = User(pk=pk)
+    user.delete()
+""")
 repo("opaque", app__cache="""
 import redis
 r = redis.Redis()
@@ -364,3 +370,15 @@ def test_explain(built):
     told = {(r.repo_id, r.store_id): r.detail for r in explain(built[1], built[2]).collect()}
     assert told[("orm", "logs")].startswith("R5")
     assert told[("receiver_unloaded", "avatar.image")].startswith("R26")  # the receiver has no callers
+
+
+def test_declared_but_unregistered_start_is_capped(built, spark):
+    from datarights.operators.entrypoints import declared_starts, reconcile
+
+    code, estate, _ = built
+    told = spark.createDataFrame([("x", "declared", "blank", "app/views.py", 4), ("x", "declared", "ghost", "app/views.py", 4)], "record_id string, repo_id string, name string, file string, line int")
+    rows_ = reconcile(told, estate.entries, code.symbols, rules())
+    assert rows(rows_, "name", "status") == [("blank", "declared_unregistered"), ("ghost", "unresolved")]
+    found = verdicts(estate, extra_starts=declared_starts(rows_, estate.entries))
+    assert verdict_map((None, None, found), "declared")["user"] == ("unverified", "declared, not registered")
+    assert verdict_map(built, "declared")["user"] == ("no_entry_point", "row 3")
