@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from datarights.llm.common import LOWER, UPPER, documents
+from datarights.llm.decontaminate import NOT_WORD, contamination
 from datarights.llm.exact import exact_groups
 from datarights.llm.packing import pack
 from datarights.llm.registry import ORACLES, QUERIES, query
@@ -23,3 +24,19 @@ def op3(spark, sf_dir):
 @query("op10_pattern_packing")
 def op10(spark, sf_dir):
     return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op8_decontaminate", f"""
+WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{NOT_WORD}'), lambda w: w <> '') AS w FROM documents),
+bw AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{NOT_WORD}'), lambda w: w <> '') AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, w[s:s + 12] AS p FROM (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - 11))) AS s FROM bw WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT len(p) AS n FROM win),
+pl AS (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS s FROM dw, lens WHERE len(w) >= n),
+hit AS (SELECT a.doc_id, a.s, a.n, win.item_id FROM (SELECT doc_id, n, s, w[s:s + n - 1] AS p FROM pl) a JOIN win USING (p)),
+words AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS q FROM (SELECT DISTINCT doc_id, s, n FROM hit)) GROUP BY doc_id),
+its AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS ids FROM hit GROUP BY doc_id)
+SELECT dw.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(ids), 0) AS n_items, sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256,
+coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN its USING (doc_id)""")
+def op8(spark, sf_dir):
+    return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("item_ids")
