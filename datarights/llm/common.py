@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_ID = -(2**63)
 KEY = ["_d", "_k"]
-_LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
+LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 SEGMENT = 1 << 18
@@ -83,7 +83,7 @@ def hash_words(texts: list[bytes | None], lower: bool, second: bool = False):
     """
     buf = b"\n".join(t or b"" for t in texts) + b"\n"
     if lower:
-        buf = buf.translate(_LOWER_BYTES)
+        buf = buf.translate(LOWER_BYTES)
     sizes = np.fromiter((len(t) + 1 if t else 1 for t in texts), np.int64, len(texts))
     ends_at = np.cumsum(sizes)
     data = np.frombuffer(buf, np.uint8)

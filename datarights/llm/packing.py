@@ -10,6 +10,7 @@ longest first. Pieces then find their place by their rank among the pieces of eq
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -19,39 +20,66 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from datarights.llm.common import column_bytes, slices
+from datarights.llm.common import LOWER_BYTES, column_bytes, slices
 from datarights.session import stage
 
 SIZE = 4096
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 500_000
 _TOKENIZERS: dict[str, tuple] = {}
+#: A full stop or comma after a word is a token of its own, so a blank before it changes nothing.
+_LAST_SIGN = re.compile(rb"(?<=[a-z0-9])([.,])(?=[ \n]|$)")
+#: Where lower-casing A-Z first could change a token: a special token's name, or a letter with a combining mark.
+_AS_IT_IS = re.compile(r"<\||[A-Z][\u0300-\U0010ffff]")
 
 
 def _encoder(path: str):
-    """The tokenizer of a file and what it made of words already seen; one per Python worker."""
+    """The tokenizer of a file and two generations of stretches already encoded; one per Python worker."""
     if path not in _TOKENIZERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = (Tokenizer.from_file(path), {})
+        _TOKENIZERS[path] = (Tokenizer.from_file(path), {}, {})
     return _TOKENIZERS[path]
 
 
+def _encode_words(tokenizer, words: list[str], per_call: int = 1000) -> Iterator[tuple[str, bytes]]:
+    """Ids of each stretch; many go in one call, held apart by a special token."""
+    special = min(tokenizer.get_added_tokens_decoder().items(), default=None)
+    plain = [w for w in words if "<|" not in w] if special else []
+    for i in range(0, len(plain), per_call):
+        part = plain[i: i + per_call]
+        code = tokenizer.encode_batch_fast([special[1].content.join(part)], add_special_tokens=False)[0]
+        ids = np.array(code.ids, "<u4")
+        data, cuts = ids.tobytes(), np.append(np.flatnonzero(ids == special[0]), len(ids)).tolist()
+        yield from zip(part, (data[4 * a: 4 * b] for a, b in zip([0, *(c + 1 for c in cuts)], cuts)), strict=True)
+    rest = [w for w in words if "<|" in w] if special else words
+    for word, code in zip(rest, tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
+        yield word, np.array(code.ids, "<u4").tobytes()
+
+
+def _stretches(text: bytes) -> list[str]:
+    """Parts between blanks, lower-cased and rid of their last sign where that changes no id."""
+    if not _AS_IT_IS.search(text.decode()):
+        text = _LAST_SIGN.sub(rb" \1", text.translate(LOWER_BYTES))
+    return text.decode().replace("\n", " ").split(" ")
+
+
 def token_bytes(texts: list[bytes | None], path: str, end_id: int) -> Iterator[bytes]:
     """Ids of each text, then `end_id`, as little-endian unsigned 32-bit values.
 
-    The tokenizer looks at one stretch between blanks at a time (its splitting rule never joins
-    over white space), so stretches are encoded once and looked up afterwards.
+    The tokenizer of the file lower-cases and never joins over white space, so stretches between
+    blanks are encoded once and looked up afterwards.
     """
-    tokenizer, seen = _encoder(path)
-    split = [(t or b"").decode().replace("\n", " ").split(" ") for t in texts]
-    fresh = list(set().union(*split) - seen.keys())
+    tokenizer, seen, older = _encoder(path)
+    split = [_stretches(t or b"") for t in texts]
+    fresh = set().union(*split) - seen.keys()
     if len(seen) + len(fresh) > _CACHE_WORDS:
-        seen.clear()
-        fresh = list(set().union(*split))
-    for word, code in zip(fresh, tokenizer.encode_batch(fresh, add_special_tokens=False), strict=True):
-        seen[word] = np.array(code.ids, "<u4").tobytes()
+        _TOKENIZERS[path] = tokenizer, seen, older = tokenizer, {}, seen
+        fresh = set().union(*split)
+    known = fresh & older.keys()
+    seen.update((w, older[w]) for w in known)
+    seen.update(_encode_words(tokenizer, list(fresh - known)))
     end = np.array([end_id], "<u4").tobytes()
     for words in split:
         yield b"".join(map(seen.__getitem__, words)) + end
