@@ -21,9 +21,12 @@ from datarights.llm.common import KEY, LOWER, UPPER, ascii_lower, column_bytes,
 from datarights.session import stage
 
 WINDOW = 13
+#: How many neighbouring words must be neighbours in some phrase for a position to be stored.
+CHAIN = 3
 #: Words are runs of digits, ASCII letters and anything beyond ASCII.
 _TABLE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)).translate(bytes.maketrans(UPPER.encode(), LOWER.encode()))
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # before lower-casing
 #: Up to so many terms the list of those asked for travels to the tasks (some 20 MB); beyond, a join picks them.
 SENT_TERMS = 500_000
 
@@ -37,27 +40,43 @@ def text_words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_TABLE).split()
 
 
-def postings(docs: DataFrame, terms: DataFrame | None = None, sent: int = SENT_TERMS) -> DataFrame:
+def postings(docs: DataFrame, phrases: DataFrame | None = None, chain: int = 1, sent: int = SENT_TERMS) -> DataFrame:
     """The positional index: term, _d, _k (the row's key), positions.
 
-    terms (column `term`, distinct) restricts the index to what will be asked for. Up to `sent`
-    terms they are looked up while texts are read; more are matched by a join.
+    phrases (column `words`) restricts the index to their terms. With chain > 1 it also leaves out
+    positions that no phrase of that many words can use: those outside runs of `chain` words whose
+    neighbours are neighbours in some phrase; only exact phrases may be looked up then. Up to
+    `sent` terms and neighbours are looked up while texts are read; of more, a join picks the terms.
     """
-    lookup = None
-    if terms is not None:
+    terms = lookup = pairs = None
+    if phrases is not None:
+        terms = phrases.select(F.explode("words").alias("term")).distinct()
         few = [r[0] for r in terms.limit(sent + 1).collect()]
         if len(few) <= sent:
             lookup = {t.encode(): i for i, t in enumerate(few)}
+            next_to = F.transform(F.slice("words", 2, F.greatest(F.lit(0), F.size("words") - 1)), lambda w, i: F.struct(F.get("words", i).alias("a"), w.alias("b")))
+            near = phrases.select(F.explode(next_to).alias("p")).select("p.*").distinct().limit(sent + 1).collect() if chain > 1 else []
+            if 0 < len(near) <= sent:
+                pairs = np.sort(np.array([lookup[a.encode()] * len(lookup) + lookup[b.encode()] for a, b in near], np.int64))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            yield _index_batch(batch, lookup)
+            yield _index_batch(batch, lookup, pairs, chain)
 
     found = keyed(docs).select("text", *KEY).mapInArrow(index, "term string, _d bigint, _k bigint, positions array<int>")
     return found.join(terms, "term", "left_semi") if terms is not None and lookup is None else found
 
 
-def _index_batch(batch: pa.RecordBatch, lookup: dict[bytes, int] | None) -> pa.RecordBatch:
+def _chained(ids: np.ndarray, row: np.ndarray, pairs: np.ndarray, n_terms: int, chain: int) -> np.ndarray:
+    """Which words stand in a run of at least `chain` words joined by known pairs."""
+    code = ids[:-1] * n_terms + ids[1:]
+    found = pairs[np.minimum(np.searchsorted(pairs, code), len(pairs) - 1)] == code
+    joined = np.concatenate([[False], found & (ids[:-1] >= 0) & (ids[1:] >= 0) & (row[:-1] == row[1:])])[: len(ids)]
+    run = np.cumsum(~joined)
+    return np.bincount(run, minlength=1)[run] >= chain
+
+
+def _index_batch(batch: pa.RecordBatch, lookup: dict[bytes, int] | None, pairs: np.ndarray | None, chain: int) -> pa.RecordBatch:
     lists = [text_words(t) for t in column_bytes(batch)]
     sizes = np.array([len(x) for x in lists], np.int64)
     flat = [w for words in lists for w in words]
@@ -68,7 +87,10 @@ def _index_batch(batch: pa.RecordBatch, lookup: dict[bytes, int] | None) -> pa.R
         ids = np.fromiter((lookup.get(w, -1) for w in flat), np.int64, len(flat))
     row = np.repeat(np.arange(len(lists)), sizes)
     position = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    keep = np.flatnonzero(ids >= 0)
+    wanted = ids >= 0
+    if pairs is not None:
+        wanted &= _chained(ids, row, pairs, len(lookup), chain)
+    keep = np.flatnonzero(wanted)
     keep = keep[np.argsort(row[keep] * (len(lookup) + 1) + ids[keep], kind="stable")]
     group = row[keep] * (len(lookup) + 1) + ids[keep]
     first = np.flatnonzero(np.diff(group, prepend=-1))
@@ -135,8 +157,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     columns are ignored.
     """
     phrases, owners = phrases_of(items.select("item_id", "text"), window)
-    terms = stage(phrases.select(F.explode("words").alias("term")).distinct())
-    index = stage(postings(docs, terms))
+    shortest = phrases.agg(F.min(F.size("words"))).first()[0] or 1
+    index = stage(postings(docs, phrases, chain=min(CHAIN, shortest)))
     hits = stage(exact_phrases(index, phrases))
     spans = F.array_sort(F.collect_set(F.struct("start", "length")))
     ends = F.aggregate("spans", F.struct(F.lit(0).alias("upto"), F.lit(0).alias("hit")),
@@ -145,7 +167,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     covered = hits.groupBy(*KEY).agg(spans.alias("spans")).select(*KEY, ends["hit"].alias("hit"))
     listed = hits.select("wid", *KEY).distinct().join(owners, "wid").groupBy(*KEY).agg(F.collect_set(F.col("item_id").cast("string")).alias("item_ids"))
     found = stage(covered.join(listed, KEY, "left"))
-    sizes = keyed(docs).select("doc_id", *KEY, F.size(words_of(F.col("text"))).cast("bigint").alias("n_words"))
+    sizes = keyed(docs).select("doc_id", *KEY, F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint").alias("n_words"))
     items_of = F.array_sort(F.coalesce("item_ids", F.array().cast("array<string>")))
     n_hit = F.coalesce("hit", F.lit(0)).cast("bigint")
     return sizes.join(found, KEY, "left").select(

@@ -27,10 +27,8 @@ SIZE = 4096
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 _CACHE_WORDS = 500_000
 _TOKENIZERS: dict[str, tuple] = {}
-#: A full stop or comma after a word is a token of its own, so a blank before it changes nothing.
-_LAST_SIGN = re.compile(rb"(?<=[a-z0-9])([.,])(?=[ \n]|$)")
 #: Where lower-casing A-Z first could change a token: a special token's name, or a letter with a combining mark.
-_AS_IT_IS = re.compile(r"<\||[A-Z][\u0300-\U0010ffff]")
+_AS_IT_IS = re.compile(r"[A-Z][\u0300-\U0010ffff]")
 
 
 def _encoder(path: str):
@@ -59,12 +57,20 @@ def _encode_words(tokenizer, words: list[str], per_call: int = 1000) -> Iterator
 
 
 def _stretches(text: bytes) -> list[str]:
-    """Parts between blanks, lower-cased and rid of their last sign where that changes no id."""
-    if not _AS_IT_IS.search(text.decode()):
-        text = _LAST_SIGN.sub(rb" \1", text.translate(LOWER_BYTES))
+    """Parts between blanks, lower-cased where that changes no id."""
+    if (text.isascii() or not _AS_IT_IS.search(text.decode())) and b"<|" not in text:
+        text = text.translate(LOWER_BYTES)
     return text.decode().replace("\n", " ").split(" ")
 
 
+def _learn(tokenizer, seen: dict[str, bytes], words: set[str]) -> None:
+    """Adds the ids of new stretches. A last stop or comma after a letter or digit is a token of its own, so the rest is looked up without it."""
+    signed = {w for w in words if w[-1:] in (".", ",") and w[-2:-1].isascii() and w[-2:-1].isalnum()}
+    stems = {w[:-1] for w in signed} | (words - signed) | ({".", ","} if signed else set())
+    seen.update(_encode_words(tokenizer, list(stems - seen.keys())))
+    seen.update((w, seen[w[:-1]] + seen[w[-1]]) for w in signed)
+
+
 def token_bytes(texts: list[bytes | None], path: str, end_id: int) -> Iterator[bytes]:
     """Ids of each text, then `end_id`, as little-endian unsigned 32-bit values.
 
@@ -79,7 +85,7 @@ def token_bytes(texts: list[bytes | None], path: str, end_id: int) -> Iterator[b
         fresh = set().union(*split)
     known = fresh & older.keys()
     seen.update((w, older[w]) for w in known)
-    seen.update(_encode_words(tokenizer, list(fresh - known)))
+    _learn(tokenizer, seen, fresh - known)
     end = np.array([end_id], "<u4").tobytes()
     for words in split:
         yield b"".join(map(seen.__getitem__, words)) + end
