@@ -28,6 +28,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text and the row key (_d, _k); other columns are left out."""
     return docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("_d"), F.xxhash64("text").alias("_k"))

@@ -25,7 +25,7 @@ from datarights.session import stage
 
 SIZE = 4096
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-_CACHE_WORDS = 500_000
+_CACHE_WORDS = 700_000
 _TOKENIZERS: dict[str, tuple] = {}
 #: Where lower-casing A-Z first could change a token: a special token's name, or a letter with a combining mark.
 _AS_IT_IS = re.compile(r"[A-Z][\u0300-\U0010ffff]")
@@ -37,21 +37,35 @@ def _encoder(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = (Tokenizer.from_file(path), {}, {})
+        tokenizer = Tokenizer.from_file(path)
+        ends = np.zeros(tokenizer.get_vocab_size(), bool)
+        ends[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        _TOKENIZERS[path] = (tokenizer, ends, {}, {})
     return _TOKENIZERS[path]
 
 
-def _encode_words(tokenizer, words: list[str], per_call: int = 1000) -> Iterator[tuple[str, bytes]]:
-    """Ids of each stretch; many go in one call, held apart by a special token."""
+def _cut(code, at: np.ndarray, skip: int) -> Iterator[bytes]:
+    """The ids between places, each place followed by `skip` ids that belong to nothing."""
+    data, at = np.array(code.ids, "<u4").tobytes(), at.tolist()
+    return (data[4 * a: 4 * b] for a, b in zip([0, *(c + skip for c in at)], at))
+
+
+def _encode_words(tokenizer, word_end: np.ndarray, words: list[str], per_call: int = 1000) -> Iterator[tuple[str, bytes]]:
+    """Ids of each stretch, many in one call: words of letters are told apart by the ids that end a word, others by a special token."""
+    letters = [w for w in words if w.isalpha()] if word_end.any() else []
+    for i in range(0, len(letters), per_call):
+        part = letters[i: i + per_call]
+        code = tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0]
+        yield from zip(part, _cut(code, np.flatnonzero(word_end[code.ids]) + 1, 0), strict=True)
     special = min(tokenizer.get_added_tokens_decoder().items(), default=None)
-    plain = [w for w in words if "<|" not in w] if special else []
+    known = set(letters)
+    plain = [w for w in words if w not in known and "<|" not in w] if special else []
     for i in range(0, len(plain), per_call):
         part = plain[i: i + per_call]
         code = tokenizer.encode_batch_fast([special[1].content.join(part)], add_special_tokens=False)[0]
-        ids = np.array(code.ids, "<u4")
-        data, cuts = ids.tobytes(), np.append(np.flatnonzero(ids == special[0]), len(ids)).tolist()
-        yield from zip(part, (data[4 * a: 4 * b] for a, b in zip([0, *(c + 1 for c in cuts)], cuts)), strict=True)
-    rest = [w for w in words if "<|" in w] if special else words
+        yield from zip(part, _cut(code, np.append(np.flatnonzero(np.array(code.ids) == special[0]), len(code.ids)), 1), strict=True)
+    known.update(plain)
+    rest = [w for w in words if w not in known]
     for word, code in zip(rest, tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
         yield word, np.array(code.ids, "<u4").tobytes()
 
@@ -63,11 +77,11 @@ def _stretches(text: bytes) -> list[str]:
     return text.decode().replace("\n", " ").split(" ")
 
 
-def _learn(tokenizer, seen: dict[str, bytes], words: set[str]) -> None:
+def _learn(tokenizer, word_end: np.ndarray, seen: dict[str, bytes], words: set[str]) -> None:
     """Adds the ids of new stretches. A last stop or comma after a letter or digit is a token of its own, so the rest is looked up without it."""
     signed = {w for w in words if w[-1:] in (".", ",") and w[-2:-1].isascii() and w[-2:-1].isalnum()}
     stems = {w[:-1] for w in signed} | (words - signed) | ({".", ","} if signed else set())
-    seen.update(_encode_words(tokenizer, list(stems - seen.keys())))
+    seen.update(_encode_words(tokenizer, word_end, list(stems - seen.keys())))
     seen.update((w, seen[w[:-1]] + seen[w[-1]]) for w in signed)
 
 
@@ -77,15 +91,15 @@ def token_bytes(texts: list[bytes | None], path: str, end_id: int) -> Iterator[b
     The tokenizer of the file lower-cases and never joins over white space, so stretches between
     blanks are encoded once and looked up afterwards.
     """
-    tokenizer, seen, older = _encoder(path)
+    tokenizer, word_end, seen, older = _encoder(path)
     split = [_stretches(t or b"") for t in texts]
     fresh = set().union(*split) - seen.keys()
     if len(seen) + len(fresh) > _CACHE_WORDS:
-        _TOKENIZERS[path] = tokenizer, seen, older = tokenizer, {}, seen
+        _TOKENIZERS[path] = tokenizer, word_end, seen, older = tokenizer, word_end, {}, seen
         fresh = set().union(*split)
     known = fresh & older.keys()
     seen.update((w, older[w]) for w in known)
-    _learn(tokenizer, seen, fresh - known)
+    _learn(tokenizer, word_end, seen, fresh - known)
     end = np.array([end_id], "<u4").tobytes()
     for words in split:
         yield b"".join(map(seen.__getitem__, words)) + end

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from datarights.llm.common import LOWER, UPPER, documents
+from datarights.llm.common import LOWER, UPPER, documents, labels
 from datarights.llm.decontaminate import NOT_WORD, contamination
 from datarights.llm.exact import exact_groups
 from datarights.llm.packing import pack
+from datarights.llm.quality import fit_quality, score_quality
 from datarights.llm.registry import ORACLES, QUERIES, query
+from datarights.llm.toxicity import fit_toxicity, score_toxicity
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -21,11 +23,23 @@ def op3(spark, sf_dir):
     return exact_groups(documents(spark, sf_dir))
 
 
+@query("op9_toxicity")
+def op9(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return score_toxicity(docs, fit_toxicity(docs, labels(spark, sf_dir)))
+
+
 @query("op10_pattern_packing")
 def op10(spark, sf_dir):
     return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op5_quality")
+def op5(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return score_quality(docs, fit_quality(docs, labels(spark, sf_dir)))
+
+
 @query("op8_decontaminate", f"""
 WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{NOT_WORD}'), lambda w: w <> '') AS w FROM documents),
 bw AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{NOT_WORD}'), lambda w: w <> '') AS w FROM benchmark),
