@@ -7,6 +7,7 @@ import public_tokenizers
 from datarights.llm.common import LOWER, UPPER, documents, labels
 from datarights.llm.decontaminate import NOT_WORD, contamination
 from datarights.llm.exact import exact_groups
+from datarights.llm.minhash import near_groups
 from datarights.llm.packing import pack
 from datarights.llm.quality import fit_quality, score_quality
 from datarights.llm.registry import ORACLES, QUERIES, query
@@ -15,6 +16,11 @@ from datarights.llm.toxicity import fit_toxicity, score_toxicity
 __all__ = ["ORACLES", "QUERIES"]
 
 
+@query("op2_minhash")
+def op2(spark, sf_dir):
+    return near_groups(documents(spark, sf_dir))
+
+
 @query("op3_exact_dedup", f"""
 WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS x FROM documents),
 g AS (SELECT x, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY x)
