@@ -10,6 +10,7 @@ from datarights.llm.exact import exact_groups
 from datarights.llm.minhash import near_groups
 from datarights.llm.packing import pack
 from datarights.llm.quality import fit_quality, score_quality
+from datarights.llm.recompress import remove_repeats
 from datarights.llm.registry import ORACLES, QUERIES, query
 from datarights.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -46,6 +47,11 @@ def op5(spark, sf_dir):
     return score_quality(docs, fit_quality(docs, labels(spark, sf_dir)))
 
 
+@query("op6_recompression")
+def op6(spark, sf_dir):
+    return remove_repeats(documents(spark, sf_dir))
+
+
 @query("op8_decontaminate", f"""
 WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{NOT_WORD}'), lambda w: w <> '') AS w FROM documents),
 bw AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{NOT_WORD}'), lambda w: w <> '') AS w FROM benchmark),
