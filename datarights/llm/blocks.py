@@ -29,11 +29,11 @@ def block_id(batch: pa.RecordBatch) -> int:
     return int(range_hash(rows, np.array([0]), np.array([len(rows)]), _NAME).view(np.int64)[0])
 
 
-def in_blocks(docs: DataFrame) -> DataFrame:
+def in_blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
     """block, doc_id, text, _d, _k."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, size=BLOCK):
+        for batch in slices(batches, size=size):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, block_id(batch))), *batch.columns], names=["block", *batch.schema.names])
 
     return keyed(docs).mapInArrow(name, "block bigint, doc_id bigint, text string, _d bigint, _k bigint")

@@ -7,6 +7,7 @@ import public_tokenizers
 from datarights.llm.common import LOWER, UPPER, documents, labels
 from datarights.llm.decontaminate import NOT_WORD, contamination
 from datarights.llm.exact import exact_groups
+from datarights.llm.interpolation import score_texts
 from datarights.llm.minhash import near_groups
 from datarights.llm.packing import pack
 from datarights.llm.quality import fit_quality, score_quality
@@ -41,6 +42,11 @@ def op10(spark, sf_dir):
     return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op4_interpolation")
+def op4(spark, sf_dir):
+    return score_texts(documents(spark, sf_dir))
+
+
 @query("op5_quality")
 def op5(spark, sf_dir):
     docs = documents(spark, sf_dir)
