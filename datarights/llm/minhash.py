@@ -22,13 +22,16 @@ from datarights.llm.components import components
 from datarights.session import cut, stage
 
 SHINGLE, BANDS, ROWS, BITS = 5, 32, 4, 4
+#: Bits of a set's parity map: shingles fall on bits, and a bit tells whether an odd number did. Bits
+#: that differ are never more than the shingles that only one of two sets has, which bounds what they share.
+PARITY = 2048
 #: Five standard deviations of the estimate below the similarity that links (75 of 100).
 LEAST_ESTIMATE = 0.55
 _GRAM = np.uint64(0xA0761D6478BD642F)
 _RNG = np.random.default_rng(20)
 _FLIP = _RNG.integers(0, 2**32, BANDS * ROWS, np.uint32)
 _TIMES = _RNG.integers(0, 2**32, BANDS * ROWS, np.uint32) | np.uint32(1)
-SKETCH = "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, sig array<bigint>, bands array<bigint>"
+SKETCH = "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, sig array<bigint>, bands array<bigint>, parity array<bigint>"
 
 
 def shingle_sets(texts: list[bytes | None], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -60,7 +63,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = counts > 0
         first = (np.cumsum(counts) - counts)[some]
         h1, h2 = np.zeros(len(counts), np.uint64), np.zeros(len(counts), np.uint64)
-        sig, bands = np.zeros((0, 8), np.uint64), np.zeros((0, BANDS), np.uint64)
+        sig, bands, parity = np.zeros((0, 8), np.uint64), np.zeros((0, BANDS), np.uint64), np.zeros((0, PARITY // 64), np.uint64)
         if len(first):
             h1[some] = np.add.reduceat(mix(grams), first)
             h2[some] = np.add.reduceat(mix(grams ^ _GRAM), first)
@@ -71,11 +74,14 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bands = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) + np.uint64(1), (len(first), BANDS))
             for r in range(ROWS):
                 bands = mix(bands * _GRAM + wide[:, :, r])
+            bit = np.repeat(np.arange(len(first)), counts[some]) * PARITY + (grams & np.uint64(PARITY - 1)).astype(np.int64)
+            odd = (np.bincount(bit, minlength=len(first) * PARITY) & 1).astype(np.uint8)
+            parity = np.packbits(odd, bitorder="little").view(np.uint64).reshape(len(first), -1)
         lists = []
-        for x in (sig, bands):
+        for x in (sig, bands, parity):
             at = np.append(0, np.cumsum(some * x.shape[1])).astype(np.int32)
             lists.append(pa.ListArray.from_arrays(pa.array(at), signed(np.ascontiguousarray(x).ravel())))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), signed(h1), signed(h2), *lists], names=["doc_id", "n_shingles", "h1", "h2", "sig", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), signed(h1), signed(h2), *lists], names=["doc_id", "n_shingles", "h1", "h2", "sig", "bands", "parity"])
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,6 +104,12 @@ def estimate(a: Column, b: Column) -> Column:
     return (same / (BANDS * ROWS) - chance) / (1 - chance)
 
 
+def may_link(n_a: str, n_b: str, parity_a: str, parity_b: str) -> str:
+    """SQL: the parity maps leave room for 3/7 of both sizes in common, which a link takes."""
+    differ = f"aggregate(zip_with({parity_a}, {parity_b}, (p, q) -> bit_count(p ^ q)), 0, (s, x) -> s + x)"
+    return f"7 * ({n_a} + {n_b} - {differ}) >= 6 * ({n_a} + {n_b})"
+
+
 class _Links:
     """Verified links between classes and the components they make so far."""
 
@@ -134,7 +146,7 @@ class _Links:
         return self.still_open(cut(rows))
 
     def compare(self, labelled: DataFrame, other: DataFrame, on: str, best: int | None = None) -> None:
-        extra = [c for c in ("n", "c", "bands") if c in labelled.columns]
+        extra = [c for c in ("n", "c", "bands", "parity") if c in labelled.columns]
         left = labelled.select(F.col("key"), F.col("cls").alias("a"), F.col("comp").alias("ca"), *(F.col(c).alias(f"{c}_a") for c in extra))
         right = other.select(F.col("key").alias("key_b"), F.col("cls").alias("b"), F.col("comp").alias("cb"), *(F.col(c).alias(f"{c}_b") for c in extra))
         self.add(left.join(right, F.expr(f"key = key_b AND {on}")).select("a", "b", "ca", "cb"), best)
@@ -143,9 +155,8 @@ class _Links:
         """Confirms pairs (a, b, ca, cb: their components); with `best`, only the so many likeliest of each a."""
         pairs = pairs.distinct()
         for side in "ab":
-            pairs = pairs.join(self.signatures.select(F.col("cls").alias(side), F.col("n_shingles").alias(f"n{side}"), F.col("sig").alias(f"s{side}")), side)
-        close = 100 * F.least("na", "nb") >= 75 * F.greatest("na", "nb")  # a smaller set cannot be similar enough
-        pairs = pairs.where(close).withColumn("e", estimate(F.col("sa"), F.col("sb"))).where(F.col("e") >= LEAST_ESTIMATE).select("a", "b", "ca", "cb", "e")
+            pairs = pairs.join(self.signatures.select(F.col("cls").alias(side), F.col("n_shingles").alias(f"n{side}"), F.col("sig").alias(f"s{side}"), F.col("parity").alias(f"p{side}")), side)
+        pairs = pairs.where("100 * least(na, nb) >= 75 * greatest(na, nb)").where(may_link("na", "nb", "pa", "pb")).withColumn("e", estimate(F.col("sa"), F.col("sb"))).where(F.col("e") >= LEAST_ESTIMATE).select("a", "b", "ca", "cb", "e")
         if best:
             order = Window.partitionBy("a").orderBy(F.col("e").desc(), "b")
             pairs = pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= best)
@@ -183,7 +194,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     members = stage(rows.join(shared, "key").distinct())
     asked = members.select(F.col("cls").alias("doc_id")).distinct()
     sets = stage(docs.select("doc_id", "text").join(asked, "doc_id", "left_semi").mapInArrow(_full_sets, "cls bigint, grams array<bigint>").dropDuplicates(["cls", "grams"]))
-    links = _Links(signatures.select("cls", "n_shingles", "sig"), sets, members)
+    links = _Links(signatures.select("cls", "n_shingles", "sig", "parity"), sets, members)
     texts = stage(real.join(classes, same).select("doc_id", "cls").distinct())
     several = texts.groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a < b").select("doc_id", "a")
     links.join(components(texts.join(several, "doc_id").select("a", F.col("cls").alias("b"))))
@@ -194,9 +205,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
     labelled = links.labelled()
     for _ in range(3):
         labelled = links.hopeful(labelled)
-    labelled = labelled.join(signatures.select("cls", "bands"), "cls")
+    labelled = labelled.join(signatures.select("cls", "bands", "parity"), "cls")
     first_shared = "key = array_min(array_intersect(bands_a, bands_b))"  # a pair comes from one of its buckets
-    links.compare(labelled, labelled, f"a < b AND ca <> cb AND 7 * least(c_a, c_b) >= 3 * (n_a + n_b) AND {first_shared}")
+    links.compare(labelled, labelled, f"a < b AND ca <> cb AND 7 * least(c_a, c_b) >= 3 * (n_a + n_b) AND {first_shared} AND {may_link('n_a', 'n_b', 'parity_a', 'parity_b')}")
     named = stage(classes.join(links.roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select(*same, F.coalesce("root", "cls").alias("root")))
     out = sketched.select("doc_id", *same).join(named, same, "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
