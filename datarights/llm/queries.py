@@ -7,6 +7,7 @@ import public_tokenizers
 from datarights.llm.common import LOWER, UPPER, documents, labels
 from datarights.llm.decontaminate import NOT_WORD, contamination
 from datarights.llm.exact import exact_groups
+from datarights.llm.html_wrappers import extract_main_text
 from datarights.llm.interpolation import score_texts
 from datarights.llm.minhash import near_groups
 from datarights.llm.packing import pack
@@ -18,6 +19,11 @@ from datarights.llm.toxicity import fit_toxicity, score_toxicity
 __all__ = ["ORACLES", "QUERIES"]
 
 
+@query("op1_wrappers")
+def op1(spark, sf_dir):
+    return extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 @query("op2_minhash")
 def op2(spark, sf_dir):
     return near_groups(documents(spark, sf_dir))
