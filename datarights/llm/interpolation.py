@@ -186,10 +186,10 @@ def score_texts(docs: DataFrame, ranges: int | None = None) -> DataFrame:
 
     A null text has no words and scores its end. With no training text every count is 0 and the
     floor, one, scores 0. A repeated row counts again. Extra columns are ignored; an empty table
-    gives an empty one. `ranges` is how many lists the n-grams are dealt to (as many as shuffle
-    partitions unless given).
+    gives an empty one. `ranges` is how many lists the n-grams are dealt to; unless given, one for
+    every two megabytes of text, so that a list's size does not grow with the corpus.
     """
-    ranges = ranges or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = ranges or max(64, (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) >> 21)
     answers = stage(count_ngrams(docs, ranges).groupBy("kind", "range").applyInArrow(_merge, ANSWER))
     types, total, total_aside = (int(x or 0) for x in answers.where(F.col("kind") == STATS).agg(F.sum("types"), F.sum("total"), F.sum("total_aside")).first())
     answers = answers.where(F.col("kind") != STATS)
