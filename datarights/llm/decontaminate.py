@@ -149,7 +149,7 @@ def near_phrases(index: DataFrame, phrases: DataFrame, slop: int) -> DataFrame:
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated (and item_ids) for every row of `docs`.
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated (and item_ids, and the row key) for every row of `docs`.
 
     A word inside any occurrence of a window is hit; a text is contaminated when hit words are a
     twentieth or more of it. Null and empty texts have no words and are clean; so are all texts if
@@ -173,4 +173,4 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     return sizes.join(found, KEY, "left").select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size(items_of).cast("bigint").alias("n_items"),
         F.sha2(F.concat_ws(",", items_of).cast("binary"), 256).alias("items_sha256"),
-        ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"), items_of.alias("item_ids"))
+        ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"), items_of.alias("item_ids"), *KEY)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from datarights.llm.common import LOWER, UPPER, documents, labels
+from datarights.llm.common import KEY, LOWER, UPPER, documents, labels
 from datarights.llm.decontaminate import NOT_WORD, contamination
 from datarights.llm.exact import exact_groups
 from datarights.llm.html_wrappers import extract_main_text
 from datarights.llm.interpolation import score_texts
+from datarights.llm.log_templates import drop_recurring_lines
 from datarights.llm.minhash import near_groups
 from datarights.llm.packing import pack
 from datarights.llm.quality import fit_quality, score_quality
@@ -64,6 +65,11 @@ def op6(spark, sf_dir):
     return remove_repeats(documents(spark, sf_dir))
 
 
+@query("op7_log_templates")
+def op7(spark, sf_dir):
+    return drop_recurring_lines(documents(spark, sf_dir)).drop("kept")
+
+
 @query("op8_decontaminate", f"""
 WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{NOT_WORD}'), lambda w: w <> '') AS w FROM documents),
 bw AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{NOT_WORD}'), lambda w: w <> '') AS w FROM benchmark),
@@ -77,4 +83,4 @@ SELECT dw.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(i
 coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN its USING (doc_id)""")
 def op8(spark, sf_dir):
-    return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("item_ids")
+    return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("item_ids", *KEY)

@@ -223,3 +223,13 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None, threshold: floa
 
     scored = docs.select("doc_id", "text").mapInArrow(score, "doc_id bigint, score double")
     return scored.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def clean_rows(docs: DataFrame, model: ToxicityModel | None, threshold: float = 0.5) -> DataFrame:
+    """The rows of `docs`, all columns, whose text scores below the threshold."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield batch.filter(pa.array(model.score(column_bytes(batch)) < threshold))
+
+    return docs.mapInArrow(keep, docs.schema) if model else docs
