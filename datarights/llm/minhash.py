@@ -24,7 +24,7 @@ from datarights.session import cut, stage
 SHINGLE, BANDS, ROWS, BITS = 5, 32, 4, 4
 #: Bits of a set's parity map: shingles fall on bits, and a bit tells whether an odd number did. Bits
 #: that differ are never more than the shingles that only one of two sets has, which bounds what they share.
-PARITY = 2048
+PARITY = 1024
 #: Five standard deviations of the estimate below the similarity that links (75 of 100).
 LEAST_ESTIMATE = 0.55
 _GRAM = np.uint64(0xA0761D6478BD642F)
@@ -146,7 +146,7 @@ class _Links:
         return self.still_open(cut(rows))
 
     def compare(self, labelled: DataFrame, other: DataFrame, on: str, best: int | None = None) -> None:
-        extra = [c for c in ("n", "c", "bands", "parity") if c in labelled.columns]
+        extra = [c for c in ("n", "c", "parity") if c in labelled.columns]
         left = labelled.select(F.col("key"), F.col("cls").alias("a"), F.col("comp").alias("ca"), *(F.col(c).alias(f"{c}_a") for c in extra))
         right = other.select(F.col("key").alias("key_b"), F.col("cls").alias("b"), F.col("comp").alias("cb"), *(F.col(c).alias(f"{c}_b") for c in extra))
         self.add(left.join(right, F.expr(f"key = key_b AND {on}")).select("a", "b", "ca", "cb"), best)
@@ -205,9 +205,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
     labelled = links.labelled()
     for _ in range(3):
         labelled = links.hopeful(labelled)
-    labelled = labelled.join(signatures.select("cls", "bands", "parity"), "cls")
-    first_shared = "key = array_min(array_intersect(bands_a, bands_b))"  # a pair comes from one of its buckets
-    links.compare(labelled, labelled, f"a < b AND ca <> cb AND 7 * least(c_a, c_b) >= 3 * (n_a + n_b) AND {first_shared} AND {may_link('n_a', 'n_b', 'parity_a', 'parity_b')}")
+    labelled = labelled.join(signatures.select("cls", "parity"), "cls")
+    room = may_link("n_a", "n_b", "parity_a", "parity_b")
+    links.compare(labelled, labelled, f"a < b AND ca <> cb AND 7 * least(c_a, c_b) >= 3 * (n_a + n_b) AND {room}")
     named = stage(classes.join(links.roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select(*same, F.coalesce("root", "cls").alias("root")))
     out = sketched.select("doc_id", *same).join(named, same, "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
