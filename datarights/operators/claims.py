@@ -103,10 +103,11 @@ def apply_edits(stores: DataFrame, edits: DataFrame, keys: list[str]) -> tuple[D
     return out.withColumn("recipient_kind", kind).drop("_edit"), edits.where(~F.col("value").isin(RECIPIENT_KINDS))
 
 
-def acceptance(lists: DataFrame, keys: list[str]) -> DataFrame:
-    """A record is accepted where none of the three blocking lists has a row for it."""
+def acceptance(records: DataFrame, lists: DataFrame, keys: list[str]) -> DataFrame:
+    """Every record and whether it is accepted: none of the three blocking lists has a row for it."""
     blocks = F.col("kind").isin("rejected_claim", "missing_store", "bad_citation")
-    return lists.groupBy(*keys).agg((~F.bool_or(blocks)).alias("accepted"))
+    blocked = lists.where(blocks).select(*keys).distinct().withColumn("_blocked", F.lit(True))
+    return records.select(*keys).distinct().join(blocked, keys, "left").select(*keys, F.col("_blocked").isNull().alias("accepted"))
 
 
 # --- one-to-one matching of claimed to detected stores --------------------------------------------------

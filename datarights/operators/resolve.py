@@ -134,7 +134,7 @@ def linearise(classes: DataFrame, bases: DataFrame) -> DataFrame:
     """
     step = bases.where("base IS NOT NULL").select(
         "repo_id", F.col("cls").alias("ancestor"), "base", "via",
-        F.concat(F.lpad(F.col("ord").cast("string"), 3, "0"), F.lit("-"), F.lpad(F.col("sub").cast("string"), 2, "0"), F.lit("-"), "base", F.lit("/")).alias("_step"))
+        F.concat(F.lpad(F.col("ord").cast("string"), 10, "0"), F.lit("-"), F.lpad(F.col("sub").cast("string"), 10, "0"), F.lit("-"), "base", F.lit("/")).alias("_step"))
     level = cut(classes.select("repo_id", F.col("name").alias("cls")).distinct().select(
         "repo_id", "cls", F.col("cls").alias("ancestor"), F.lit("").alias("path"), F.lit(True).alias("imported"), F.lit(True).alias("named"),
         F.array("cls").alias("_chain")))
@@ -272,20 +272,31 @@ def bind_models(code: Code) -> DataFrame:
             .agg(F.max_by("model", F.struct("path", "seq")).alias("model")))
 
 
-def propagate_bindings(bindings: DataFrame, calls: DataFrame, symbols: DataFrame, rounds: int = 4) -> DataFrame:
-    """Bindings carried over resolved calls into the callee's parameters, a few rounds deep."""
+def propagate_bindings(bindings: DataFrame, calls: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Bindings carried over resolved calls into the callee's parameters, call by call to the end.
+
+    What a call hands over replaces what the parameter was bound to. A round takes only names whose
+    binding just changed; a (symbol, name, model) that was there before is not taken up again, so
+    cycles of calls come to rest.
+    """
     params = symbols.select("repo_id", F.col("name").alias("target"), F.filter("args", lambda a: ~a.isin("self", "instance")).alias("_params"))
     passed = (calls.where("outcome = 'resolved' AND target IS NOT NULL").select(
         "repo_id", F.col("caller").alias("symbol"), "target", "path", "line", "dotted", F.posexplode("args").alias("i", "a")).where("a.kind = 'name'"))
     passed = passed.join(params, ["repo_id", "target"]).where(F.col("i") < F.size("_params")).select(
         "repo_id", "symbol", F.col("a.value").alias("var"), "target", F.get("_params", F.col("i")).alias("param"), "path", "line", "dotted")
     passed = cut(passed.distinct())
-    table = bindings
-    for _ in range(rounds):
-        sent = passed.join(table, ["repo_id", "symbol", "var"]).groupBy("repo_id", F.col("target").alias("symbol"), F.col("param").alias("var")).agg(
-            F.max_by("model", F.struct("path", "line", "dotted")).alias("_sent"))
-        table = cut(table.join(sent, ["repo_id", "symbol", "var"], "full_outer").select("repo_id", "symbol", "var", F.coalesce("_sent", "model").alias("model")))
-    return table
+    key = ["repo_id", "symbol", "var"]
+    table = cut(bindings.select(*key, "model"))
+    seen = changed = table
+    while True:
+        reached = passed.join(changed.select(*key), key).select("repo_id", F.col("target").alias("symbol"), F.col("param").alias("var")).distinct()
+        sent = passed.join(table, key).select("repo_id", F.col("target").alias("symbol"), F.col("param").alias("var"), "model", F.struct("path", "line", "dotted").alias("at"))
+        sent = sent.join(reached, key, "left_semi").groupBy(*key).agg(F.max_by("model", "at").alias("model"))
+        changed = cut(sent.join(seen, [*key, "model"], "left_anti"))
+        if changed.isEmpty():
+            return table
+        seen = cut(seen.unionByName(changed))
+        table = cut(table.join(changed.select(*key), key, "left_anti").unionByName(changed))
 
 
 def constant_table(code: Code) -> DataFrame:

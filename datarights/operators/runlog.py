@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from datarights.operators.ordered import in_order
+from datarights.operators.ordered import in_order, line_bucket
 from datarights.operators.scoring import count_if
 
 EPS = 1e-6
@@ -17,15 +17,21 @@ STOP_CONDITIONS = ["accepted", "gate_rejected", "budget_exhausted", "max_submits
 RECIPIENT_KINDS = ["unknown", "internal", "processor", "external_controller"]
 
 
-def valid_prefix(lines: DataFrame, file: str, line: str, text: str, good: Column) -> DataFrame:
-    """Per file: lines kept before the first bad one, and the bytes dropped from there on."""
-    flagged = lines.withColumn("_good", good)
-    first = flagged.groupBy(file).agg(F.min(F.when(~F.col("_good"), F.col(line))).alias("_bad"))
+def valid_prefix(lines: DataFrame, file: str, line: str, text: str, good: Column, newline: Column | None = None) -> DataFrame:
+    """Per file: lines kept before the first bad one, and the bytes dropped from there on.
+
+    `newline` tells whether a line ends with one (all do unless given); what follows the last
+    newline was not written to its end and is never kept.
+    """
+    ended = F.lit(True) if newline is None else newline
+    flagged = lines.withColumns({"_ended": ended, "_good": good & ended})
+    first = flagged.groupBy(file).agg(F.min(F.when(~F.coalesce("_good", F.lit(False)), F.col(line))).alias("_bad"))
     joined = flagged.join(first, file)
     kept = F.col("_bad").isNull() | (F.col(line) < F.col("_bad"))
+    size = F.octet_length(text) + F.col("_ended").cast("int")
     return joined.groupBy(file).agg(
         count_if(kept).alias("kept_lines"),
-        F.sum(F.when(~kept, F.octet_length(text) + 1).otherwise(0)).cast("bigint").alias("dropped_bytes"))
+        F.sum(F.when(~kept, size).otherwise(0)).cast("bigint").alias("dropped_bytes"))
 
 
 def pair_calls(calls: DataFrame, results: DataFrame, keys: list[str], pending: Column | None = None) -> DataFrame:
@@ -140,12 +146,15 @@ def synthesise_run_end(steps: DataFrame, ends: DataFrame, run: list[str], order:
     return open_runs.withColumn("stop", F.lit(condition))
 
 
-def check_chain(lines: DataFrame, ledger: list[str], line_no: str, text: str, prev_sha: str) -> DataFrame:
-    """Ledger lines whose last field is not the hash of the line before (zeros on the first)."""
-    before = lines.select(*ledger, (F.col(line_no) + 1).alias(line_no), F.sha2(F.encode(text, "UTF-8"), 256).alias("expected_sha"))
-    seen = lines.join(before, [*ledger, line_no], "left")
-    first = seen.withColumn("expected_sha", F.coalesce("expected_sha", F.lit("0" * 64)))
-    return first.where(~F.col(prev_sha).eqNullSafe(F.col("expected_sha")))
+def check_chain(lines: DataFrame, ledger: list[str], line_no: str, text: str, prev_sha: str, bucket: Column | None = None) -> DataFrame:
+    """Ledger lines whose last field is not the hash of the line that stands before them.
+
+    The line before is the one in the file, whatever its number; only the first line of a ledger
+    may carry zeros. `bucket` must not decrease with the line number.
+    """
+    seen = in_order(lines, ledger, [line_no], line_bucket(line_no) if bucket is None else bucket, previous={"_before": text}, number="_place")
+    expected = F.when(F.col("_place") == 1, F.lit("0" * 64)).otherwise(F.sha2(F.encode("_before", "UTF-8"), 256))
+    return seen.withColumn("expected_sha", expected).where(~F.col(prev_sha).eqNullSafe(F.col("expected_sha"))).drop("_before", "_place")
 
 
 def check_append_only(lines: DataFrame, witness: DataFrame, ledger: list[str], line_no: str, text: str) -> DataFrame:

@@ -24,12 +24,16 @@ LINES_SQL = """lines AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER
 
 
 @query("a9_valid_prefix", f"""
-WITH {LINES_SQL}, b AS (SELECT user_id, min(line) FILTER (NOT json_valid(text)) AS bad FROM lines GROUP BY 1)
+WITH {LINES_SQL}, l AS (SELECT *, NOT (user_id % 3 = 0 AND line = max(line) OVER (PARTITION BY user_id)) AS ended FROM lines),
+b AS (SELECT user_id, min(line) FILTER (NOT json_valid(text) OR NOT ended) AS bad FROM l GROUP BY 1)
 SELECT user_id, count(*) FILTER (bad IS NULL OR line < bad) AS kept_lines,
- coalesce(sum(strlen(text) + 1) FILTER (line >= bad), 0)::BIGINT AS dropped_bytes FROM lines JOIN b USING (user_id) GROUP BY user_id""")
+ coalesce(sum(strlen(text) + CASE WHEN ended THEN 1 ELSE 0 END) FILTER (line >= bad), 0)::BIGINT AS dropped_bytes FROM l JOIN b USING (user_id) GROUP BY user_id""")
 def a9_valid_prefix(spark, sf):
-    good = F.try_parse_json("text").isNotNull()
-    return rl.valid_prefix(event_lines(spark, sf), "user_id", "line", "text", good)
+    """Every third log lacks the newline at its end."""
+    logs = event_lines(spark, sf)
+    last = logs.groupBy("user_id").agg(F.max("line").alias("last"))
+    open_end = (F.col("user_id") % 3 == 0) & (F.col("line") == F.col("last"))
+    return rl.valid_prefix(logs.join(last, "user_id"), "user_id", "line", "text", F.try_parse_json("text").isNotNull(), ~open_end)
 
 
 @query("c18_pair_calls", """
@@ -178,13 +182,18 @@ def f18_synthesise_run_end(spark, sf):
 
 
 @query("h6_ledger_chain", """
-WITH l AS (SELECT conv_id, turn, text, CASE WHEN length(text) % 7 = 0 THEN 'broken' ELSE coalesce(sha256(lag(text) OVER (PARTITION BY conv_id ORDER BY turn)), repeat('0', 64)) END AS prev_sha FROM conversations)
-SELECT conv_id, turn FROM l WHERE prev_sha = 'broken'""")
+WITH l AS (SELECT conv_id, turn, text, CASE WHEN length(text) % 7 = 0 THEN 'broken' ELSE coalesce(sha256(lag(text) OVER w), repeat('0', 64)) END AS prev_sha,
+ lag(turn % 5 = 2) OVER w AS after_gap, lag(turn % 5 <> 2) OVER w AS after_line, row_number() OVER w AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+cut AS (SELECT conv_id, turn, CASE WHEN after_gap THEN repeat('0', 64) ELSE prev_sha END AS prev_sha, text FROM l WHERE turn % 5 <> 2),
+e AS (SELECT conv_id, turn, prev_sha, coalesce(sha256(lag(text) OVER (PARTITION BY conv_id ORDER BY turn)), repeat('0', 64)) AS want FROM cut)
+SELECT conv_id, turn FROM e WHERE prev_sha <> want""")
 def h6_ledger_chain(spark, sf):
+    """Ledgers with some hashes broken, and lines taken out with zeros written behind them."""
     conv = read(spark, sf, "conversations").select("conv_id", "turn", "text")
-    before = conv.select("conv_id", (F.col("turn") + 1).alias("turn"), F.sha2("text", 256).alias("_sha"))
-    sha = F.when(F.length("text") % 7 == 0, "broken").otherwise(F.coalesce("_sha", F.lit("0" * 64)))
-    ledger = conv.join(before, ["conv_id", "turn"], "left").withColumn("prev_sha", sha).drop("_sha")
+    seen = in_order(conv, ["conv_id"], ["turn"], line_bucket("turn"), previous={"before": "text", "before_turn": "turn"})
+    honest = F.coalesce(F.sha2("before", 256), F.lit("0" * 64))
+    sha = F.when(F.col("before_turn") % 5 == 2, F.lit("0" * 64)).when(F.length("text") % 7 == 0, "broken").otherwise(honest)
+    ledger = seen.where("turn % 5 <> 2").select("conv_id", "turn", "text", sha.alias("prev_sha"))
     return rl.check_chain(ledger, ["conv_id"], "turn", "text", "prev_sha").select("conv_id", "turn")
 
 

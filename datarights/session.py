@@ -48,10 +48,9 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def rule_table(spark: SparkSession, rows: list, schema: str, limit: int = 5_000) -> DataFrame:
-    """A table of rule rows to join by broadcast: its size is that of a rule file, and checked."""
-    if len(rows) > limit:
-        raise ValueError(f"{len(rows)} rule rows; load them as an ordinary table instead")
-    return F.broadcast(spark.createDataFrame(rows, schema))
+    """A table of rule rows, to join by broadcast as long as it is no longer than `limit`."""
+    table = spark.createDataFrame(rows, schema)
+    return F.broadcast(table) if len(rows) <= limit else table
 
 
 def stage(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:

@@ -8,19 +8,40 @@ from pyspark.sql import functions as F
 from datarights.sources.rules import Rules, rules as default_rules
 
 
-def scan_corpus(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
-    """Every file below `<root>/<repo_id>/`: repo_id, path, n_bytes, content.
-
-    `pattern` is a file-name glob handed to the source, so other files are not even listed.
-    """
+def _scan(spark: SparkSession, root: str, pattern: str | None) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     base = root.rstrip("/").removeprefix("file:")
     rel = F.regexp_extract("path", r"^(?:[a-z0-9]+:/*)?/?\Q" + base.lstrip("/") + r"\E/+(.*)$", 1)
-    return reader.load(root).select(
-        F.substring_index(rel, "/", 1).alias("repo_id"), F.regexp_extract(rel, "^[^/]+/(.*)$", 1).alias("path"),
-        F.col("length").alias("n_bytes"), "content")
+    return reader.load(root).withColumns({"_rel": rel})
+
+
+def _named(scan: DataFrame, *more: str) -> DataFrame:
+    return scan.select(F.substring_index("_rel", "/", 1).alias("repo_id"), F.regexp_extract("_rel", "^[^/]+/(.*)$", 1).alias("path"),
+                       F.col("length").alias("n_bytes"), *more)
+
+
+def _readable_bytes(spark: SparkSession, max_bytes: int | None) -> int:
+    """What a row can hold bounds what is read, whatever the caller allows."""
+    row = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength"))
+    return row if max_bytes is None else min(row, max_bytes)
+
+
+def scan_corpus(spark: SparkSession, root: str, pattern: str | None = None, max_bytes: int | None = None) -> DataFrame:
+    """Every file below `<root>/<repo_id>/`: repo_id, path, n_bytes, content.
+
+    `pattern` is a file-name glob handed to the source, so other files are not even listed. Files
+    over `max_bytes` are not opened; `scan_oversized` names them.
+    """
+    scan = _scan(spark, root, pattern)
+    return _named(scan.where(F.col("length") <= _readable_bytes(spark, max_bytes)), "content")
+
+
+def scan_oversized(spark: SparkSession, root: str, pattern: str | None = None, max_bytes: int | None = None) -> DataFrame:
+    """The files that `scan_corpus` leaves out, by size alone: repo_id, path, n_bytes, error."""
+    scan = _scan(spark, root, pattern).drop("content")
+    return _named(scan.where(F.col("length") > _readable_bytes(spark, max_bytes))).withColumn("error", F.lit("TooLarge"))
 
 
 def with_package_markers(files: DataFrame) -> DataFrame:
@@ -77,26 +98,28 @@ def skip_tally(classified: DataFrame, repo: str = "repo_id") -> DataFrame:
             .agg(F.count_distinct(unit).alias("n")))
 
 
-def split_readable(files: DataFrame, r: Rules | None = None) -> tuple[DataFrame, DataFrame]:
-    """Readable files with decoded `text`, and rejects with the reason. Nothing is raised."""
-    limit = int((r or default_rules()).map("limits")["max_file_bytes"])
-    error = F.when(F.col("n_bytes") > limit, "TooLarge").when(~F.is_valid_utf8(F.col("content").cast("string")), "UnicodeDecodeError")
+def split_readable(files: DataFrame, max_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Readable files with decoded `text`, and rejects with the reason; over `max_bytes` only where the caller sets it."""
+    error = F.when(~F.is_valid_utf8(F.col("content").cast("string")), "UnicodeDecodeError")
+    if max_bytes is not None:
+        error = F.when(F.col("n_bytes") > max_bytes, "TooLarge").otherwise(error)
     marked = files.withColumn("error", error)
     ok = marked.where("error IS NULL").withColumn("text", F.col("content").cast("string")).drop("error", "content")
     return ok, marked.where("error IS NOT NULL").drop("content")
 
 
-def scan_config(files: DataFrame, r: Rules | None = None) -> DataFrame:
-    """Config files near the root: non-Python globs, not below an excluded directory."""
+def scan_config(files: DataFrame, r: Rules | None = None, max_depth: int | None = None, max_bytes: int | None = None) -> DataFrame:
+    """Config files: non-Python globs, not below an excluded directory; depth and size are the caller's to bound."""
     r = r or default_rules()
     name, depth = F.substring_index("path", "/", -1), F.size(F.split("path", "/")) - 1
     wanted = F.lit(False)
     for glob in r.words("config_globs"):
         wanted = wanted | name.rlike(_glob(glob))
-    limits = r.map("limits")
-    marked = classify_paths(files, r)
-    return (marked.where(wanted & (depth <= int(limits["config_max_depth"])) & F.col("pruned_dir").isNull()
-                         & (F.col("n_bytes") <= int(limits["max_file_bytes"]))).drop("skip_reason", "pruned_dir"))
+    if max_depth is not None:
+        wanted = wanted & (depth <= max_depth)
+    if max_bytes is not None:
+        wanted = wanted & (F.col("n_bytes") <= max_bytes)
+    return classify_paths(files, r).where(wanted & F.col("pruned_dir").isNull()).drop("skip_reason", "pruned_dir")
 
 
 def lines(files: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -119,43 +142,43 @@ def tree(files: DataFrame, max_depth: int, repo: str = "repo_id", path: str = "p
             .agg(F.bool_or(F.col("_n") > F.col("e.depth")).alias("is_dir"), F.count("*").alias("files"), F.sum(size).alias("bytes")))
 
 
-def slice_lines(line_table: DataFrame, requests: DataFrame, keys: list[str], r: Rules | None = None) -> DataFrame:
-    """The requested line ranges, ends clamped and at most 400 lines each.
+def slice_lines(line_table: DataFrame, requests: DataFrame, keys: list[str], max_lines: int | None = None) -> DataFrame:
+    """The requested line ranges (keys, lo, hi), clamped to the file; an open or reversed end means the file's.
 
-    `requests`: keys, lo, hi. A request is unfolded to the line numbers it may cover, so the
-    range becomes an equality join.
+    With `max_lines` a request gives so many lines at most.
     """
-    limit = int((r or default_rules()).map("limits")["max_read_lines"])
     lo = F.greatest("lo", F.lit(1))
     open_end = F.col("hi").isNull() | (F.col("hi") <= 0) | (F.col("hi") < F.col("lo"))
-    hi = F.when(open_end, lo + limit - 1).otherwise(F.least("hi", lo + limit - 1))
-    wanted = requests.select(*keys, "lo", "hi", F.explode(F.sequence(lo, hi)).alias("line"))
-    return wanted.join(line_table, [*keys, "line"])
+    hi = F.when(open_end, F.lit(None)).otherwise(F.col("hi"))
+    if max_lines is not None:
+        hi = F.least(hi, lo + max_lines - 1)
+    asked = requests.select(*keys, "lo", "hi", lo.alias("_from"), hi.alias("_to"))
+    inside = (F.col("line") >= F.col("_from")) & (F.col("_to").isNull() | (F.col("line") <= F.col("_to")))
+    return asked.join(line_table, keys).where(inside).drop("_from", "_to")
 
 
-def grep(line_table: DataFrame, pattern: str, repo: str, path: str, max_results: int = 100, glob: str | None = None,
-         r: Rules | None = None) -> DataFrame:
-    """Per repository the first matching lines by (path, line), at most the result limit.
+def grep(line_table: DataFrame, pattern: str, repo: str, path: str, max_results: int | None = None, glob: str | None = None) -> DataFrame:
+    """Matching lines; with `max_results` only the first of each repository by (path, line).
 
     Hits are cut per file before they are cut per repository, so no window ever holds all of a
     hot repository's hits: a file can place at most the limit.
     """
-    cap = int((r or default_rules()).map("limits")["max_grep"])
-    k = cap if max_results <= 0 else min(max_results, cap)
     hits = line_table.where(F.col("text").rlike(pattern))
     if glob:
         hits = hits.where(F.substring_index(path, "/", -1).rlike(_glob(glob)))
+    if max_results is None:
+        return hits.select(repo, path, "line", "text")
     in_file = Window.partitionBy(repo, path).orderBy("line")
-    hits = hits.withColumn("_k", F.row_number().over(in_file)).where(F.col("_k") <= k)
+    hits = hits.withColumn("_k", F.row_number().over(in_file)).where(F.col("_k") <= max_results)
     # Files come in order too: keep the first files until the limit is surely covered.
     per_file = hits.groupBy(repo, path).agg(F.count("*").alias("_n"))
     w = Window.partitionBy(repo, "_shard").orderBy(path)
     sharded = per_file.withColumn("_shard", F.pmod(F.xxhash64(path), F.lit(64)))
-    sharded = sharded.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k)
+    sharded = sharded.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= max_results)
     w2 = Window.partitionBy(repo).orderBy(path).rowsBetween(Window.unboundedPreceding, -1)
-    kept = (sharded.withColumn("_before", F.coalesce(F.sum("_n").over(w2), F.lit(0))).where(F.col("_before") < k)
+    kept = (sharded.withColumn("_before", F.coalesce(F.sum("_n").over(w2), F.lit(0))).where(F.col("_before") < max_results)
             .select(repo, path, "_before"))
-    out = hits.join(kept, [repo, path]).where(F.col("_before") + F.col("_k") <= k)
+    out = hits.join(kept, [repo, path]).where(F.col("_before") + F.col("_k") <= max_results)
     return out.select(repo, path, "line", "text")
 
 

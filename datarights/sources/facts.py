@@ -95,7 +95,7 @@ def describe(node: ast.AST) -> dict:
             kind, value = "call", written(func)
             names, keys, refs = _attrs(node), _strings(ast.walk(node)), _names(node)
         case _:
-            value, names = ast.dump(node)[:40], _attrs(node)
+            value, names = ast.unparse(node), _attrs(node)
     return {"kind": kind, "value": value, "prefix": prefix, "names": names, "keys": keys, "refs": refs}
 
 

@@ -66,7 +66,7 @@ def rules(directory: str | None = None) -> Rules:
         digest.update(path.name.encode())
         digest.update(raw)
         tables.update(_validate(path, yaml.safe_load(raw)))
-    return Rules(tables, digest.hexdigest()[:12])
+    return Rules(tables, digest.hexdigest())
 
 
 def load_rules(spark: SparkSession, directory: str | None = None) -> dict[str, DataFrame]:

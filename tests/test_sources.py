@@ -36,11 +36,16 @@ def test_scan_and_quarantine(spark, tree):
     assert rows(marked.where("skip_reason IS NOT NULL"), "path", "skip_reason") == [
         ("app/test_b.py", "file:test_*.py"), ("app/tests/settings.py", "dir:tests"), ("app/tests/test_a.py", "dir:tests")]
     assert rows(corpus.skip_tally(marked)) == [("r1", "dir:tests", 1), ("r1", "file:test_*.py", 1)]
-    ok, bad = corpus.split_readable(marked.where("skip_reason IS NULL"))
+    assert rows(corpus.split_readable(marked.where("skip_reason IS NULL"))[1], "path") == [("latin.py",)]  # no limit unless asked for
+    small = corpus.scan_corpus(spark, tree, max_bytes=1 << 20)
+    assert rows(corpus.scan_oversized(spark, tree, max_bytes=1 << 20), "repo_id", "path", "error") == [("r1", "big.py", "TooLarge")]
+    assert ("big.py",) not in rows(small, "path") and small.count() == 8
+    ok, bad = corpus.split_readable(marked.where("skip_reason IS NULL"), max_bytes=1 << 20)
     assert rows(bad, "path", "error") == [("big.py", "TooLarge"), ("latin.py", "UnicodeDecodeError")]
     assert rows(ok, "repo_id", "path") == [("r1", "app/models.py"), ("r1", "proj/settings/base.py")]
     assert rows(corpus.lines(ok, ["repo_id", "path"]), "path", "line", "text") == [("app/models.py", 1, "x = 1"), ("app/models.py", 2, "y = 2"), ("proj/settings/base.py", 1, "B = 1")]
-    assert rows(corpus.scan_config(files), "path") == [("infra/main.tf",)]
+    assert rows(corpus.scan_config(files), "path") == [("a/b/c/d/e/deep.tf",), ("infra/main.tf",)]
+    assert rows(corpus.scan_config(files, max_depth=4), "path") == [("infra/main.tf",)]
     assert rows(corpus.scan_corpus(spark, tree, "*.tf"), "path") == [("a/b/c/d/e/deep.tf",), ("infra/main.tf",)]
 
 
@@ -72,7 +77,7 @@ def test_submissions_and_canonical_json(spark, tmp_path):
 
 
 def test_rules_are_validated(spark, tmp_path):
-    assert len(rl.rules().digest) == 12
+    assert len(rl.rules().digest) == 64
     tables = rl.load_rules(spark)
     assert tables["cascade_tokens"].count() == 2
     assert rl.rules().extended("cascade_tokens", ["drop"]).words("cascade_tokens") == ["delete", "all", "drop"]
