@@ -4,22 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from datarights.operators.ordered import hour_bucket
+from datarights.operators.ordered import hour_bucket, in_order, line_bucket
 from datarights.plans.registry import query, read
 from datarights.streaming import streams as st
 
 
 @query("j2_steps", """
-WITH c AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN 'm' || turn END AS mid FROM conversations),
+WITH c AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN 'm' || turn END AS mid FROM conversations WHERE role <> 'system'),
 o AS (SELECT conv_id, turn, mid, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS step, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM c WHERE role = 'user')
-SELECT o.conv_id::VARCHAR AS run_id, o.step::INT AS step, o.mid AS message_id, count(*) FILTER (c.role = 'assistant')::INT AS results FROM o
+SELECT o.conv_id::VARCHAR AS run_id, o.step::INT AS step, o.mid AS message_id, (o.turn % 3 <> 0)::INT AS calls,
+ count(*) FILTER (c.role = 'assistant' AND o.turn % 3 <> 0 AND c.turn % 4 <> 1)::INT AS results FROM o
 LEFT JOIN c ON c.conv_id = o.conv_id AND c.turn >= o.turn AND (o.nxt IS NULL OR c.turn < o.nxt) GROUP BY ALL""")
 def j2_steps(spark, sf):
+    """A user's turn opens a step, most with a call; an answer names that call, a strange one, or comes where no call was made."""
     conv = read(spark, sf, "conversations").where("role <> 'system'")
-    user = F.col("role") == "user"
-    events = st._events(conv.select(F.col("conv_id").cast("string").alias("run_id"), F.col("turn").alias("seq"), user.alias("u")),
-                        kind=F.when(F.col("u"), "open").otherwise("result"), message_id=F.when(F.col("u"), F.concat(F.lit("m"), F.col("seq").cast("string"))))
-    return st.steps_batch(events).select("run_id", "step", "message_id", "results")
+    turns = conv.select(F.col("conv_id").cast("string").alias("run_id"), F.col("turn").alias("seq"), (F.col("role") == "user").alias("u"))
+    asked = in_order(turns, ["run_id"], ["seq"], line_bucket("seq"), sums={"step": F.col("u").cast("int")})
+    call = F.concat(F.lit("c"), F.col("step").cast("string"))
+    opens = st._events(asked.where("u"), kind=F.lit("open"), message_id=F.concat(F.lit("m"), F.col("seq").cast("string")))
+    calls = st._events(asked.where("u AND seq % 3 <> 0"), kind=F.lit("call"), part=F.lit(1), call_id=call)
+    results = st._events(asked.where("NOT u"), kind=F.lit("result"), call_id=F.when(F.col("seq") % 4 == 1, "strange").otherwise(call))
+    return st.steps_batch(opens.unionByName(calls).unionByName(results)).select("run_id", "step", "message_id", "calls", "results")
 
 
 @query("j3_budgets", """

@@ -1,8 +1,8 @@
 """Run logs and account events as streams, and the same results as batch jobs.
 
 Streams read rolled files (a file source does not see appends to a file it has read), keep
-one small state per run or account, and let event time close what nobody closes. Events later
-than the watermark are dropped by Spark and counted in the query's progress. Each stateful
+one small state per run or account, and let event time close what nobody closes. How late an event may
+be is the caller's to say; later ones are dropped by Spark and counted in the query's progress. Each stateful
 operator has a batch twin that gives the stream's final table.
 """
 
@@ -62,8 +62,8 @@ def _plain_tool(name: Column) -> Column:
     return F.regexp_replace(name, "^mcp__[A-Za-z0-9]+__", "")
 
 
-def _rejected(output: Column) -> Column:
-    """A submission answered `accepted: false` is an error result whatever the tool said."""
+def _not_taken(output: Column) -> Column:
+    """Whether the answer itself says that the record was not taken."""
     return F.coalesce(F.try_variant_get(F.try_parse_json(output), "$.accepted", "boolean") == F.lit(False), F.lit(False))
 
 
@@ -97,7 +97,7 @@ def normalise_events(raw: DataFrame, dialect: str) -> DataFrame:
                         call_id=F.col("b.id"), name=_plain_tool(F.col("b.name")), text=F.coalesce("b.text", "b.thinking"))
         back = raw.where(kind == "user").select("run_id", "seq", F.posexplode(F.from_json(F.to_json(F.try_variant_get("obj", "$.message.content", "variant")), BLOCKS)).alias("pos", "b")).where("b.type = 'tool_result'")
         results = _events(back, kind=F.lit("result"), part=F.col("pos") + 1, call_id=F.col("b.tool_use_id"), text=F.col("b.content"),
-                          is_error=F.coalesce("b.is_error", F.lit(False)) | _rejected(F.col("b.content")))
+                          is_error=F.coalesce("b.is_error", F.lit(False)) | _not_taken(F.col("b.content")))
         ends = _events(raw.where(kind == "result"), kind=F.lit("end"), is_error=F.coalesce(_path("$.is_error", "boolean"), F.lit(False)))
         return first.unionByName(inner).unionByName(results).unionByName(ends)
     if dialect != "items":
@@ -108,7 +108,7 @@ def normalise_events(raw: DataFrame, dialect: str) -> DataFrame:
     output = F.when(F.col("t") == "command_execution", _path("$.item.aggregated_output")).otherwise(_path("$.item.result.content[0].text"))
     done = F.coalesce(_path("$.item.status") == "completed", F.lit(False))
     failed = (F.when(F.col("t") == "file_change", F.lit(True)).when(F.col("t") == "command_execution", ~done | ~F.coalesce(_path("$.item.exit_code", "int") == 0, F.lit(False)))
-              .otherwise(~done | _path("$.item.error.message").isNotNull() | _rejected(output)))
+              .otherwise(~done | _path("$.item.error.message").isNotNull() | _not_taken(output)))
     name = F.when(F.col("t") == "command_execution", "shell").when(F.col("t") == "file_change", "file_change").otherwise(_plain_tool(_path("$.item.tool")))
     tool = tool.withColumn("call_id", _path("$.item.id"))
     calls = _events(tool, kind=F.lit("call"), call_id=F.col("call_id"), name=name)
@@ -127,10 +127,10 @@ STEP_SCHEMA = "run_id string, step int, message_id string, calls int, results in
 
 
 class _Stepper(StatefulProcessor):
-    """Folds one run's events into steps; the open step is the only state."""
+    """Folds one run's events into steps; the open step and its calls are the only state."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getValueState("open", "step int, message_id string, calls int, results int, errors int, input bigint, output bigint, has_call boolean")
+        self.open = handle.getValueState("open", "step int, message_id string, calls int, results int, errors int, input bigint, output bigint, has_call boolean, ids array<string>")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803 - Spark's names
         state = list(self.open.get()) if self.open.exists() else None
@@ -138,20 +138,21 @@ class _Stepper(StatefulProcessor):
             if e.kind == "end":
                 if state is not None:
                     yield _step_row(key[0], state, True)
-                state = [state[0] if state else 0, None, 0, 0, 0, 0, 0, None]
+                state = [state[0] if state else 0, None, 0, 0, 0, 0, 0, None, []]
                 continue
             fresh = (e.kind == "open" and (state is None or state[1] != e.message_id)) or (
                 e.message_id is None and e.kind in ("text", "reasoning", "call") and (state is None or state[7] is not False))
             if fresh:
                 if state is not None and state[7] is not None:
                     yield _step_row(key[0], state, False)
-                state = [(state[0] if state else 0) + 1, e.message_id, 0, 0, 0, 0, 0, False]
+                state = [(state[0] if state else 0) + 1, e.message_id, 0, 0, 0, 0, 0, False, []]
             if state is None or state[7] is None:
                 continue
             if e.kind == "call":
-                state[2], state[7] = state[2] + 1, True
+                state[2], state[7], state[8] = state[2] + 1, True, [*state[8], e.call_id]
             elif e.kind == "result":
-                state[3], state[4] = state[3] + 1, state[4] + int(e.is_error)
+                mine = e.call_id in state[8]
+                state[3], state[4] = state[3] + mine, state[4] + (mine and e.is_error)
             elif e.input or e.output:
                 state[5], state[6] = (state[5] + e.input, state[6] + e.output) if e.kind == "usage" else (e.input, e.output)
         if state is not None:
@@ -168,6 +169,8 @@ def _step_row(run_id: str, s: list, closed: bool) -> Row:
 def sessionise_steps(events: DataFrame) -> DataFrame:
     """Streaming steps: a new message id closes the step before it, an end event the last one.
 
+    A result counts for the step whose call it answers, and only while that step is open.
+
     In the dialect without message ids a call closes the step: what follows opens the next, and
     the run's usage lands on the step open when it arrives.
     """
@@ -183,13 +186,17 @@ def steps_batch(events: DataFrame, size: int = 4096) -> DataFrame:
     flags = marked.select("run_id", "seq", "part", opens.cast("int").alias("opens"))
     every = events.join(flags, ["run_id", "seq", "part"], "left")
     placed = in_order(every, ["run_id"], order, bucket, sums={"step": F.coalesce("opens", F.lit(0))}).where("step > 0 AND kind <> 'end'")
+    called = placed.where("kind = 'call'").select("run_id", "step", "call_id", F.struct("seq", "part").alias("_called"))
+    called = called.groupBy("run_id", "step", "call_id").agg(F.min("_called").alias("_called"))
+    placed = placed.join(called, ["run_id", "step", "call_id"], "left")
+    answer = (F.col("kind") == "result") & F.coalesce(F.col("_called") < F.struct("seq", "part"), F.lit(False))
     is_open = F.col("kind") == "open"
     shown = is_open & ((F.col("input") > 0) | (F.col("output") > 0))
     used = F.col("kind") == "usage"
     at = F.struct("seq", "part")
     steps = placed.groupBy("run_id", F.col("step").cast("int").alias("step")).agg(
         F.min_by(F.when(is_open, F.col("message_id")), at).alias("message_id"), F.count_if(F.col("kind") == "call").cast("int").alias("calls"),
-        F.count_if(F.col("kind") == "result").cast("int").alias("results"), F.count_if((F.col("kind") == "result") & F.col("is_error")).cast("int").alias("errors"),
+        F.count_if(answer).cast("int").alias("results"), F.count_if(answer & F.col("is_error")).cast("int").alias("errors"),
         *[(F.coalesce(F.max_by(F.when(shown, F.col(c)), F.when(shown, at)), F.lit(0)) + F.coalesce(F.sum(F.when(used, F.col(c))), F.lit(0))).cast("bigint").alias(c) for c in ("input", "output")])
     return steps
 
@@ -243,30 +250,47 @@ def budgets_batch(calls: DataFrame, run: list[str], order: list[str], bucket: Co
 # --- erasure promises ---------------------------------------------------------------------------------------------
 
 class _Promise(StatefulProcessor):
-    """One account's soft deletes waiting for a purge, each with an event-time timer."""
+    """One account's soft deletes waiting for a purge, each with an event-time timer.
+
+    Times are whole microseconds, and equal times go by event id. Purges are kept for as long as a
+    marker from before them may still arrive.
+    """
 
     def __init__(self, days: int) -> None:
-        self.wait = days * 86_400_000
+        self.wait = days * 86_400_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "event_id bigint", "marked_ms bigint")
+        self.waiting = handle.getMapState("waiting", "event_id bigint", "us bigint")
+        self.purges = handle.getMapState("purges", "event_id bigint", "us bigint")
+
+    def _keeps(self, marker: tuple[int, int], purge: tuple[int, int]) -> bool:
+        return marker <= purge and purge[0] <= marker[0] + self.wait
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        for e in sorted(rows, key=lambda r: (r.ms, r.kind != "marker", r.event_id)):
+        for e in sorted(rows, key=lambda r: (r.us, r.event_id)):
+            here = (e.us, e.event_id)
             if e.kind == "marker":
-                self.waiting.updateValue((e.event_id,), (e.ms,))
-                self.handle.registerTimer(e.ms + self.wait)
+                if any(self._keeps(here, (us[0], ident[0])) for ident, us in self.purges.iterator()):
+                    yield Row(user_id=key[0], event_id=e.event_id, status="purged")
+                else:
+                    self.waiting.updateValue((e.event_id,), (e.us,))
+                    self.handle.registerTimer((e.us + self.wait) // 1000 + 1)
                 continue
-            for ident, marked in list(self.waiting.iterator()):
-                if marked[0] <= e.ms <= marked[0] + self.wait:
+            self.purges.updateValue((e.event_id,), (e.us,))
+            self.handle.registerTimer(e.us // 1000 + 1)
+            for ident, us in list(self.waiting.iterator()):
+                if self._keeps((us[0], ident[0]), here):
                     self.waiting.removeKey(ident)
                     yield Row(user_id=key[0], event_id=ident[0], status="purged")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        for ident, marked in list(self.waiting.iterator()):
-            if marked[0] + self.wait <= due:
+        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        for ident, us in list(self.purges.iterator()):
+            if us[0] < now:
+                self.purges.removeKey(ident)
+        for ident, us in list(self.waiting.iterator()):
+            if us[0] + self.wait < now:
                 self.waiting.removeKey(ident)
                 yield Row(user_id=key[0], event_id=ident[0], status="overdue")
 
@@ -274,9 +298,9 @@ class _Promise(StatefulProcessor):
         pass
 
 
-def erasure_timers(events: DataFrame, days: int) -> DataFrame:
+def erasure_timers(events: DataFrame, days: int, late: str = LATE) -> DataFrame:
     """`events` (user_id, event_id, ts, kind marker/purge) as a stream -> purged or overdue markers."""
-    timed = events.where("kind IN ('marker', 'purge')").withWatermark("ts", LATE).withColumn("ms", F.unix_millis("ts"))
+    timed = events.where("kind IN ('marker', 'purge')").withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
     return timed.groupBy("user_id").transformWithState(_Promise(days), "user_id bigint, event_id bigint, status string", "Append", "eventTime")
 
 
@@ -295,12 +319,12 @@ def erasure_timers_batch(events: DataFrame, days: int, bucket: Column | None = N
 
 # --- totals and silence ---------------------------------------------------------------------------------------------
 
-def live_totals(events: DataFrame, window: str = "1 hour") -> DataFrame:
+def live_totals(events: DataFrame, window: str = "1 hour", late: str = LATE) -> DataFrame:
     """Cost, calls and rejections per run and window; windows close with the watermark.
 
     `events`: run_id, ts, cost (decimal), is_call, is_rejection. Works on streams and tables alike.
     """
-    timed = events.withWatermark("ts", LATE) if events.isStreaming else events
+    timed = events.withWatermark("ts", late) if events.isStreaming else events
     return timed.groupBy("run_id", F.window("ts", window)).agg(
         F.sum("cost").alias("cost"), F.count_if("is_call").alias("calls"), F.count_if("is_rejection").alias("rejections")).select(
         "run_id", F.col("window.start").alias("start"), "cost", "calls", "rejections")
@@ -314,9 +338,9 @@ def reconcile_totals(totals: DataFrame, ends: DataFrame) -> DataFrame:
     return told.join(run, "run_id", "left").where(differs)
 
 
-def close_silent_runs(events: DataFrame, seconds: int = SILENCE_S) -> DataFrame:
+def close_silent_runs(events: DataFrame, seconds: int = SILENCE_S, late: str = LATE) -> DataFrame:
     """A synthetic end for every stretch of a run that went silent for `seconds` (streaming)."""
-    timed = events.withWatermark("ts", LATE) if events.isStreaming else events
+    timed = events.withWatermark("ts", late) if events.isStreaming else events
     quiet = timed.groupBy("run_id", F.session_window("ts", f"{seconds} seconds")).agg(F.count("*").alias("events"))
     return quiet.select("run_id", F.col("session_window.end").alias("ended_at"), "events", F.lit("timeout").alias("stop"))
 

@@ -104,6 +104,39 @@ def test_erasure_timers(spark, tmp_path):
     assert rows(got, "user_id", "event_id", "status") == want
 
 
+def test_late_and_equal_times(spark, tmp_path):
+    """A marker that arrives after its purge, and times that are equal but for the event id."""
+    def e(i, user, us, kind):
+        return {"event_id": i, "user_id": user, "ts": (T0 + dt.timedelta(microseconds=us)).isoformat(timespec="microseconds") + "Z", "kind": kind}
+    day = 86_400_000_000
+    events = [[e(11, 1, day // 4, "purge"), e(20, 2, 500, "purge"), e(30, 3, 900, "marker")],
+              [e(10, 1, 10, "marker"), e(21, 2, 500, "marker"), e(19, 2, 500, "marker"), e(31, 3, 901, "purge"), e(32, 3, 902, "marker")],
+              [e(90, 9, 30 * day, "marker")], [e(91, 9, 31 * day, "purge")]]
+    drop(tmp_path / "late", events)
+    schema = "event_id bigint, user_id bigint, ts timestamp, kind string"
+    got = drain(st.erasure_timers(stream(spark, tmp_path / "late", schema), 7), "late")
+    batch = st.erasure_timers_batch(spark.read.schema(schema).json(str(tmp_path / "late")), 7)
+    want = [(1, 10, "purged"), (2, 19, "purged"), (2, 21, "overdue"), (3, 30, "purged"), (3, 32, "overdue"), (9, 90, "purged")]
+    assert rows(batch, "user_id", "event_id", "status") == want
+    assert rows(got, "user_id", "event_id", "status") == want
+
+
+def test_results_of_other_steps(spark, tmp_path):
+    """A result counts only while the step that made its call is open."""
+    events = [
+        {"type": "assistant", "message": {"id": "m1", "content": [{"type": "tool_use", "id": "c1", "name": "grep"}]}},
+        {"type": "user", "message": {"content": [{"type": "tool_result", "tool_use_id": "stray", "content": "x"}]}},
+        {"type": "assistant", "message": {"id": "m2", "content": [{"type": "tool_use", "id": "c2", "name": "grep"}]}},
+        {"type": "user", "message": {"content": [{"type": "tool_result", "tool_use_id": "c1", "content": "late"}, {"type": "tool_result", "tool_use_id": "c2", "content": "ok"}]}},
+        {"type": "result", "is_error": False}]
+    table = st.normalise_events(raw(spark, "a", events), "messages")
+    want = [("a", 1, 1, 0), ("a", 2, 1, 1)]
+    assert rows(st.steps_batch(table, 2), "run_id", "step", "calls", "results") == want
+    every = [json.loads(r) for r in table.orderBy("seq", "part").toJSON().collect()]
+    drop(tmp_path / "stray", [every[:2], every[2:]])
+    assert rows(drain(st.sessionise_steps(stream(spark, tmp_path / "stray", table.schema)), "stray"), "run_id", "step", "calls", "results") == want
+
+
 def test_totals_and_silence(spark, tmp_path):
     def e(run, minute, cost="1.00"):
         return {"run_id": run, "ts": (T0 + dt.timedelta(minutes=minute)).isoformat() + "Z", "cost": cost, "is_call": True, "is_rejection": minute % 2 == 1}
