@@ -26,7 +26,9 @@ from datarights.llm.common import KEY, column_bytes
 from datarights.session import stage
 
 LEAST_DOCS = 10
-_FIELD = re.compile(rb"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*")
+_DIGIT = re.compile(rb"[0-9]")
+_BLANK = re.compile(rb"[ \n]")
+_BLANKS = bytes.maketrans(b"\t\v\f\r", b"    ")
 VARIABLE = b"<*>"
 
 
@@ -37,7 +39,14 @@ def _hash(data: bytes) -> int:
 
 def masked_lines(text: bytes | None) -> list[list[bytes]]:
     """The tokens of every line, fields with a digit replaced; a blank line has none."""
-    return [line.split() for line in _FIELD.sub(VARIABLE, text or b"").split(b"\n")]
+    text, parts, at = (text or b"").translate(_BLANKS), [], 0
+    for digit in _DIGIT.finditer(text):
+        i = digit.start()
+        if i >= at:
+            parts += text[at: 1 + max(text.rfind(b" ", at, i), text.rfind(b"\n", at, i), at - 1)], VARIABLE
+            end = _BLANK.search(text, i)
+            at = end.start() if end else len(text)
+    return [line.split() for line in b"".join([*parts, text[at:]]).split(b"\n")]
 
 
 def leaf_of(tokens: list[bytes]) -> int:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from datarights.llm import decontaminate, interpolation, minhash, packing, queries, recompress
+from datarights.llm import decontaminate, interpolation, log_templates, minhash, packing, queries, recompress
 from datarights.llm.common import LOWER, UPPER, crc_mod, hash_words
 from datarights.llm.exact import exact_groups
 from datarights.llm.html_wrappers import align, blocks_of, collapse, extract_main_text, fold
@@ -294,6 +294,12 @@ def test_pipeline(spark, docs, texts):
     check_packing(rows, {r.doc_id: r.text for r in left.collect()})
 
 
+def test_masked_lines():
+    text = b"a1 b 22\n\tx\r\ny9z9 w\n7\n\nno digits\v3a"
+    assert log_templates.masked_lines(text) == [[re.sub(rb".*[0-9].*", b"<*>", w) for w in line.split()] for line in text.split(b"\n")]
+    assert log_templates.masked_lines(None) == log_templates.masked_lines(b"") == [[]]
+
+
 def test_folds(spark, docs):
     got = {r.doc_id: r.m for r in docs.select("doc_id", crc_mod(F.col("doc_id"), 7).alias("m")).collect()}
     assert got == {d: zlib.crc32(str(d).encode()) % 7 for d in got}
