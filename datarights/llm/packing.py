@@ -25,14 +25,14 @@ from datarights.session import stage
 
 SIZE = 4096
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-_CACHE_WORDS = 700_000
+_CACHE_WORDS = 300_000
 _TOKENIZERS: dict[str, tuple] = {}
 #: Where lower-casing A-Z first could change a token: a special token's name, or a letter with a combining mark.
 _AS_IT_IS = re.compile(r"[A-Z][\u0300-\U0010ffff]")
 
 
 def _encoder(path: str):
-    """The tokenizer of a file and two generations of stretches already encoded; one per Python worker."""
+    """The tokenizer of a file and which ids end a word; one per Python worker."""
     if path not in _TOKENIZERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -40,7 +40,7 @@ def _encoder(path: str):
         tokenizer = Tokenizer.from_file(path)
         ends = np.zeros(tokenizer.get_vocab_size(), bool)
         ends[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-        _TOKENIZERS[path] = (tokenizer, ends, {}, {})
+        _TOKENIZERS[path] = (tokenizer, ends)
     return _TOKENIZERS[path]
 
 
@@ -85,33 +85,42 @@ def _learn(tokenizer, word_end: np.ndarray, seen: dict[str, bytes], words: set[s
     seen.update((w, seen[w[:-1]] + seen[w[-1]]) for w in signed)
 
 
-def token_bytes(texts: list[bytes | None], path: str, end_id: int) -> Iterator[bytes]:
+class Seen:
+    """Stretches already encoded in this task, in two generations so that memory has a bound."""
+
+    def __init__(self):
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+
+def token_bytes(texts: list[bytes | None], path: str, end_id: int, seen: Seen | None = None) -> Iterator[bytes]:
     """Ids of each text, then `end_id`, as little-endian unsigned 32-bit values.
 
     The tokenizer of the file lower-cases and never joins over white space, so stretches between
     blanks are encoded once and looked up afterwards.
     """
-    tokenizer, word_end, seen, older = _encoder(path)
+    (tokenizer, word_end), seen = _encoder(path), seen or Seen()
     split = [_stretches(t or b"") for t in texts]
-    fresh = set().union(*split) - seen.keys()
-    if len(seen) + len(fresh) > _CACHE_WORDS:
-        _TOKENIZERS[path] = tokenizer, word_end, seen, older = tokenizer, word_end, {}, seen
+    fresh = set().union(*split) - seen.new.keys()
+    if len(seen.new) + len(fresh) > _CACHE_WORDS:
+        seen.new, seen.old = {}, seen.new
         fresh = set().union(*split)
-    known = fresh & older.keys()
-    seen.update((w, older[w]) for w in known)
-    _learn(tokenizer, word_end, seen, fresh - known)
+    known = fresh & seen.old.keys()
+    seen.new.update((w, seen.old[w]) for w in known)
+    _learn(tokenizer, word_end, seen.new, fresh - known)
     end = np.array([end_id], "<u4").tobytes()
     for words in split:
-        yield b"".join(map(seen.__getitem__, words)) + end
+        yield b"".join(map(seen.new.__getitem__, words)) + end
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int = 1) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: every text's ids cut at `size`."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
         for batch in slices(batches):
             ids, rows = batch.column("doc_id").to_pylist(), []
-            for doc_id, data in zip(ids, token_bytes(column_bytes(batch), tokenizer_path, end_id), strict=True):
+            for doc_id, data in zip(ids, token_bytes(column_bytes(batch), tokenizer_path, end_id, seen), strict=True):
                 for piece, at in enumerate(range(0, len(data), 4 * size)):
                     part = data[at: at + 4 * size]
                     rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
