@@ -1,13 +1,15 @@
 """The fact job: source files in, one tagged row per symbol, class, call, import, assignment out.
 
-Parsing is per file and local; everything that decides happens later, in joins. The helper
-below only records what is written, it resolves no name and evaluates no value.
+Parsing is per file and local; everything that decides happens later, in joins. A file is laid out
+flat first: every node of its syntax tree in reading order, with the names it stands under. Tables then
+say which rows a node of a type gives. Nothing is resolved or evaluated.
 """
 
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,8 +35,9 @@ ARROW = pa.schema([
     ("receiver", _TEXT), ("names", _LIST), ("keys", _LIST), ("args", pa.list_(_ARG)), ("kw", pa.map_(pa.string(), _ARG)),
     ("raw_kw", pa.map_(pa.string(), pa.string())), ("decorators", pa.list_(_DEC)), ("parent", _WHOLE)])
 
-FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
-COMPOUND = (*FUNCTIONS, ast.ClassDef, ast.For, ast.AsyncFor, ast.While, ast.If, ast.With, ast.AsyncWith, ast.Try, ast.TryStar, ast.Match)
+#: Statements that hold others; the rest are spans of their own.
+HOLDERS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.For, ast.AsyncFor, ast.While, ast.If, ast.With, ast.AsyncWith, ast.Try, ast.TryStar, ast.Match)
+MARKS = ("classmethod", "staticmethod", "property")
 
 
 def module_of(path: str) -> str:
@@ -42,208 +45,250 @@ def module_of(path: str) -> str:
     return ".".join(parts[:-1] if parts[-1] == "__init__" else parts)
 
 
-def written(node: ast.AST | None) -> str:
-    """A name chain as written, calls in it shown as `()`; empty for anything else."""
-    match node:
-        case ast.Name(id=name):
-            return name
-        case ast.Attribute(value=inner, attr=attr):
-            head = written(inner)
-            return head and f"{head}.{attr}"
-        case ast.Call(func=func):
-            head = written(func)
-            return head and head + "()"
-        case ast.Constant(value=str() as text):
-            return repr(text)
-    return ""
+# --- expressions as text and as cells ----------------------------------------------------------------------
 
+def _chained(head: str, rest: str) -> str:
+    return head + rest if head else ""
+
+
+#: How a link of a name chain is written; other expressions have no chain.
+LINKS: dict[type, Callable[[ast.AST], str]] = {
+    ast.Name: lambda n: n.id,
+    ast.Attribute: lambda n: _chained(chain(n.value), "." + n.attr),
+    ast.Call: lambda n: _chained(chain(n.func), "()"),
+    ast.Constant: lambda n: repr(n.value) if isinstance(n.value, str) else "",
+}
 
-def _strings(nodes) -> list[str]:
-    return [n.value for n in nodes if isinstance(n, ast.Constant) and isinstance(n.value, str)]
 
+def chain(node: ast.AST | None) -> str:
+    """A dotted chain as written, with `()` for a call in it."""
+    return LINKS[type(node)](node) if type(node) in LINKS else ""
 
-def _attrs(node: ast.AST) -> list[str]:
-    return [n.attr for n in ast.walk(node) if isinstance(n, ast.Attribute)]
 
+def _below(node: ast.AST, kind: type, cell: str) -> list[str]:
+    return [getattr(n, cell) for n in ast.walk(node) if isinstance(n, kind)]
 
-def _names(node: ast.AST) -> list[str]:
-    return [n.id for n in ast.walk(node) if isinstance(n, ast.Name)]
+
+def _texts(nodes) -> list[str]:
+    return [n.value for n in nodes if isinstance(n, ast.Constant) and isinstance(n.value, str)]
 
 
-def describe(node: ast.AST) -> dict:
-    """An argument or value, described and never evaluated."""
-    kind, value, prefix, names, keys, refs = "other", "", "", [], [], []
-    match node:
-        case ast.Constant(value=constant):
-            kind, value = "literal", str(constant)
-        case ast.Name(id=name):
-            kind, value = "name", name
-        case ast.Attribute(attr=attr):
-            kind, value, names = "attribute", written(node), [attr]
-        case ast.JoinedStr(values=parts):
-            kind, names, fixed = "fstring", _attrs(node), True
-            for part in parts:
-                text = part.value if isinstance(part, ast.Constant) else None
-                fixed = fixed and text is not None
-                prefix += text if fixed else ""
-                value += text if text is not None else "{" + written(part.value) + "}"
-        case ast.Dict():
-            kind, value, keys, names = "dict", "{...}", _strings(k for k in node.keys if k), _attrs(node)
-        case ast.List() | ast.Tuple() | ast.Set():
-            kind, value, keys = "sequence", "[...]", _strings(node.elts)
-        case ast.Call(func=func):
-            kind, value = "call", written(func)
-            names, keys, refs = _attrs(node), _strings(ast.walk(node)), _names(node)
-        case _:
-            value, names = ast.unparse(node), _attrs(node)
-    return {"kind": kind, "value": value, "prefix": prefix, "names": names, "keys": keys, "refs": refs}
+def _template(node: ast.JoinedStr) -> tuple[str, str]:
+    """A formatted string with its fields in braces, and the fixed text it begins with."""
+    parts = [p.value if isinstance(p, ast.Constant) else None for p in node.values]
+    fields = [n for n, p in enumerate(parts) if p is None]
+    shown = [p if p is not None else "{" + chain(node.values[n].value) + "}" for n, p in enumerate(parts)]
+    return "".join(shown), "".join(parts[: fields[0] if fields else None])
 
 
-def _keywords(call: ast.Call | ast.ClassDef, show) -> list[tuple[str, object]]:
-    return [(k.arg, show(k.value)) for k in call.keywords if k.arg]
+#: Kind and text of an expression by its type; the kind `other` is its source.
+KINDS: dict[type, tuple[str, Callable[[ast.AST], str]]] = {
+    ast.Constant: ("literal", lambda n: str(n.value)),
+    ast.Name: ("name", chain),
+    ast.Attribute: ("attribute", chain),
+    ast.Call: ("call", lambda n: chain(n.func)),
+    ast.JoinedStr: ("fstring", lambda n: _template(n)[0]),
+    ast.Dict: ("dict", lambda n: "{...}"),
+    **{t: ("sequence", lambda n: "[...]") for t in (ast.List, ast.Tuple, ast.Set)},
+}
+#: The texts that an expression holds up, by kind: a mapping's keys, a sequence's items, anything in a call.
+KEYS: dict[str, Callable[[ast.AST], list[str]]] = {
+    "dict": lambda n: _texts(k for k in n.keys if k), "sequence": lambda n: _texts(n.elts), "call": lambda n: _texts(ast.walk(n))}
+
+
+def cells(node: ast.AST) -> dict:
+    """An argument or value as the cells of ARG."""
+    kind, text = KINDS.get(type(node), ("other", ast.unparse))
+    own = kind in ("literal", "name", "sequence")
+    names = [] if own else [node.attr] if kind == "attribute" else _below(node, ast.Attribute, "attr")
+    return {"kind": kind, "value": text(node), "prefix": _template(node)[1] if kind == "fstring" else "", "names": names,
+            "keys": KEYS[kind](node) if kind in KEYS else [], "refs": _below(node, ast.Name, "id") if kind == "call" else []}
 
 
 def _plain(node: ast.AST) -> str:
-    text = written(node).strip("'\"")
-    if text:
-        return text
-    arg = describe(node)
-    return ",".join(arg["keys"]) or arg["value"]
+    """The shortest text of a decorator's argument: its chain without quotes, its texts, its value."""
+    seen = cells(node)
+    return chain(node).strip("'\"") or ",".join(seen["keys"]) or seen["value"]
 
 
-def _decorator(node: ast.expr) -> dict:
-    call = node if isinstance(node, ast.Call) else None
-    dotted = written(call.func if call else node)
-    return {"name": dotted.rpartition(".")[2], "dotted": dotted, "args": [_plain(a) for a in call.args] if call else [],
-            "keywords": _keywords(call, _plain) if call else [], "line": node.lineno}
+def _named(keywords: list[ast.keyword], show: Callable) -> list[tuple[str, object]]:
+    return [(k.arg, show(k.value)) for k in keywords if k.arg]
 
 
-def _package(module: str, is_package: bool, level: int) -> str:
-    parts = module.split(".") if module else []
-    parts = parts if is_package else parts[:-1]
-    return ".".join(parts[:len(parts) - level + 1] if level > 1 else parts)
+def _decorators(node) -> list[dict]:
+    rows = []
+    for mark in node.decorator_list:
+        args, keywords = (mark.args, mark.keywords) if isinstance(mark, ast.Call) else ([], [])
+        dotted = chain(mark.func if isinstance(mark, ast.Call) else mark)
+        rows.append({"name": dotted.split(".")[-1], "dotted": dotted, "args": list(map(_plain, args)), "keywords": _named(keywords, _plain), "line": mark.lineno})
+    return rows
 
 
-def file_facts(repo_id: str, path: str, source: str) -> Iterator[dict]:
-    """Every fact of one file, in reading order; one `error` fact where it does not parse."""
-    module = module_of(path)
-    is_package = path.rpartition("/")[2] == "__init__.py"
-    out: list[dict] = []
+# --- the flat file -----------------------------------------------------------------------------------------
 
-    def add(fact: str, **cells) -> int:
-        out.append({"fact": fact, "repo_id": repo_id, "path": path, "module": module, "seq": len(out), **cells})
-        return len(out) - 1
+@dataclass(frozen=True)
+class Place:
+    """Where a node stands: the names above it, the class it belongs to, how many functions are
+    open, and whether a function is the innermost of the classes and functions."""
 
+    module: str
+    package: bool
+    trail: tuple[str, ...] = ()
+    owner: str | None = None
+    functions: int = 0
+    in_function: bool = False
+
+    def named(self, *more: str) -> str:
+        return ".".join(p for p in (self.module, *self.trail, *more) if p)
+
+    def caller(self) -> str:
+        return self.named() if self.functions else ".".join(p for p in (self.module, "<module>") if p)
+
+    def inside(self, node: ast.AST) -> Place:
+        if isinstance(node, ast.ClassDef):
+            return replace(self, trail=(*self.trail, node.name), owner=self.named(node.name), in_function=False)
+        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
+            return replace(self, trail=(*self.trail, node.name), functions=self.functions + 1, in_function=True)
+        return self
+
+
+def laid_out(tree: ast.Module, top: Place) -> Iterator[tuple[ast.AST, Place]]:
+    """Every node below the module in reading order. Of classes and functions only the bodies are
+    entered: their decorators, bases and defaults are cells of their own row."""
+    todo = [(n, top) for n in reversed(tree.body)]
+    while todo:
+        node, place = todo.pop()
+        yield node, place
+        below = node.body if hasattr(node, "decorator_list") else [] if isinstance(node, (ast.Import, ast.ImportFrom)) else list(ast.iter_child_nodes(node))
+        inner = place.inside(node)
+        todo += [(n, inner) for n in reversed(below)]
+
+
+# --- rows by type of node ------------------------------------------------------------------------------------
+
+Rows = Iterator[tuple[str, dict]]
+
+
+def bound(node: ast.stmt) -> list[dict]:
+    """What an assignment or a loop binds: one set of cells per target with a chain."""
+    loop = isinstance(node, (ast.For, ast.AsyncFor))
+    source = node.iter if loop else node.value
+    if source is None:
+        return []
+    if loop:
+        what = {"kind": "for", "text": chain(source), "keys": []}
+    else:
+        seen = cells(source)
+        empty = isinstance(source, ast.Constant) and source.value is None
+        what = {"kind": "none" if empty else seen["kind"], "text": seen["value"], "keys": _texts(ast.walk(source))}
+    what["names"] = sorted(set(_below(source, ast.Name, "id")))
+    targets = node.targets if isinstance(node, ast.Assign) else [node.target]
+    return [{"name": name, "line": node.lineno, **what} for name in map(chain, targets) if name]
+
+
+def assignments(node: ast.stmt, place: Place) -> Rows:
+    for what in bound(node):
+        yield "assign", {"scope": place.named() if place.in_function else None, **what}
+        if isinstance(node, ast.Assign) and isinstance(node.value, ast.Lambda):
+            yield "symbol", {"name": place.named(what["name"]), "short": what["name"], "kind": "lambda", "owner": place.owner, "line": node.lineno,
+                             "end_line": node.end_lineno, "nested": False, "decorators": [], "names": [a.arg for a in node.value.args.args]}
+
+
+def functions(node: ast.FunctionDef, place: Place) -> Rows:
+    decorators = _decorators(node)
+    method = place.owner is not None and not place.functions
+    held = [m for m in MARKS if any(d["name"] == m for d in decorators)]
+    yield "symbol", {"name": place.named(node.name), "short": node.name, "kind": ([*["method"], *held][-1]) if method else "function", "owner": place.owner,
+                     "line": node.lineno, "end_line": node.end_lineno, "nested": place.functions > 0, "decorators": decorators,
+                     "names": [a.arg for a in (*node.args.args, *node.args.kwonlyargs)]}
+
+
+def classes(node: ast.ClassDef, place: Place) -> Rows:
+    name = place.named(node.name)
+    yield "class", {"name": name, "short": node.name, "line": node.lineno, "end_line": node.end_lineno, "names": list(map(chain, node.bases)),
+                    "decorators": _decorators(node), "raw_kw": _named(node.keywords, lambda v: chain(v) or cells(v)["value"])}
+    for line in node.body:
+        for what in bound(line) if isinstance(line, (ast.Assign, ast.AnnAssign)) else []:
+            yield "class_assign", {"owner": name, **what}
+            if isinstance(line.value, ast.Call):
+                yield from declared(name, what["name"], line.value)
+
+
+def declared(owner: str, name: str, call: ast.Call) -> Rows:
+    """The call a class attribute is set to and the calls among its arguments, each with how many rows before it its outer call is."""
+    todo: list[tuple[ast.Call, int | None]] = [(call, None)]
+    at = 0
+    while todo:
+        call, outer = todo.pop()
+        yield "field", {"owner": owner, "name": name, "text": chain(call.func), "line": call.lineno, "back": None if outer is None else at - outer,
+                        "args": list(map(cells, call.args)), "kw": _named(call.keywords, cells), "names": list(map(chain, call.args)), "raw_kw": _named(call.keywords, chain)}
+        inner = [*call.args, *(k.value for k in call.keywords)]
+        todo += [(c, at) for c in reversed(inner) if isinstance(c, ast.Call)]
+        at += 1
+
+
+def calls(node: ast.Call, place: Place) -> Rows:
+    func, line = node.func, node.lineno
+    form = {ast.Name: "name", ast.Attribute: "attribute"}.get(type(func), "other")
+    name = {"name": lambda: func.id, "attribute": lambda: func.attr}.get(form, str)()
+    receiver = chain(func.value) if form == "attribute" else ""
+    text = chain(func) or (f"{receiver}.{name}" if form == "attribute" else "")
+    yield "call", {"scope": place.caller(), "kind": form, "name": name, "receiver": receiver, "text": text, "line": line,
+                   "args": list(map(cells, node.args)), "kw": _named(node.keywords, cells)}
+    for handed in (*node.args, *(k.value for k in node.keywords)):
+        if isinstance(handed, ast.Name):
+            yield "name_ref", {"scope": place.caller(), "name": handed.id, "line": line}
+
+
+def plain_imports(node: ast.Import, place: Place) -> Rows:
+    scope = place.named() if place.functions else None
+    for alias in node.names:
+        yield "import", {"scope": scope, "name": alias.asname or alias.name, "text": alias.name, "kind": "name"}
+        if alias.asname is None:
+            top = alias.name.split(".")[0]
+            yield "import", {"scope": scope, "name": top, "text": top, "kind": "head"}
+
+
+def imports_from(node: ast.ImportFrom, place: Place) -> Rows:
+    """Relative modules count dots from the package the file is in."""
+    scope = place.named() if place.functions else None
+    base = [node.module] if node.module else []
+    if node.level:
+        parts = [p for p in place.module.split(".") if p]
+        up = node.level - 1 + (not place.package)
+        base = parts[: max(0, len(parts) - up)] + base
+    origin = ".".join(base)
+    for alias in node.names:
+        star = alias.name == "*"
+        yield "import", {"scope": scope, "name": "*" if star else alias.asname or alias.name, "kind": "star" if star else "name",
+                         "text": origin if star else ".".join(p for p in (origin, alias.name) if p)}
+
+
+GIVES: dict[type, Callable[[ast.AST, Place], Rows]] = {
+    ast.ClassDef: classes, ast.FunctionDef: functions, ast.AsyncFunctionDef: functions, ast.Call: calls, ast.Import: plain_imports, ast.ImportFrom: imports_from,
+    ast.Assign: assignments, ast.AnnAssign: assignments, ast.For: assignments, ast.AsyncFor: assignments}
+
+
+def file_facts(repo_id: str, path: str, source: str) -> Iterator[dict]:
+    """Every fact of one file, in reading order; one `error` fact where it does not parse."""
+    top = Place(module_of(path), path.split("/")[-1] == "__init__.py")
+    common = {"repo_id": repo_id, "path": path, "module": top.module}
     try:
         tree = ast.parse(source)
-    except (SyntaxError, ValueError) as exc:
-        add("error", text=type(exc).__name__)
-        return iter(out)
-
-    def field(cls: str, target: str, call: ast.Call, parent: int | None) -> None:
-        me = add("field", owner=cls, name=target, text=written(call.func), line=call.lineno, parent=parent,
-                 args=[describe(a) for a in call.args], kw=_keywords(call, describe), names=[written(a) for a in call.args],
-                 raw_kw=_keywords(call, written))
-        for inner in [*call.args, *(k.value for k in call.keywords)]:
-            if isinstance(inner, ast.Call):
-                field(cls, target, inner, me)
-
-    def bindings(node: ast.stmt) -> list[dict]:
-        """What an assignment or a loop header binds."""
-        if isinstance(node, (ast.For, ast.AsyncFor)):
-            cells = {"kind": "for", "text": written(node.iter), "names": sorted(set(_names(node.iter))), "keys": []}
-            targets = [node.target]
-        elif node.value is None:
-            return []
-        else:
-            arg = describe(node.value)
-            none = isinstance(node.value, ast.Constant) and node.value.value is None
-            cells = {"kind": "none" if none else arg["kind"], "text": arg["value"], "names": sorted(set(_names(node.value))),
-                     "keys": _strings(ast.walk(node.value))}
-            targets = node.targets if isinstance(node, ast.Assign) else [node.target]
-        return [{"name": written(t), "line": node.lineno, **cells} for t in targets if written(t)]
-
-    def imports(node: ast.Import | ast.ImportFrom, scope: str | None) -> None:
-        if isinstance(node, ast.Import):
-            for alias in node.names:
-                add("import", scope=scope, name=alias.asname or alias.name, text=alias.name, kind="name")
-                if not alias.asname:
-                    head = alias.name.partition(".")[0]
-                    add("import", scope=scope, name=head, text=head, kind="head")
-            return
-        base = node.module or ""
-        if node.level:
-            package = _package(module, is_package, node.level)
-            base = f"{package}.{base}" if package and base else package or base
-        for alias in node.names:
-            if alias.name == "*":
-                add("import", scope=scope, name="*", text=base, kind="star")
-            else:
-                add("import", scope=scope, name=alias.asname or alias.name, kind="name",
-                    text=f"{base}.{alias.name}" if base else alias.name)
-
-    def qualified(trail: tuple[str, ...]) -> str:
-        return ".".join(p for p in (module, *trail) if p)
-
-    def visit(node: ast.AST, trail: tuple[str, ...], owner: str | None, depth: int, in_body: bool) -> None:
-        """`trail`: enclosing names; `depth`: enclosing functions; `in_body`: the innermost is one."""
-        here = qualified(trail)
-        caller = here if depth else (f"{module}.<module>" if module else "<module>")
-        if isinstance(node, ast.ClassDef):
-            name = qualified((*trail, node.name))
-            add("class", name=name, short=node.name, line=node.lineno, end_line=node.end_lineno, names=[written(b) for b in node.bases],
-                decorators=[_decorator(d) for d in node.decorator_list],
-                raw_kw=_keywords(node, lambda v: written(v) or describe(v)["value"]))
-            for stmt in node.body:
-                if isinstance(stmt, (ast.Assign, ast.AnnAssign)):
-                    for cells in bindings(stmt):
-                        add("class_assign", owner=name, **cells)
-                        if isinstance(stmt.value, ast.Call):
-                            field(name, cells["name"], stmt.value, None)
-            for stmt in node.body:
-                visit(stmt, (*trail, node.name), name, depth, False)
-            return
-        if isinstance(node, FUNCTIONS):
-            decorators = [_decorator(d) for d in node.decorator_list]
-            marks = [m for m in ("classmethod", "staticmethod", "property") if m in {d["name"] for d in decorators}]
-            kind = (marks[-1] if marks else "method") if owner and not depth else "function"
-            add("symbol", name=qualified((*trail, node.name)), short=node.name, kind=kind, owner=owner, line=node.lineno,
-                end_line=node.end_lineno, nested=bool(depth), decorators=decorators,
-                names=[a.arg for a in (*node.args.args, *node.args.kwonlyargs)])
-            for stmt in node.body:
-                visit(stmt, (*trail, node.name), owner, depth + 1, True)
-            return
-        if isinstance(node, (ast.Import, ast.ImportFrom)):
-            imports(node, here if depth else None)
-            return
-        if isinstance(node, (ast.Assign, ast.AnnAssign, ast.For, ast.AsyncFor)):
-            for cells in bindings(node):
-                add("assign", scope=here if in_body else None, **cells)
-                if isinstance(node, ast.Assign) and isinstance(node.value, ast.Lambda):
-                    add("symbol", name=qualified((*trail, cells["name"])), short=cells["name"], kind="lambda", owner=owner,
-                        line=node.lineno, end_line=node.end_lineno, nested=False, decorators=[], names=[a.arg for a in node.value.args.args])
-        if isinstance(node, ast.Call):
-            func, form, name, receiver = node.func, "other", "", ""
-            if isinstance(func, ast.Name):
-                form, name = "name", func.id
-            elif isinstance(func, ast.Attribute):
-                form, name, receiver = "attribute", func.attr, written(func.value)
-            dotted = written(func) or (f"{receiver}.{name}" if form == "attribute" else "")
-            add("call", scope=caller, kind=form, name=name, receiver=receiver, text=dotted, line=node.lineno,
-                args=[describe(a) for a in node.args], kw=_keywords(node, describe))
-            for arg in (*node.args, *(k.value for k in node.keywords)):
-                if isinstance(arg, ast.Name):
-                    add("name_ref", scope=caller, name=arg.id, line=node.lineno)
-        for child in ast.iter_child_nodes(node):
-            visit(child, trail, owner, depth, in_body)
-
-    add("module", name=module, kind="package" if is_package else "module")
-    for stmt in tree.body:
-        visit(stmt, (), None, 0, False)
+    except (SyntaxError, ValueError) as failed:
+        yield {"fact": "error", **common, "seq": 0, "text": type(failed).__name__}
+        return
+    yield {"fact": "module", **common, "seq": 0, "name": top.module, "kind": "package" if top.package else "module"}
+    seq = 1
+    for node, place in laid_out(tree, top):
+        for fact, row in GIVES[type(node)](node, place) if type(node) in GIVES else ():
+            back = row.pop("back", None)
+            yield {"fact": fact, **common, "seq": seq, **row, **({"parent": seq - back} if back else {})}
+            seq += 1
     for node in ast.walk(tree):
-        if isinstance(node, ast.stmt) and not isinstance(node, COMPOUND):
-            add("span", line=node.lineno, end_line=node.end_lineno)
-    return iter(out)
+        if isinstance(node, ast.stmt) and not isinstance(node, HOLDERS):
+            yield {"fact": "span", **common, "seq": seq, "line": node.lineno, "end_line": node.end_lineno}
+            seq += 1
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,8 +305,7 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fact_rows(files: DataFrame) -> DataFrame:
     """One pass over `files` (repo_id, path, text): the tagged fact table, not yet written."""
-    spread = files.select("repo_id", "path", "text").repartition("repo_id", "path")
-    return spread.mapInArrow(_batches, SCHEMA)
+    return files.select("repo_id", "path", "text").mapInArrow(_batches, SCHEMA)
 
 
 def extract_facts(files: DataFrame) -> dict[str, DataFrame]:
