@@ -240,7 +240,7 @@ def rating_cross_check(claimed: DataFrame, computed: DataFrame, by: list[str]) -
 
 def resolved_history(rejections: DataFrame, accepted: DataFrame, record: list[str]) -> DataFrame:
     """Each rejected claim with what the accepted record says now; each missing store with the
-    attempt that added it. `rejections`: record, attempt, kind, store. `accepted`: record, store, verdict."""
+    attempt that added it; bad citations as they were. `rejections`: record, attempt, kind, store. `accepted`: record, store, verdict."""
     now = accepted.select(*record, "store", F.col("verdict").alias("revised_to"), F.lit(True).alias("_in"))
     out = rejections.join(now, [*record, "store"], "left")
     added = F.when((F.col("kind") == "missing_store") & F.col("_in"), F.col("attempt") + 1)

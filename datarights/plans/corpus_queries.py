@@ -47,8 +47,11 @@ DOC_LINES_SQL = """dl AS (SELECT source AS repo_id, doc_id, unnest(string_split(
 lines AS (SELECT d.* FROM dl d JOIN (SELECT doc_id, len(string_split(text, chr(10))) AS k, text LIKE '%' || chr(10) OR text = '' AS e FROM documents) z USING (doc_id) WHERE NOT (z.e AND d.line = z.k))"""
 
 
-def doc_lines(spark, sf):
+def doc_lines(spark, sf, cited=None):
+    """Lines of the documents; with `cited` (doc_id) only of those, before any text becomes lines."""
     docs = read(spark, sf, "documents").select(F.col("source").alias("repo_id"), "doc_id", "text")
+    if cited is not None:
+        docs = docs.join(cited.select("doc_id").distinct(), "doc_id", "left_semi")
     return co.lines(docs, ["repo_id", "doc_id"])
 
 
@@ -99,8 +102,7 @@ def i1_grep(spark, sf):
 b AS (SELECT h.doc_id, h.line, h.literal, string_agg(l.text, chr(10) ORDER BY l.line) AS block FROM h JOIN lines l ON l.doc_id = h.doc_id AND l.line BETWEEN h.line AND h.line + 5 WHERE h.literal IS NOT NULL GROUP BY 1, 2, 3)
 SELECT doc_id, line::INT AS line, literal FROM b WHERE regexp_matches(block, '(?i)[a-z.]+\\s+[0-9]')""")
 def e14_versioning(spark, sf):
-    table = doc_lines(spark, sf).select("doc_id", "line", "text")
-    return co.versioning(table, ["doc_id"], ["@", "icense"], r"(?i)[a-z.]+\s+[0-9]", 5)
+    return co.versioning(read(spark, sf, "documents"), ["doc_id"], ["@", "icense"], r"(?i)[a-z.]+\s+[0-9]", 5)
 
 
 SPANS_SQL = "spans AS (SELECT doc_id, line AS start, (line + length(text) % 4)::INT AS \"end\" FROM lines WHERE line % 2 = 1)"
@@ -108,8 +110,8 @@ CITES_SQL = """cites AS (SELECT doc_id AS cite_id, CASE WHEN toxic = 1 THEN -1 E
  CASE doc_id % 4 WHEN 0 THEN 'The' WHEN 1 THEN 'of.the' WHEN 2 THEN '!!' ELSE 'les' END AS symbol FROM labels)"""
 
 
-def doc_spans(spark, sf):
-    return doc_lines(spark, sf).where("line % 2 = 1").select("doc_id", F.col("line").alias("start"), (F.col("line") + F.length("text") % 4).alias("end"))
+def doc_spans(spark, sf, cited=None):
+    return doc_lines(spark, sf, cited).where("line % 2 = 1").select("doc_id", F.col("line").alias("start"), (F.col("line") + F.length("text") % 4).alias("end"))
 
 
 def label_cites(spark, sf):
@@ -124,7 +126,8 @@ def label_cites(spark, sf):
 j AS (SELECT cite_id, arg_min(struct_pack(s := start, e := "end"), struct_pack(l := "end" - start, s := start)) AS b FROM cites JOIN spans USING (doc_id) WHERE line BETWEEN start AND "end" GROUP BY 1)
 SELECT cite_id, c.line, b.s::INT AS start, b.e::INT AS "end" FROM cites c LEFT JOIN j USING (cite_id)""")
 def c14_enclosing_span(spark, sf):
-    return cl.enclosing_span(label_cites(spark, sf), doc_spans(spark, sf), ["doc_id"]).select("cite_id", "line", "start", "end")
+    cites = label_cites(spark, sf)
+    return cl.enclosing_span(cites, doc_spans(spark, sf, cites), ["doc_id"]).select("cite_id", "line", "start", "end")
 
 
 _TOKS = f"list_transform(list_transform(regexp_extract_all(block, '[A-Za-z0-9_]+'), lambda w: {s_base('w')}), lambda x: {s_norm_of('x')})"
@@ -139,11 +142,12 @@ SELECT c.cite_id, CASE WHEN c.n IS NULL THEN 'file does not exist' WHEN c.line <
  WHEN (symbol = 'The' AND list_contains(toks, 'the')) OR (symbol = 'les' AND list_contains(toks, 'les')) OR (symbol = 'of.the' AND list_contains(toks, 'of') AND list_contains(toks, 'the')) THEN NULL
  ELSE 'line does not contain the symbol' END AS problem FROM c LEFT JOIN tk USING (cite_id)""")
 def c15_check_citations(spark, sf):
-    table = doc_lines(spark, sf).select(F.col("doc_id").cast("string").alias("file"), "line", "text")
+    cited = label_cites(spark, sf).select("doc_id")
+    table = doc_lines(spark, sf, cited).select(F.col("doc_id").cast("string").alias("file"), "line", "text")
     files = table.groupBy("file").agg(F.count("*").alias("n_lines")).withColumn("scanned", F.lit(True))
     cites = label_cites(spark, sf).withColumn("file", F.col("doc_id").cast("string")).withColumns(
         {"has_symbol": F.lit(True), "scanned_only": F.lit(True)}).drop("doc_id")
-    spans = doc_spans(spark, sf).withColumn("file", F.col("doc_id").cast("string")).drop("doc_id")
+    spans = doc_spans(spark, sf, cited).withColumn("file", F.col("doc_id").cast("string")).drop("doc_id")
     return cl.check_citations(cites, files, table, spans, []).select("cite_id", "problem")
 
 

@@ -186,8 +186,7 @@ def declarations(spark: SparkSession, sf: str) -> DataFrame:
     r = rules()
     v = r.map("versioning")
     config = co.scan_config(source_files(spark, sf).withColumn("n_bytes", F.octet_length("text"))).select("repo_id", "path", "text")
-    lines = co.lines(config.unionByName(python_files(spark, sf)), ["repo_id", "path"])
-    return co.versioning(lines, ["repo_id", "path"], r.words("versioning_literals"), v["qualifier"], int(v["window"]))
+    return co.versioning(config.unionByName(python_files(spark, sf)), ["repo_id", "path"], r.words("versioning_literals"), v["qualifier"], int(v["window"]))
 
 
 def estate(spark: SparkSession, sf: str) -> Estate:

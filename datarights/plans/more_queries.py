@@ -180,13 +180,13 @@ def b22_canonical_json(spark, sf):
 
 
 @query("e29_history", """WITH a AS (SELECT user_id, event_type AS store, arg_max(CASE WHEN value > 50 THEN 'erased' ELSE 'not_erased' END, event_id) AS v FROM events WHERE event_type <> 'error' GROUP BY 1, 2),
-r AS (SELECT user_id, event_id, (event_id % 5)::INT AS attempt, event_type AS store, CASE WHEN value > 30 THEN 'rejected_claim' ELSE 'missing_store' END AS kind FROM events)
-SELECT r.event_id, CASE WHEN kind = 'rejected_claim' THEN a.v END AS revised_to, CASE WHEN kind = 'missing_store' AND a.v IS NOT NULL THEN attempt + 1 END AS added_on_attempt FROM r LEFT JOIN a ON r.user_id = a.user_id AND r.store = a.store""")
+r AS (SELECT user_id, event_id, (event_id % 5)::INT AS attempt, event_type AS store, CASE WHEN value > 30 THEN 'rejected_claim' WHEN value > 10 THEN 'missing_store' ELSE 'bad_citation' END AS kind FROM events)
+SELECT r.event_id, kind, attempt, CASE WHEN kind = 'rejected_claim' THEN a.v END AS revised_to, CASE WHEN kind = 'missing_store' AND a.v IS NOT NULL THEN attempt + 1 END AS added_on_attempt FROM r LEFT JOIN a ON r.user_id = a.user_id AND r.store = a.store""")
 def e29_history(spark, sf):
     e = read(spark, sf, "events")
     accepted = e.where("event_type <> 'error'").groupBy("user_id", F.col("event_type").alias("store")).agg(F.max_by(F.when(F.col("value") > 50, "erased").otherwise("not_erased"), "event_id").alias("verdict"))
-    rejected = e.select("user_id", "event_id", (F.col("event_id") % 5).cast("int").alias("attempt"), F.col("event_type").alias("store"), F.when(F.col("value") > 30, "rejected_claim").otherwise("missing_store").alias("kind"))
-    return cl.resolved_history(rejected, accepted, ["user_id"]).select("event_id", "revised_to", "added_on_attempt")
+    rejected = e.select("user_id", "event_id", (F.col("event_id") % 5).cast("int").alias("attempt"), F.col("event_type").alias("store"), F.when(F.col("value") > 30, "rejected_claim").when(F.col("value") > 10, "missing_store").otherwise("bad_citation").alias("kind"))
+    return cl.resolved_history(rejected, accepted, ["user_id"]).select("event_id", "kind", "attempt", "revised_to", "added_on_attempt")
 
 
 @query("e30_reverify", """WITH p AS (SELECT user_id, event_type, count(*) AS n, max(event_id) AS m FROM events WHERE value > 20 GROUP BY 1, 2), q AS (SELECT user_id, event_type, count(*) AS n, max(event_id) AS m FROM events WHERE event_type <> 'click' GROUP BY 1, 2)

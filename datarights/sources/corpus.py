@@ -122,12 +122,16 @@ def scan_config(files: DataFrame, r: Rules | None = None, max_depth: int | None
     return classify_paths(files, r).where(wanted & F.col("pruned_dir").isNull()).drop("skip_reason", "pruned_dir")
 
 
-def lines(files: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """1-based lines: split on newline only, one trailing carriage return and an empty tail gone."""
+def line_array(text: Column) -> Column:
+    """The lines of a text: split on newline only, one trailing carriage return and an empty tail gone."""
     parts = F.split(text, "\n")
     kept = F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
-    return (files.select(*keys, F.posexplode(kept).alias("pos", "raw"))
-            .select(*keys, (F.col("pos") + 1).alias("line"), F.regexp_replace("raw", "\r$", "").alias("text")))
+    return F.transform(kept, lambda raw: F.regexp_replace(raw, "\r$", ""))
+
+
+def lines(files: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """1-based lines of every file, one row each."""
+    return files.select(*keys, F.posexplode(line_array(F.col(text))).alias("pos", "text")).select(*keys, (F.col("pos") + 1).alias("line"), "text")
 
 
 def tree(files: DataFrame, max_depth: int, repo: str = "repo_id", path: str = "path", size: str = "n_bytes",
@@ -196,17 +200,13 @@ def fingerprint(files: DataFrame, by: list[str], path: str = "path", content: st
         F.sum("_n").alias("files"))
 
 
-def versioning(line_table: DataFrame, keys: list[str], literals: list[str], qualifier: str, window: int) -> DataFrame:
-    """Lines with one of `literals` that have a qualifier match within the next `window` lines.
+def versioning(files: DataFrame, keys: list[str], literals: list[str], qualifier: str, window: int, text: str = "text") -> DataFrame:
+    """Lines with one of `literals` that have a qualifier match from there to `window` lines on.
 
-    Both sides are filtered first, then met through the few line numbers a hit may look at.
-    The qualifier may span lines, so it is matched on each line and on each pair of lines.
+    A file's lines meet inside its row, so no line leaves it but the hits. The qualifier may span lines.
     """
-    lit = F.coalesce(*[F.when(F.col("text").contains(w), F.lit(w)) for w in literals])
-    hits = line_table.withColumn("literal", lit).where("literal IS NOT NULL").select(*keys, F.col("line").alias("at"), "literal")
-    spans = hits.select(*keys, "at", "literal", F.explode(F.sequence(F.lit(0), F.lit(window))).alias("off"))
-    spans = spans.withColumn("line", F.col("at") + F.col("off"))
-    block = (spans.join(line_table.select(*keys, "line", "text"), [*keys, "line"])
-             .groupBy(*keys, "at", "literal").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("b")))
-    text = F.array_join(F.transform("b", lambda s: s["text"]), "\n")  # at most window + 1 lines
-    return block.where(text.rlike(qualifier)).select(*keys, F.col("at").alias("line"), "literal")
+    held = files.select(*keys, line_array(F.col(text)).alias("_lines"))
+    found = F.transform("_lines", lambda line, i: F.struct((i + 1).alias("line"), F.coalesce(*[F.when(line.contains(w), F.lit(w)) for w in literals]).alias("literal")))
+    hits = held.withColumn("_hit", F.explode(F.filter(found, lambda h: h["literal"].isNotNull())))
+    block = F.array_join(F.slice("_lines", F.col("_hit.line"), F.lit(window + 1)), "\n")
+    return hits.where(block.rlike(qualifier)).select(*keys, F.col("_hit.line").alias("line"), F.col("_hit.literal").alias("literal"))
