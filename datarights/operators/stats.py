@@ -72,7 +72,8 @@ def draw(resample, position, n, seed: int):
     x = (resample * 1103515245 + position * 12345 + seed) % HASH_P
     for _ in range(3):
         x = (x * 48271 + position * 69621 + resample) % HASH_P
-    return x % n
+    # two draws of 31 bits, so that every index of a long table can come up
+    return (x * HASH_P + (x * 48271 + position * 69621 + resample) % HASH_P) % n
 
 
 def bootstrap(pairs: DataFrame, resamples: int, seed: int = 20260830) -> DataFrame:

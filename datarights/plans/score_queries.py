@@ -138,11 +138,11 @@ def f10_mcnemar(spark, sf):
     return out.select("b", "c", "n_discordant", F.round(F.log("p_exact"), 9).alias("ln_p"))
 
 
-RESAMPLES = 400
+RESAMPLES = 10_000
 P = st.HASH_P
 DRAW_SQL = f"""n AS (SELECT count(*) AS n FROM pairs), rj AS (SELECT r, j, ((r * 1103515245 + j * 12345 + 20260830) % {P}) AS x0 FROM range({RESAMPLES}) a(r), (SELECT unnest(range(0, (SELECT n FROM n))) AS j)),
 x1 AS (SELECT r, j, (x0 * 48271 + j * 69621 + r) % {P} AS x FROM rj), x2 AS (SELECT r, j, (x * 48271 + j * 69621 + r) % {P} AS x FROM x1),
-x3 AS (SELECT r, j, (x * 48271 + j * 69621 + r) % {P} AS x FROM x2), ds AS (SELECT r, avg(d) AS d FROM (SELECT r, x % (SELECT n FROM n) AS idx FROM x3) JOIN pairs USING (idx) GROUP BY r),
+x3 AS (SELECT r, j, (x * 48271 + j * 69621 + r) % {P} AS x FROM x2), ds AS (SELECT r, avg(d) AS d FROM (SELECT r, (x * {P} + (x * 48271 + j * 69621 + r) % {P}) % (SELECT n FROM n) AS idx FROM x3) JOIN pairs USING (idx) GROUP BY r),
 rk AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS k FROM ds)"""
 CASE_SQL = """cm AS (SELECT arm, "case", avg(f1) AS f1, sum(false_safe) AS fs, count(*) FILTER (passed) * 2 > count(*) AS ok FROM runs GROUP BY 1, 2),
 pairs AS (SELECT row_number() OVER (ORDER BY "case") - 1 AS idx, a.f1 - b.f1 AS d, a.fs AS fa, b.fs AS fb, a.ok AS oa, b.ok AS ob FROM cm a JOIN cm b USING ("case") WHERE a.arm = 'plain' AND b.arm = 'long')"""
