@@ -84,6 +84,13 @@ def reach(edges: DataFrame, starts: DataFrame, *, hubs: DataFrame | None = None,
     if resolved_only:
         edges, hubs = edges.where("NOT ambiguous AND NOT hub"), None
     edges = edges.repartition("repo_id", "src").persist()
+    try:
+        return _rounds(edges, starts, hubs, blocked, must_pass, compact_every)
+    finally:
+        edges.unpersist()
+
+
+def _rounds(edges: DataFrame, starts: DataFrame, hubs: DataFrame | None, blocked: DataFrame | None, must_pass: DataFrame | None, compact_every: int) -> DataFrame:
     none = [F.lit(None).cast("string").alias(c) for c in ("kind", "file")]
     first = starts.select("repo_id", "entry", "node", "mode").distinct()
     if must_pass is None:
@@ -112,7 +119,6 @@ def reach(edges: DataFrame, starts: DataFrame, *, hubs: DataFrame | None = None,
         visited = visited.unionByName(frontier)
         if depth % compact_every == 0:
             visited = cut(visited)
-    edges.unpersist()
     return visited
 
 
@@ -138,8 +144,8 @@ def paths(reached: DataFrame, targets: DataFrame) -> DataFrame:
     `targets`: repo_id, entry, node. One row per step: repo_id, entry, target, step (1-based),
     src, dst, kind, file, line, rule, ambiguous, note.
     """
-    states = reached.select("repo_id", "entry", "node", "mode", "passed", "depth", "parent", "kind", "file",
-                            "line", "rule", "ambiguous", "note").persist()
+    states = cut(reached.select("repo_id", "entry", "node", "mode", "passed", "depth", "parent", "kind", "file",
+                                "line", "rule", "ambiguous", "note"))
     winners = first_paths(reached).join(targets.select("repo_id", "entry", "node").distinct(),
                                         ["repo_id", "entry", "node"], "left_semi")
     at = cut(winners.select("repo_id", "entry", F.col("node").alias("target"), "node", "mode", "passed", "depth"))
