@@ -20,7 +20,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from datarights.llm.common import slices
@@ -32,6 +32,7 @@ VOID = set("area base basefont bgsound br col embed frame hr img input link meta
 RAW = "script style noscript template svg math iframe object audio video canvas textarea select button title".split()
 ASIDE = set("nav footer aside form menu dialog search head".split())
 NAMES = set("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination paywall popup promo promoted promotion recommendations recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola toolbar widget widgets".split())
+ABOUT = set("with without has no free layout columns".split())  # a class that says what its element stands beside
 ROLES = set("navigation banner contentinfo complementary search form menu menubar alert dialog alertdialog".split())
 CLOSES_P = BLOCKS - {"html", "body"}
 AGAIN = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -65,9 +66,10 @@ def _mark(tag: str, attributes: str, path: list[tuple[str, str]]) -> str:
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return OFF
         elif name in ("class", "id") and tag not in ("body", "html"):
-            words = {w.lower() for w in _PART.findall(value)}
-            if words & NAMES or not inside and tag not in ("article", "main") and words & {"header"}:
-                return OFF
+            for name in value.split():
+                words = {w.lower() for w in _PART.findall(name)}
+                if not words & ABOUT and (words & NAMES or not inside and tag not in ("article", "main") and words & {"header"}):
+                    return OFF
     return mark
 
 
@@ -236,7 +238,7 @@ def extract_main_text(pages: DataFrame, least_pages: int = 3, linked_share: floa
     A slot in a menu, footer, aside, form, advert, notice or comment, by element, role or name, is
     never the article's. Inside `article` or `main` all others are. A page without these takes the
     slots that are not mostly links (`linked_share`) and do not say the same on all of `least_pages`
-    or more pages of the host. A null or empty page gives the empty text. A url without a host
+    or more pages of the host, unless all its pages are copies. A null or empty page gives the empty text. A url without a host
     counts as a host of its own name. Repeated rows are extracted each. Extra columns are ignored.
     """
     parsed = stage(page_blocks(pages))
@@ -249,7 +251,9 @@ def extract_main_text(pages: DataFrame, least_pages: int = 3, linked_share: floa
     off, main = F.col("path").contains(OFF), F.col("path").contains(MAIN)
     slots = placed.join(said, ["host", "stream", "slot"]).groupBy("host", "wslot").agg(
         F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    plain = (F.col("linked") < linked_share * F.col("chars")) & ~((F.col("lo") == F.col("hi")) & (F.col("n") >= least_pages))
+    slots = slots.withColumn("varies", F.bool_or(F.col("lo") != F.col("hi")).over(Window.partitionBy("host")))  # one row per slot of a wrapper
+    same = F.col("varies") & (F.col("lo") == F.col("hi")) & (F.col("n") >= least_pages)
+    plain = (F.col("linked") < linked_share * F.col("chars")) & ~same
     has_main = placed.groupBy("host", "stream").agg(F.bool_or(main & ~off).alias("has_main"))
     judged = placed.join(slots, ["host", "wslot"]).join(has_main, ["host", "stream"]).where(~off & F.when(F.col("has_main"), main).otherwise(plain))
     chosen = stage(judged.groupBy("host", "stream").agg(F.array_sort(F.collect_set("slot")).alias("slots")))

@@ -263,6 +263,13 @@ def test_wrappers(spark):
     assert got[3] == "Title 3\n\ntext 3\n\nsub 3" and got[4] == "Title 4\n\ntext 4\n\nmore"
 
 
+def test_copies_and_layout_classes(spark):
+    page = "<body><div class='layout with-sidebar'><div class='sidebar'>s</div><h2>Title</h2><p>copied text</div></body>"
+    rows = [(i, "http://c.example/x", page) for i in range(4)]
+    got = {r.text for r in extract_main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {"Title\n\ncopied text"}
+
+
 def test_alignment():
     a, slots = collapse(list("nnnabababz"))
     assert a == [[True, ["n"]], [True, ["a", "b"]], [False, ["z"]]] and slots == [0, 0, 0, 1, 2, 1, 2, 1, 2, 3]
