@@ -71,18 +71,21 @@ def in_order(df: DataFrame, keys: list[str], order: list[str], bucket: Column, *
     return joined.withColumns(out).select(*kept, *out)
 
 
-def placed(df: DataFrame, keys: list[str], order: list[str], *, number: str | None = None, sums: dict[str, Column] | None = None) -> DataFrame:
-    """`in_order` for data with no natural bucket: a range sort over (keys, order) makes one.
+def placed(df: DataFrame, keys: list[str], order: list[str], *, number: str | None = None, sums: dict[str, Column] | None = None,
+           previous: dict[str, str] | None = None, upcoming: dict[str, Column] | None = None) -> DataFrame:
+    """`in_order` for data with no natural bucket, or with buckets that one key may fill: a range
+    sort over (keys, order) makes them.
 
     The sorted layout is written before its parts are used as buckets, so that a recomputed
     task cannot cut it elsewhere.
     """
     spread = df.repartitionByRange(*keys, *order) if keys or order else df
     laid = cut(spread.withColumn("_part", F.spark_partition_id()))
+    wanted = {"number": number, "sums": sums, "previous": previous, "upcoming": upcoming}
     if keys:
-        return in_order(laid, keys, order, F.col("_part"), number=number, sums=sums).drop("_part")
+        return in_order(laid, keys, order, F.col("_part"), **wanted).drop("_part")
     one = laid.withColumn("_all", F.lit(0))
-    return in_order(one, ["_all"], order, F.col("_part"), number=number, sums=sums).drop("_part", "_all")
+    return in_order(one, ["_all"], order, F.col("_part"), **wanted).drop("_part", "_all")
 
 
 def hour_bucket(ts: str) -> Column:

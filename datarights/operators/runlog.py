@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from datarights.operators.ordered import in_order, line_bucket
+from datarights.operators.ordered import in_order, line_bucket, placed
 from datarights.operators.scoring import count_if
 
 EPS = 1e-6
@@ -81,12 +81,12 @@ def check_contiguous(df: DataFrame, run: list[str], order: list[str], value: str
             .where(~F.col(value).eqNullSafe(F.col("expected"))).drop("_place"))
 
 
-def check_cumulative(df: DataFrame, run: list[str], order: list[str], cost: str, reported: str, bucket: Column) -> DataFrame:
+def check_cumulative(df: DataFrame, run: list[str], order: list[str], cost: str, reported: str) -> DataFrame:
     """Adds `below_previous` and `not_sum`: the running cost falls, or is not previous + cost.
 
     The reported value, right or wrong, is what the next row is compared with.
     """
-    seen = in_order(df, run, order, bucket, previous={"_prev": reported})
+    seen = placed(df, run, order, previous={"_prev": reported})
     prev = F.coalesce("_prev", F.lit(0.0))
     return seen.withColumns({
         "below_previous": F.col(reported) + EPS < prev,

@@ -109,7 +109,7 @@ p AS (SELECT *, coalesce(lag(reported) OVER (PARTITION BY user_id ORDER BY ts, e
 SELECT user_id, count(*) FILTER (reported + 1e-6 < prev) AS below, count(*) FILTER (abs(reported - (prev + value)) > 1e-6) AS off FROM p GROUP BY user_id""")
 def h2_cumulative(spark, sf):
     events = read(spark, sf, "events").select("user_id", "ts", "event_id", "value", ((F.col("event_id") % 1000) * F.lit(0.5)).alias("reported"))
-    seen = rl.check_cumulative(events, ["user_id"], ["ts", "event_id"], "value", "reported", hour_bucket("ts"))
+    seen = rl.check_cumulative(events, ["user_id"], ["ts", "event_id"], "value", "reported")
     return seen.groupBy("user_id").agg(F.count_if("below_previous").alias("below"), F.count_if("not_sum").alias("off"))
 
 

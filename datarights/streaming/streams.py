@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from datarights.operators.ordered import hour_bucket, in_order, line_bucket
+from datarights.operators.ordered import hour_bucket, in_order, line_bucket, placed
 from datarights.operators.stats import LARGE_TOOL_BUDGET, SUBMIT_BUDGET, TOOL_BUDGET
 from datarights.sources.traces import identity_of
 
@@ -350,7 +350,7 @@ def silent_runs_batch(events: DataFrame, run: str, ts: str, tie: str, seconds: i
 
     The last stretch of a run is closed once the newest event of all is that far ahead.
     """
-    seen = in_order(events, [run], [ts, tie], hour_bucket(ts), previous={"_prev": ts})
+    seen = placed(events, [run], [ts, tie], previous={"_prev": ts})
     wait = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(seconds).cast("decimal(18,6)"))
     gaps = seen.where(F.col("_prev").isNotNull() & (F.col(ts) >= F.col("_prev") + wait)).select(run, (F.col("_prev") + wait).alias("ended_at"))
     newest = events.agg(F.max(ts)).scalar()
