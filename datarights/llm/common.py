@@ -6,6 +6,9 @@ two different texts. Equal rows share a key and get equal results.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -119,8 +122,17 @@ def hash_words(texts: list[bytes | None], lower: bool, second: bool = False):
     return (*hashes, counts)
 
 
+def give_back_memory() -> None:
+    """Python workers outlive their tasks; what a task used and freed goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each piece has about `size` bytes of `column`, or one row."""
+    give_back_memory()
     for batch in batches:
         lengths = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(column).cast(pa.binary())], np.int64)
         total, start = np.cumsum(lengths), 0
@@ -129,6 +141,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             stop = max(start + 1, int(np.searchsorted(total, base + size, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+    give_back_memory()
 
 
 def column_bytes(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None]:

@@ -124,29 +124,12 @@ class _Links:
         if self.roots is not None:
             rows, comp = rows.join(self.roots.select(F.col("node").alias("cls"), "root"), "cls", "left"), F.coalesce("root", "cls")
         rows = rows.select("key", "cls", comp.alias("comp"))
-        return self.still_open(cut(rows))
-
-    @staticmethod
-    def still_open(rows: DataFrame) -> DataFrame:
+        rows = cut(rows)
         open_ = stage(rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"))
         return cut(rows.join(open_, "key"))
 
-    def hopeful(self, labelled: DataFrame) -> DataFrame:
-        """Adds n, a class's shingles, and c, how many of them other components have, and leaves out
-        classes without hope: a link to a text of m shingles takes 3/7 of n + m in common, all of them
-        among the c, and m is at least the least n in the class's buckets and three quarters of its own."""
-        comps = labelled.select("cls", "comp").distinct()
-        grams = self.sets.join(comps, "cls").select("cls", "comp", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-        shared = stage(grams.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("gram"))
-        counted = stage(grams.join(shared, "gram").groupBy("cls", "n").count().groupBy("cls").agg(F.max("n").alias("n"), F.max("count").alias("c")))
-        rows = cut(labelled.select("key", "cls", "comp").join(counted, "cls"))
-        smallest = stage(rows.groupBy("key").agg(F.min("n").alias("m")))
-        near = rows.join(smallest, "key").groupBy("cls").agg(F.min("m").alias("m"))
-        rows = rows.join(stage(near), "cls").where(7 * F.col("c") >= 3 * (F.col("n") + F.greatest("m", F.ceil(0.75 * F.col("n"))))).drop("m")
-        return self.still_open(cut(rows))
-
     def compare(self, labelled: DataFrame, other: DataFrame, on: str, best: int | None = None) -> None:
-        extra = [c for c in ("n", "c", "parity") if c in labelled.columns]
+        extra = [c for c in ("n", "parity") if c in labelled.columns]
         left = labelled.select(F.col("key"), F.col("cls").alias("a"), F.col("comp").alias("ca"), *(F.col(c).alias(f"{c}_a") for c in extra))
         right = other.select(F.col("key").alias("key_b"), F.col("cls").alias("b"), F.col("comp").alias("cb"), *(F.col(c).alias(f"{c}_b") for c in extra))
         self.add(left.join(right, F.expr(f"key = key_b AND {on}")).select("a", "b", "ca", "cb"), best)
@@ -202,12 +185,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
         labelled = links.labelled()
         hubs = stage(labelled.groupBy("key").agg(hub("cls").alias("cls")).join(labelled, ["key", "cls"]))
         links.compare(labelled, hubs, "ca <> cb", best=3)
-    labelled = links.labelled()
-    for _ in range(3):
-        labelled = links.hopeful(labelled)
-    labelled = labelled.join(signatures.select("cls", "parity"), "cls")
-    room = may_link("n_a", "n_b", "parity_a", "parity_b")
-    links.compare(labelled, labelled, f"a < b AND ca <> cb AND 7 * least(c_a, c_b) >= 3 * (n_a + n_b) AND {room}")
+    labelled = links.labelled().join(signatures.select("cls", F.col("n_shingles").alias("n"), "parity"), "cls")
+    links.compare(labelled, labelled, f"a < b AND ca <> cb AND {may_link('n_a', 'n_b', 'parity_a', 'parity_b')}")
     named = stage(classes.join(links.roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select(*same, F.coalesce("root", "cls").alias("root")))
     out = sketched.select("doc_id", *same).join(named, same, "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
