@@ -122,17 +122,27 @@ def hash_words(texts: list[bytes | None], lower: bool, second: bool = False):
     return (*hashes, counts)
 
 
-def give_back_memory() -> None:
-    """Python workers outlive their tasks; what a task used and freed goes back to the system."""
+_KEPT: dict[str, dict] = {}
+
+
+def kept(name: str) -> dict:
+    """What tasks of one operator leave in their Python worker for its later tasks."""
+    return _KEPT.setdefault(name, {})
+
+
+def give_back_memory(keep: str | None = None) -> None:
+    """Python workers outlive their tasks: what other operators left here goes, and freed memory returns to the system."""
+    for name in [n for n in _KEPT if n != keep]:
+        del _KEPT[name]
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # not every C library has it
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 2 << 20, keep: str | None = None) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each piece has about `size` bytes of `column`, or one row."""
-    give_back_memory()
+    give_back_memory(keep)
     for batch in batches:
         lengths = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(column).cast(pa.binary())], np.int64)
         total, start = np.cumsum(lengths), 0
@@ -141,7 +151,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             stop = max(start + 1, int(np.searchsorted(total, base + size, "right")))
             yield batch.slice(start, stop - start)
             start = stop
-    give_back_memory()
+    give_back_memory(keep)
 
 
 def column_bytes(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None]:

@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from datarights.llm.common import LOWER_BYTES, column_bytes, slices
+from datarights.llm.common import LOWER_BYTES, column_bytes, give_back_memory, kept, slices
 from datarights.session import stage
 
 SIZE = 4096
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 500_000
 _TOKENIZERS: dict[str, tuple] = {}
 #: Where lower-casing A-Z first could change a token: a special token's name, or a letter with a combining mark.
 _AS_IT_IS = re.compile(r"[A-Z][\u0300-\U0010ffff]")
@@ -86,7 +86,7 @@ def _learn(tokenizer, word_end: np.ndarray, seen: dict[str, bytes], words: set[s
 
 
 class Seen:
-    """Stretches already encoded in this task, in two generations so that memory has a bound."""
+    """Stretches already encoded in this worker, in two generations so that memory has a bound."""
 
     def __init__(self):
         self.new: dict[str, bytes] = {}
@@ -117,8 +117,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id:
     """doc_id, piece, start, length, ids_crc32: every text's ids cut at `size`."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = Seen()
-        for batch in slices(batches):
+        seen = kept("tokens").setdefault(tokenizer_path, Seen())
+        for batch in slices(batches, keep="tokens"):
             ids, rows = batch.column("doc_id").to_pylist(), []
             for doc_id, data in zip(ids, token_bytes(column_bytes(batch), tokenizer_path, end_id, seen), strict=True):
                 for piece, at in enumerate(range(0, len(data), 4 * size)):
@@ -265,6 +265,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int = 1
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `size` rows
     places = _places(plan_packing(histogram, size))
     key = places[:, 0] * (1 << 50) + places[:, 1]
+    give_back_memory()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
