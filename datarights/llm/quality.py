@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from datarights.llm.common import column_bytes, crc_mod, range_hash, slices
+from datarights.llm.common import column_bytes, crc_mod, give_back_memory, range_hash, slices
 
 WORDS = 64
 SEGMENT = 1 << 19
@@ -175,6 +175,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most: int = 4_000, passages:
     bags = [np.frombuffer(x, np.float32).reshape(-1, N_FEATURES) for x in got["x"]]
     model = GatedAttention(N_FEATURES)
     model.fit(np.concatenate(bags).astype(float), np.array([len(b) for b in bags]), got["label"].to_numpy(float))
+    del bags, got
+    give_back_memory()
     return model
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from datarights.llm.common import column_bytes, crc_mod, slices
+from datarights.llm.common import column_bytes, crc_mod, give_back_memory, slices
 from datarights.llm.quality import labelled_sample, segments
 from datarights.session import stage
 
@@ -205,6 +205,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = 8_000, size: in
     silent = (votes[:, : len(kept)].sum(1) == 0)[:, None].astype(np.float32)
     votes = np.concatenate([votes, silent], 1)
     weights, bias = _linear(votes, LabelModel().fit(votes, given))
+    del votes, got
+    give_back_memory()
     return ToxicityModel(lexicon, weights, bias)
 
 
