@@ -85,12 +85,12 @@ def missing_stores(stores: DataFrame, matched: DataFrame, keys: list[str]) -> Da
     return unclaimed.where(fires(F.col("guard"), F.col("linked")))
 
 
-def evidence_phrase(fields: DataFrame, keys: list[str]) -> DataFrame:
-    """First three sorted guarded field names of a store, else of all its fields."""
+def evidence_phrase(fields: DataFrame, keys: list[str], first: int = 3) -> DataFrame:
+    """The `first` sorted guarded field names of a store, else of all its fields."""
     distinct = fields.select(*keys, "field", (F.col("guard") != "").alias("_g")).distinct()
     top = distinct.groupBy(*keys).agg(
-        F.slice(F.array_sort(F.collect_set(F.when(F.col("_g"), F.col("field")))), 1, 3).alias("_strong"),
-        F.slice(F.array_sort(F.collect_set("field")), 1, 3).alias("_all"))
+        F.slice(F.array_sort(F.collect_set(F.when(F.col("_g"), F.col("field")))), 1, first).alias("_strong"),
+        F.slice(F.array_sort(F.collect_set("field")), 1, first).alias("_all"))
     return top.select(*keys, F.array_join(F.when(F.size("_strong") > 0, F.col("_strong")).otherwise(F.col("_all")), ", ").alias("phrase"))
 
 

@@ -209,31 +209,31 @@ def resolve_calls(code: Code) -> DataFrame:
         .when(F.col("bind_kind") == "external", say("unresolved", "CG-5", reason="external"))
         .when(method.isNotNull(), say("resolved", "CG-2", method))
         .when(F.col("_has_local"), say("resolved", "CG-2", F.col("_local")))
-        .when(n == 1, say("resolved", one_name, sole, "by short name"))
-        .when(n > 1, say("ambiguous", many_name, reason="several definitions"))
-        .otherwise(say("unresolved", "CG-5", reason="no intra-repo definition")))
+        .when(n == 1, say("resolved", one_name, sole, "short_name"))
+        .when(n > 1, say("ambiguous", many_name, reason="name_shared"))
+        .otherwise(say("unresolved", "CG-5", reason="name_undefined")))
     self_rule = F.when(F.col("receiver") == "self", "CG-8").otherwise("CG-9")
     attr_form = (
         F.when(self_call & method.isNotNull(), say("resolved", self_rule, method))
-        .when(self_call & F.col("_outside"), say("ambiguous", self_rule, reason="external base"))
-        .when(self_call, say("unresolved", self_rule, reason="no definition on self"))
+        .when(self_call & F.col("_outside"), say("ambiguous", self_rule, reason="base_outside"))
+        .when(self_call, say("unresolved", self_rule, reason="self_undefined"))
         .when(super_call & method.isNotNull(), say("resolved", "CG-10", method))
-        .when(super_call, say("unresolved", "CG-10", reason="no intra-repo base defines it"))
+        .when(super_call, say("unresolved", "CG-10", reason="super_undefined"))
         .when((F.col("bind_kind") == "module") & F.col("_has_dotted"), say("resolved", "CG-6", F.col("_dotted")))
         .when(is_class_call & method.isNotNull(), say("resolved", "CG-6", method))
         .when(F.col("bind_kind") == "external", say("unresolved", "CG-7", reason="external"))
-        .when(n == 1, say("ambiguous", "CG-11", sole, "receiver is not a known module"))
-        .when(n > 1, say("ambiguous", "CG-11", reason="receiver is not a known module"))
-        .otherwise(say("unresolved", "CG-11", reason="no definition")))
-    verdict = (F.when(F.col("name").isin(DYNAMIC) | F.col("receiver").endswith("importlib"), say("unresolved", "CG-12", reason="dynamic dispatch"))
+        .when(n == 1, say("ambiguous", "CG-11", sole, "receiver_open"))
+        .when(n > 1, say("ambiguous", "CG-11", reason="receiver_open"))
+        .otherwise(say("unresolved", "CG-11", reason="attribute_undefined")))
+    verdict = (F.when(F.col("name").isin(DYNAMIC) | F.col("receiver").endswith("importlib"), say("unresolved", "CG-12", reason="dynamic"))
                .when(F.col("form") == "name", name_form).when(F.col("form") == "attribute", attr_form)
-               .otherwise(say("unresolved", "CG-5", reason="callee is not a name")))
+               .otherwise(say("unresolved", "CG-5", reason="callee_computed")))
     calls = calls.withColumn("_v", verdict).withColumn("target", F.col("_v.target"))
     twice = code.extra["redefined"].select("repo_id", F.col("name").alias("target"), F.lit(True).alias("_twice"))
     calls = calls.join(twice, ["repo_id", "target"], "left")
     outcome = F.when((F.col("_v.outcome") == "resolved") & F.col("_twice"), "ambiguous").otherwise(F.col("_v.outcome"))
     hub = F.when((outcome == "ambiguous") & F.col("target").isNull() & (n > 1), F.concat(F.lit("hub:"), "name"))
-    reason = F.when((F.col("_v.outcome") == "resolved") & F.col("_twice"), "conditional redefinition").otherwise(F.col("_v.reason"))
+    reason = F.when((F.col("_v.outcome") == "resolved") & F.col("_twice"), "defined_twice").otherwise(F.col("_v.reason"))
     keep = ["repo_id", "call_id", "path", "module", "caller", "scope", "owner", "form", "name", "receiver", "dotted", "args", "kw", "line",
             "bind_kind", "bind_dotted"]
     return calls.select(*keep, outcome.alias("outcome"), F.col("_v.rule").alias("rule"), "target", hub.alias("hub"),
