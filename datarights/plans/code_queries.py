@@ -88,8 +88,7 @@ def e12_entry_points(spark, sf):
 
 
 @query("g7_edges", f"""WITH {BASE}, e AS (
- SELECT repo_id, 'call' AS kind, 'CG-2' AS rule, 2 AS n FROM s UNION ALL SELECT repo_id, 'call', 'CG-1', 2 FROM s WHERE k = 11 UNION ALL SELECT repo_id, 'call', 'CG-1', 1 FROM s WHERE FALSE
- UNION ALL SELECT repo_id, 'call', 'CG-1', CASE k WHEN 12 THEN 0 ELSE 0 END FROM s WHERE FALSE
+ SELECT repo_id, 'call' AS kind, 'CG-2' AS rule, 2 AS n FROM s UNION ALL SELECT repo_id, 'call', 'CG-1', 2 FROM s WHERE k = 11
  UNION ALL SELECT repo_id, 'call', 'CG-11', 1 FROM s WHERE k = 10
  UNION ALL SELECT repo_id, 'entry', 'SE0', 1 + (k = 6)::INT FROM s WHERE k <> 9
  UNION ALL SELECT repo_id, 'SE1', 'R1', 1 FROM s WHERE k NOT IN (1, 2, 3, 4)

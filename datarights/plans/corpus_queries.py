@@ -211,12 +211,12 @@ def i3_evidence_phrase(spark, sf):
     return cl.evidence_phrase(guarded_fields(spark, sf), ["store"])
 
 
-@query("c24_apply_edits", f"""WITH e AS (SELECT user_id % 1000 AS s_suppkey, arg_max(v, event_id) FILTER (v <> 'vendor') AS v FROM (SELECT *, CASE event_type WHEN 'click' THEN 'processor' WHEN 'view' THEN 'internal' WHEN 'error' THEN 'vendor' ELSE 'external_controller' END AS v FROM events) GROUP BY 1)
+@query("c24_apply_edits", f"""WITH e AS (SELECT user_id AS s_suppkey, arg_max(v, event_id) FILTER (v <> 'vendor') AS v FROM (SELECT *, CASE event_type WHEN 'click' THEN 'processor' WHEN 'view' THEN 'internal' WHEN 'error' THEN 'vendor' ELSE 'external_controller' END AS v FROM events) GROUP BY 1)
 SELECT s.s_suppkey, coalesce(e.v, CASE WHEN s_nationkey % 2 = 0 THEN 'unknown' END) AS recipient_kind FROM supplier s LEFT JOIN e USING (s_suppkey)""")
 def c24_apply_edits(spark, sf):
     kind = F.col("event_type")
     edits = read(spark, sf, "events").select(
-        (F.col("user_id") % 1000).alias("s_suppkey"), F.col("event_id").alias("ord"),
+        F.col("user_id").alias("s_suppkey"), F.col("event_id").alias("ord"),
         F.when(kind == "click", "processor").when(kind == "view", "internal").when(kind == "error", "vendor").otherwise("external_controller").alias("value"))
     stores = read(spark, sf, "supplier").select("s_suppkey", F.when(F.col("s_nationkey") % 2 == 0, "third_party").otherwise("log").alias("kind"), F.lit(None).cast("string").alias("recipient_kind"))
     return cl.apply_edits(stores, edits, ["s_suppkey"])[0].select("s_suppkey", "recipient_kind")

@@ -211,7 +211,7 @@ def h9_check_start(spark, sf):
     return rl.check_start(starts, "large", ["TOOLS", "MODEL"]).groupBy("violation").agg(F.count("*").alias("n"))
 
 
-@query("h10_check_gate", """WITH r AS (SELECT user_id, CASE WHEN user_id % 3 = 0 THEN 'baseline' ELSE 'advanced' END AS arm, count(*) FILTER (event_type = 'signup' AND value > 90) AS n FROM events GROUP BY 1), p AS (SELECT * FROM events WHERE event_type = 'signup' AND value > 90),
+@query("h10_check_gate", """WITH r AS (SELECT user_id, CASE WHEN user_id % 3 = 0 THEN 'baseline' ELSE 'advanced' END AS arm, count(*) FILTER (event_type = 'signup') AS n FROM events GROUP BY 1), p AS (SELECT * FROM events WHERE event_type = 'signup'),
 v AS (SELECT 'baseline carries a checkpoint' AS violation FROM r WHERE arm = 'baseline' AND n > 0 UNION ALL SELECT 'needs one checkpoint' FROM r WHERE arm = 'advanced' AND n <> 1 UNION ALL SELECT 'caller' FROM p WHERE event_id % 2 = 0
  UNION ALL SELECT 'risk differs' FROM p WHERE event_id % 3 <> 0 UNION ALL SELECT 'completions on a simulated gate' FROM p WHERE event_id % 5 = 0 UNION ALL SELECT 'kind outside the enum' FROM p WHERE event_id % 5 <> 0 AND event_id % 7 = 0
  UNION ALL SELECT 'store not in the record' FROM p WHERE event_id % 5 <> 0 AND user_id % 2 = 1)
@@ -220,7 +220,7 @@ def h10_check_gate(spark, sf):
     e, i = read(spark, sf, "events"), F.col("event_id")
     runs = e.select(F.col("user_id").alias("run_id")).distinct().select(
         "run_id", F.when(F.col("run_id") % 3 == 0, "baseline").otherwise("advanced").alias("arm"), F.lit("accepted").alias("stop"), F.lit("low").alias("rating"))
-    points = e.where("event_type = 'signup' AND value > 90").select(
+    points = e.where("event_type = 'signup'").select(
         F.col("user_id").alias("run_id"), F.when(i % 2 == 0, "agent").otherwise("harness").alias("caller"), F.when(i % 3 == 0, "low").otherwise("high").alias("risk"),
         F.when(i % 5 == 0, "simulated").otherwise("human").alias("by"), F.create_map(F.lit("mail"), F.when(i % 7 == 0, "friend").otherwise("internal")).alias("completions"))
     stores = runs.where("run_id % 2 = 0").select("run_id", F.lit("mail").alias("name"))
