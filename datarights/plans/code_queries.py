@@ -34,20 +34,20 @@ def a2_estate_skips(spark, sf):
     return skip_tally(es.scanned(spark, sf))
 
 
-CALLS = ["drop_rows", "drop_session", "drop_files", "avatar_key", "delete", "getLogger", "save"]
-
-
 @query("c2_calls", f"""WITH {BASE}, c AS (
  SELECT repo_id, 'avatar_key' AS name, 'resolved' AS outcome, 'CG-2' AS rule, 2 AS n FROM s
  UNION ALL SELECT repo_id, 'getLogger', 'unresolved', 'CG-7', 1 FROM s
  UNION ALL SELECT repo_id, 'delete', 'unresolved', 'CG-11', 1 + CASE WHEN k IN (0, 1, 2, 6, 9, 10, 11, 12) THEN 1 WHEN k IN (3, 4) THEN 2 ELSE 0 END FROM s
  UNION ALL SELECT repo_id, 'save', 'unresolved', 'CG-11', 1 FROM s WHERE k IN (5, 6, 7, 8)
  UNION ALL SELECT repo_id, 'drop_rows', 'ambiguous', 'CG-11', 1 FROM s WHERE k = 10
- UNION ALL SELECT repo_id, unnest(['drop_session', 'drop_files']), 'resolved', 'CG-1', 1 FROM s WHERE k = 11)
+ UNION ALL SELECT repo_id, unnest(['drop_session', 'drop_files']), 'resolved', 'CG-1', 1 FROM s WHERE k = 11
+ UNION ALL SELECT repo_id, unnest(['CharField', 'EmailField', 'ForeignKey', 'TextField', 'Redis', 'client', 'create']), 'unresolved', 'CG-7', 1 FROM s
+ UNION ALL SELECT repo_id, unnest(['delete_object', 'put_object', 'info', 'set']), 'unresolved', 'CG-11', 1 FROM s
+ UNION ALL SELECT repo_id, 'User', 'resolved', 'CG-1', 1 + (k = 6)::INT FROM s UNION ALL SELECT repo_id, 'filter', 'unresolved', 'CG-11', 1 FROM s WHERE k IN (3, 4)
+ UNION ALL SELECT repo_id, 'sha256', 'unresolved', 'CG-7', 1 FROM s WHERE k = 8 UNION ALL SELECT repo_id, 'timedelta', 'unresolved', 'CG-5', 1 FROM s WHERE k = 6)
 SELECT repo_id, name, outcome, rule, n::BIGINT AS n FROM c""")
 def c2_calls(spark, sf):
-    calls = es.code(spark, sf).calls.where(F.col("name").isin(CALLS))
-    return calls.groupBy("repo_id", "name", "outcome", "rule").agg(F.count("*").alias("n"))
+    return es.code(spark, sf).calls.groupBy("repo_id", "name", "outcome", "rule").agg(F.count("*").alias("n"))
 
 
 @query("c4_bindings", f"""WITH {BASE} SELECT repo_id, 'app.views.' || CASE WHEN k IN (5, 6) THEN 'deactivate_account' WHEN k = 7 THEN 'anonymize_user' WHEN k = 8 THEN 'forget_me' WHEN k = 9 THEN 'cleanup_rows' ELSE 'delete_user' END AS symbol,
