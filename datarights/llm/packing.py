@@ -25,7 +25,8 @@ from datarights.session import stage
 
 SIZE = 4096
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-_CACHE_WORDS = 500_000
+#: Stretches whose ids a Python worker keeps in each of two generations, some 0.2 KB each. More save time where memory is free.
+KNOWN_WORDS = 800_000
 _TOKENIZERS: dict[str, tuple] = {}
 #: Where lower-casing A-Z first could change a token: a special token's name, or a letter with a combining mark.
 _AS_IT_IS = re.compile(r"[A-Z][\u0300-\U0010ffff]")
@@ -88,7 +89,8 @@ def _learn(tokenizer, word_end: np.ndarray, seen: dict[str, bytes], words: set[s
 class Seen:
     """Stretches already encoded in this worker, in two generations so that memory has a bound."""
 
-    def __init__(self):
+    def __init__(self, most: int = KNOWN_WORDS):
+        self.most = most
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -102,7 +104,7 @@ def token_bytes(texts: list[bytes | None], path: str, end_id: int, seen: Seen |
     (tokenizer, word_end), seen = _encoder(path), seen or Seen()
     split = [_stretches(t or b"") for t in texts]
     fresh = set().union(*split) - seen.new.keys()
-    if len(seen.new) + len(fresh) > _CACHE_WORDS:
+    if len(seen.new) + len(fresh) > seen.most:
         seen.new, seen.old = {}, seen.new
         fresh = set().union(*split)
     known = fresh & seen.old.keys()
@@ -113,11 +115,11 @@ def token_bytes(texts: list[bytes | None], path: str, end_id: int, seen: Seen |
         yield b"".join(map(seen.new.__getitem__, words)) + end
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int = 1) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int = 1, known_words: int = KNOWN_WORDS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: every text's ids cut at `size`."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = kept("tokens").setdefault(tokenizer_path, Seen())
+        seen = kept("tokens").setdefault(tokenizer_path, Seen(known_words))
         for batch in slices(batches, keep="tokens"):
             ids, rows = batch.column("doc_id").to_pylist(), []
             for doc_id, data in zip(ids, token_bytes(column_bytes(batch), tokenizer_path, end_id, seen), strict=True):
@@ -254,14 +256,14 @@ def ranked(pieces: DataFrame, total: int, per_bucket: int = 4096) -> DataFrame:
     return numbered.join(offsets, keys).withColumn("rank", (F.col("_n") + F.col("_before")).cast("bigint")).drop("_n", "_before", "_bucket")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int = 1) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int = 1, known_words: int = KNOWN_WORDS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every row.
 
     A null text is empty and becomes the end id alone. A repeated row is packed again. Null ids are
     carried. Extra columns are ignored, an empty table gives an empty one. Only texts of more than
     `size` ids are cut.
     """
-    pieces = stage(token_pieces(docs, tokenizer_path, size, end_id))
+    pieces = stage(token_pieces(docs, tokenizer_path, size, end_id, known_words))
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `size` rows
     places = _places(plan_packing(histogram, size))
     key = places[:, 0] * (1 << 50) + places[:, 1]

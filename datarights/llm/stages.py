@@ -49,5 +49,5 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of what is left, packed."""
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """The pieces of what is left, packed; the executors still hold what earlier stages took, so fewer words are kept."""
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), known_words=300_000)
