@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -52,14 +53,19 @@ def _cut(code, at: np.ndarray, skip: int) -> Iterator[bytes]:
 
 
 def _encode_words(tokenizer, word_end: np.ndarray, words: list[str], per_call: int = 1000) -> Iterator[tuple[str, bytes]]:
-    """Ids of each stretch, many in one call: words of letters are told apart by the ids that end a word, others by a special token."""
-    letters = [w for w in words if w.isalpha()] if word_end.any() else []
+    """Ids of each stretch, many in one call: words of letters are told apart by the ids that end a word, others by a special token.
+
+    A word that the tokenizer takes apart, as lower-casing a dotted capital I does, has several such ids and goes with the others."""
+    letters = [w for w in words if w.isalpha() and (w.isascii() or unicodedata.normalize("NFC", w).lower().isalpha())] if word_end.any() else []
+    known: set[str] = set()
     for i in range(0, len(letters), per_call):
         part = letters[i: i + per_call]
         code = tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0]
-        yield from zip(part, _cut(code, np.flatnonzero(word_end[code.ids]) + 1, 0), strict=True)
+        at = np.flatnonzero(word_end[code.ids]) + 1
+        if len(at) == len(part):  # a word has one at least, so each has one
+            yield from zip(part, _cut(code, at, 0), strict=True)
+            known.update(part)
     special = min(tokenizer.get_added_tokens_decoder().items(), default=None)
-    known = set(letters)
     plain = [w for w in words if w not in known and "<|" not in w] if special else []
     for i in range(0, len(plain), per_call):
         part = plain[i: i + per_call]

@@ -211,6 +211,18 @@ def test_tokens_of_odd_texts():
         assert got == np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 1], "<u4").tobytes(), text
 
 
+def test_tokens_of_words_that_come_apart():
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    apart = ["İstanbul", "\u0958", "\ufb2a"]
+    assert all(w.isalpha() for w in apart)
+    for text in [*(f"one {w} two" for w in apart), f"a {' b '.join(apart)} c"]:
+        got = next(packing.token_bytes([text.encode()], TOKENIZER, 1))
+        assert got == np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 1], "<u4").tobytes(), text
+    ends = packing._encoder(TOKENIZER)[1]
+    several = dict(packing._encode_words(tokenizer, np.ones_like(ends), ["ordinary", "unforeseeable"]))  # as if every id ended a word
+    assert all(np.frombuffer(v, "<u4").tolist() == tokenizer.encode(w, add_special_tokens=False).ids for w, v in several.items())
+
+
 def test_plans_use_up_the_histogram():
     rng = np.random.default_rng(2)
     for size, n in ((64, 500), (4096, 3000), (16, 0)):
