@@ -152,9 +152,31 @@ class GatedAttention:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, most: int, columns: list[str]) -> DataFrame:
     """At most `most` labelled rows for a fit, none of them held out, in an order that ids alone decide."""
+    return docs.select("doc_id", *columns).join(F.broadcast(_first(labelled_ids(labels, label, modulus, held), most)), "doc_id")  # `most` rows of two numbers
+
+
+def labelled_ids(labels: DataFrame, label: str, modulus: int, held: int) -> DataFrame:
+    """doc_id and label, none of them held out."""
     ids = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), modulus) != held))
-    ids = ids.groupBy("doc_id").agg(F.max(label).alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", *columns).join(F.broadcast(ids), "doc_id")  # `most` rows of two numbers
+    return ids.groupBy("doc_id").agg(F.max(label).alias("label"))
+
+
+def _first(ids: DataFrame, most: int) -> DataFrame:
+    return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+
+
+def sample_by_label(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, most: int, columns: list[str]) -> tuple[DataFrame, float]:
+    """At most `most` labelled rows as in `labelled_sample`, but a rare label (1 or 0) has an eighth of `most` or all its rows.
+
+    Also what to add to log odds that the sample gives, so that they hold for all labelled rows."""
+    ids = labelled_ids(labels, label, modulus, held)
+    n = {int(r["label"]): r["count"] for r in ids.groupBy("label").count().collect()}
+    bad, good = n.get(1, 0), n.get(0, 0)
+    take = min(bad, max(round(most * bad / max(1, bad + good)), most // 8), most - min(good, most // 8))
+    rest = min(good, most - take)
+    first = _first(ids.where("label = 1"), take).unionAll(_first(ids.where("label = 0"), rest))
+    shift = np.log(bad / good) - np.log(take / rest) if take and rest else 0.0
+    return docs.select("doc_id", *columns).join(F.broadcast(first), "doc_id"), float(shift)  # `most` rows of two numbers
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, most: int = 4_000, passages: int = 64) -> GatedAttention | None:

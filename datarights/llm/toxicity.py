@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from datarights.llm.common import column_bytes, crc_mod, give_back_memory, slices
-from datarights.llm.quality import labelled_sample, segments
+from datarights.llm.quality import sample_by_label, segments
 from datarights.session import stage
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -86,7 +86,9 @@ def _unlike(rows: DataFrame) -> DataFrame:
 
 
 def mine_lexicon(rows: DataFrame, size: int, least: int = 8) -> Lexicon:
-    """The `size` word features that tell toxic from clean labelled texts best, each in `least` toxic texts or more."""
+    """The `size` word features that tell toxic from clean labelled texts best, each in `least` toxic texts or more.
+
+    With under four times `least` toxic texts a quarter of them, three at least, is enough, and the limit of surprise falls with it."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, size=8 << 20):
@@ -103,10 +105,11 @@ def mine_lexicon(rows: DataFrame, size: int, least: int = 8) -> Lexicon:
     n = {r["label"]: r["count"] for r in totals}
     if not n.get(1) or not n.get(0):
         return Lexicon([])
+    enough = min(least, max(3, n[1] // 4))
     counts = rows.select("text", "label").mapInArrow(count, "f string, bad bigint, good bigint").groupBy("f").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     ratio = F.log((F.col("bad") + 0.5) / (n[1] + 1)) - F.log((F.col("good") + 0.5) / (n[0] + 1))
     surprise = F.col("bad") * ratio  # the part of the log-likelihood ratio that toxic texts make
-    strong = counts.where((F.col("bad") >= least) & (ratio > 2.5) & (surprise > 30)).orderBy(surprise.desc(), F.length("f").desc(), "f").limit(size)
+    strong = counts.where((F.col("bad") >= enough) & (ratio > 2.5) & (surprise > 30 - 4 * (least - enough))).orderBy(surprise.desc(), F.length("f").desc(), "f").limit(size)
     kept: list[str] = []
     pure: list[str] = []  # what contains one of these adds nothing
     for r in strong.collect():
@@ -165,6 +168,8 @@ class ToxicityModel:
         votes = [self.lexicon.votes(t) for t in texts]
         odds = np.array([self.weights[v].sum() for v in votes]) + self.bias
         odds[[not v or v[0] >= len(self.lexicon.features) for v in votes]] += self.weights[-1]
+        none = [not v for v in votes]  # mostly toxic labels are no reason to reject a text on which all voters abstain
+        odds[none] = np.minimum(odds[none], -1e-3)
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
@@ -183,11 +188,13 @@ def _linear(votes: np.ndarray, target: np.ndarray, rounds: int = 1_500, decay: f
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = 8_000, size: int = 2_000) -> ToxicityModel | None:
-    """A model from at most `most` labelled texts and `size` lexicon voters; None if either label is missing."""
-    rows = _unlike(labelled_sample(docs, labels, "toxic", 5, 0, most, ["text"]))
+    """A model from at most `most` labelled texts and `size` lexicon voters; None if either label is missing.
+
+    Of a rare label an eighth of `most` is drawn, or all its texts. Where no word tells, the pattern voters and the given label make the model.
+    """
+    sample, shift = sample_by_label(docs, labels, "toxic", 5, 0, most, ["text"])
+    rows = _unlike(sample)
     lexicon = mine_lexicon(rows, size)
-    if not lexicon.features:
-        return None
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -195,6 +202,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = 8_000, size: in
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label").cast(pa.int32()), pa.array(votes, pa.binary())], names=["doc_id", "label", "v"])
 
     got = rows.mapInArrow(vote, "doc_id bigint, label int, v binary").toPandas().sort_values(["doc_id", "v"])
+    if got["label"].nunique() < 2:
+        return None
     votes = np.zeros((len(got), lexicon.width), np.float32)
     for i, v in enumerate(got["v"]):
         votes[i, np.frombuffer(v, np.int32)] = 1
@@ -207,7 +216,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = 8_000, size: in
     weights, bias = _linear(votes, LabelModel().fit(votes, given))
     del votes, got
     give_back_memory()
-    return ToxicityModel(lexicon, weights, bias)
+    return ToxicityModel(lexicon, weights, bias + shift)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel | None, threshold: float = 0.5) -> DataFrame:

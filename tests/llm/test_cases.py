@@ -1,5 +1,6 @@
 """Null and empty texts, repeated rows, ties, clashing columns and empty tables, for every operator and stage."""
 
+import math
 import random
 import zlib
 
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from datarights.llm import stages
+from datarights.llm.common import crc_mod
 from datarights.llm.decontaminate import contamination
 from datarights.llm.exact import exact_groups
 from datarights.llm.html_wrappers import extract_main_text
@@ -15,7 +17,7 @@ from datarights.llm.interpolation import score_texts
 from datarights.llm.log_templates import drop_recurring_lines
 from datarights.llm.minhash import near_groups
 from datarights.llm.packing import pack
-from datarights.llm.quality import fit_quality, score_quality
+from datarights.llm.quality import fit_quality, sample_by_label, score_quality
 from datarights.llm.recompress import remove_repeats
 from datarights.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -113,6 +115,38 @@ def test_toxicity(spark, docs, empty):
     assert {r.score for r in score_toxicity(docs, None).collect()} == {0.0}
 
 
+def test_few_toxic_texts(spark):
+    small, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    model = fit_toxicity(small, labels)
+    words = "disgusting|scum|loser|moron|clown|worthless|trash|pathetic|stupid|idiot"
+    insults = F.size(F.array_distinct(F.expr(f"regexp_extract_all(lower(text), '\\\\b({words})\\\\b', 1)")))
+    got = score_toxicity(small, model).join(small.select("doc_id", insults.alias("n")), "doc_id").join(labels, "doc_id", "left").collect()
+    planted = [r for r in got if r.toxic and r.n > 1]  # the other toxic labels are noise, they hold no such word
+    assert len(planted) > 5 and all(r.predicted for r in planted)
+    assert not any(r.predicted for r in got if not r.n)
+
+
+def test_rare_toxic_texts_are_all_drawn(spark):
+    ids = spark.range(4_000).withColumn("text", F.concat(F.lit("w"), F.col("id"))).withColumnRenamed("id", "doc_id")
+    labels = ids.select("doc_id", (F.col("doc_id") % 200 == 1).cast("int").alias("toxic"))
+    rows, shift = sample_by_label(ids, labels, "toxic", 5, 0, 160, ["text"])
+    n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    known = labels.where(crc_mod(F.col("doc_id"), 5) != 0).groupBy("toxic").count().collect()
+    known = {r["toxic"]: r["count"] for r in known}
+    assert n[1] == min(20, known[1]) and n[0] == 160 - n[1]
+    assert abs(shift - math.log(known[1] * n[0] / known[0] / n[1])) < 1e-9
+
+
+def test_toxicity_by_patterns_alone(spark):
+    rows = [(i, f"t{i} s{i} u{i} really!!! v{i}" if i % 4 == 0 else f"t{i} s{i} u{i} calm v{i}") for i in range(60)]
+    rows = [(i, t.replace("really", f"r{i}")) for i, t in rows]
+    train = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(60)], "doc_id bigint, toxic int")
+    model = fit_toxicity(train, labels)
+    assert not model.lexicon.features
+    assert {(r.doc_id % 4 == 0) == (r.predicted == 1) for r in score_toxicity(train, model).collect()} == {True}
+
+
 def test_repeats(docs, empty):
     got = by_id(remove_repeats(docs))
     assert got[7][0].n_removed == got[8][0].n_removed == 60 and got[7][0].n_words == 62
