@@ -29,7 +29,8 @@ from datarights.session import stage
 # HTML elements by what they do to text, and names that mark what is not the article.
 BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = set("area base basefont bgsound br col embed frame hr img input link meta param source track wbr".split())
-RAW = "script style noscript template svg math iframe object audio video canvas textarea select button title".split()
+RAW = "script style noscript iframe textarea title".split()  # what follows is text up to the end tag, or to the end of the page
+SKIPPED = "template svg math object audio video canvas select button".split()
 ASIDE = set("nav footer aside form menu dialog search head".split())
 NAMES = set("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination paywall popup promo promoted promotion recommendations recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola toolbar widget widgets".split())
 ABOUT = set("with without has no free layout columns".split())  # a class that says what its element stands beside
@@ -39,7 +40,9 @@ AGAIN = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td"
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 _RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_SKIPPED = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<({'|'.join(RAW)})(?![a-zA-Z0-9:-])[^>]*(?<!/)>.*?(?:</\1\b[^>]*>|\Z)|<(/?)({'|'.join(SKIPPED)})(?![a-zA-Z0-9:-])((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?""")
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 OFF, MAIN = "!", "*"
@@ -73,12 +76,29 @@ def _mark(tag: str, attributes: str, path: list[tuple[str, str]]) -> str:
     return mark
 
 
+def _ends(source: str) -> dict[int, int]:
+    """Where each skipped element ends, by where it begins; unclosed ones are left out."""
+    ends: dict[int, int] = {}
+    open_: dict[str, list[int]] = {tag: [] for tag in SKIPPED}
+    for token in _SKIPPED.finditer(source):
+        if token[3] is None:
+            continue
+        begun = open_[token[3].lower()]
+        if not token[2]:
+            if not token[4].endswith("/"):
+                begun.append(token.start())
+        elif begun:
+            ends[begun.pop()] = token.end()
+    return ends
+
+
 def blocks_of(text: str | None) -> list[tuple[str, str, int]]:
     """(path, text, characters in links) of every text block in page order."""
     source, at, out = text or "", 0, []
     path: list[tuple[str, str]] = []
     pieces: list[str] = []
     linked, in_link = 0, False
+    ends: dict[int, int] | None = None
 
     def flush():
         nonlocal pieces, linked
@@ -102,6 +122,10 @@ def blocks_of(text: str | None) -> list[tuple[str, str, int]]:
             if not token[1] and not token[3].endswith("/"):
                 end = _RAW_END[tag].search(source, at)
                 at = end.end() if end else len(source)
+        elif tag in SKIPPED:
+            if not token[1] and not token[3].endswith("/"):
+                ends = _ends(source) if ends is None else ends
+                at = ends.get(token.start(), at)
         elif tag == "a":
             in_link = not token[1]
         elif tag == "br":

@@ -12,7 +12,7 @@ from datarights.llm import stages
 from datarights.llm.common import crc_mod
 from datarights.llm.decontaminate import contamination
 from datarights.llm.exact import exact_groups
-from datarights.llm.html_wrappers import extract_main_text
+from datarights.llm.html_wrappers import blocks_of, extract_main_text
 from datarights.llm.interpolation import score_texts
 from datarights.llm.log_templates import drop_recurring_lines
 from datarights.llm.minhash import near_groups
@@ -197,6 +197,24 @@ def test_pages(spark):
     assert extract_main_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("attribute", ['class="entry" data-title="Hidden gems of Rome"', 'title="hidden costs"', 'data-hidden="false"', 'data-role="banner"', 'data-grid="footer"', "title='a \"class=menu\" b'"])
+def test_attributes_by_exact_name(attribute):
+    assert [t for _, t, _ in blocks_of(f"<div {attribute}><p>kept</p></div>")] == ["kept"]
+    assert not any("!" in path for path, _, _ in blocks_of(f"<div {attribute}><p>kept</p></div>"))
+    for off in ("hidden", 'HIDDEN=""', "class=menu", 'role="banner"', 'aria-hidden="true"', "style='display: none'"):
+        assert all("!" in path for path, _, _ in blocks_of(f"<div {attribute} {off}><p>off</p></div>"))
+
+
+@pytest.mark.parametrize("tag", ["button", "select", "object", "svg", "video", "canvas"])
+def test_unclosed_elements(tag):
+    text = lambda page: [t for _, t, _ in blocks_of(page)]
+    assert text(f"<p>a</p><{tag}><p>b</p><p>c</p>") == ["a", "b", "c"]
+    assert text(f"<p>a</p><{tag}><p>b</p><{tag}>x</{tag}><p>c</p>") == ["a", "b", "c"]
+    assert text(f"<p>a</p><{tag}>x<{tag}>y</{tag}>z</{tag}><p>c</p>") == ["a", "c"]
+    assert text(f"<{tag}>x<!-- <{tag}> --><script>'<{tag}>'</script>y</{tag}><p>c</p>") == ["c"]
+    assert text("<p>a</p><script>b<p>c</p>") == ["a"]
+
+
 @pytest.mark.parametrize("stage", [stages.drop_toxic, stages.drop_copies, stages.drop_near_copies, stages.drop_contaminated])
 def test_stages(spark, docs, empty, labelled, tmp_path, stage):
     labelled.write.parquet(str(tmp_path / "labels.parquet"))
