@@ -8,11 +8,13 @@ its rows; should a second read deal rows differently, its name is not found and
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,12 +31,26 @@ def block_id(batch: pa.RecordBatch) -> int:
     return int(range_hash(rows, np.array([0]), np.array([len(rows)]), _NAME).view(np.int64)[0])
 
 
-def in_blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
+def apart() -> Callable[[pa.RecordBatch], int]:
+    """A `block_id` for the blocks of one task that also tells blocks of equal rows apart, by partition and by which of them comes first."""
+    part, seen = TaskContext.get().partitionId(), Counter()
+
+    def name(batch: pa.RecordBatch) -> int:
+        rows = block_id(batch)
+        seen[rows] += 1
+        own = np.array([rows, part, seen[rows]], np.int64).view(np.uint64)
+        return int(range_hash(own, np.array([0]), np.array([3]), _NAME).view(np.int64)[0])
+
+    return name
+
+
+def in_blocks(docs: DataFrame, size: int = BLOCK, naming: Callable[[], Callable[[pa.RecordBatch], int]] = lambda: block_id) -> DataFrame:
     """block, doc_id, text, _d, _k."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        named = naming()
         for batch in slices(batches, size=size):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, block_id(batch))), *batch.columns], names=["block", *batch.schema.names])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, named(batch))), *batch.columns], names=["block", *batch.schema.names])
 
     return keyed(docs).mapInArrow(name, "block bigint, doc_id bigint, text string, _d bigint, _k bigint")
 

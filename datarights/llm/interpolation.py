@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from datarights.llm.blocks import beside, block_id, in_blocks
+from datarights.llm.blocks import apart, beside, in_blocks
 from datarights.llm.common import column_bytes, hash_words, keyed, mix, slices
 from datarights.session import stage
 
@@ -100,6 +100,7 @@ def count_ngrams(docs: DataFrame, ranges: int) -> DataFrame:
     """One row for each block, kind and range of keys: the keys and their counts in training texts and in those set aside."""
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        named = apart()
         for batch in slices(batches, size=BLOCK):
             uni, bi, _, _ = _block_counts(batch.column("doc_id").to_pylist(), column_bytes(batch))
             rows = []
@@ -109,7 +110,7 @@ def count_ngrams(docs: DataFrame, ranges: int) -> DataFrame:
                     if b > a:
                         rows.append((kind, r, pack_keys(c.keys[a:b]), _numbers(c.train[a:b]), _numbers(c.aside[a:b])))
             columns = [pa.array(x, k) for x, k in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), block_id(batch))), *columns], names=["block", "kind", "range", "keys", "train", "aside"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), named(batch))), *columns], names=["block", "kind", "range", "keys", "train", "aside"])
 
     return keyed(docs).mapInArrow(add_up, "block bigint, kind int, range int, keys binary, train binary, aside binary")
 
@@ -209,7 +210,7 @@ def score_texts(docs: DataFrame, ranges: int | None = None) -> DataFrame:
         rows, n = np.unique(np.stack([bucket_of(context), _bin(p2), _bin(p1)], 1), axis=0, return_counts=True)
         return pa.Table.from_arrays([*(pa.array(rows[:, k]) for k in range(3)), pa.array(n)], names=["bucket", "p2", "p1", "n"])
 
-    blocks = in_blocks(docs, BLOCK)
+    blocks = in_blocks(docs, BLOCK, apart)
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     own = blocks.where((F.pmod(crc, F.lit(7)) != 2) & (F.pmod(F.floor(crc / 7), F.lit(20)) == 0))
     asked = answers.where(F.length("aside") > 0).select("block", "kind", "range", "aside_train", "aside")

@@ -13,7 +13,7 @@ from datarights.llm.common import crc_mod
 from datarights.llm.decontaminate import contamination
 from datarights.llm.exact import exact_groups
 from datarights.llm.html_wrappers import blocks_of, extract_main_text
-from datarights.llm.interpolation import score_texts
+from datarights.llm.interpolation import folds, score_texts
 from datarights.llm.log_templates import drop_recurring_lines
 from datarights.llm.minhash import near_groups
 from datarights.llm.packing import pack
@@ -89,6 +89,24 @@ def test_interpolation(docs, empty):
     assert score_texts(empty).count() == 0
 
 
+def test_interpolation_of_equal_blocks(spark):
+    shape = "doc_id bigint, text string"
+    two = spark.createDataFrame(spark.sparkContext.parallelize([(5, "x"), (5, "x")], 2), shape)
+    assert len(two.rdd.glom().filter(len).collect()) == 2
+    got, one = (score_texts(df).collect() for df in (two, two.coalesce(1)))
+    assert sorted(got) == sorted(one) and [r.train_tokens for r in got] == [4, 4]
+    long = spark.range(2).select(F.lit(5).cast("bigint").alias("doc_id"), F.repeat(F.lit("word "), 1_800_000).alias("text")).coalesce(1)
+    got = score_texts(long).collect()
+    assert len(got) == 2 and got[0] == got[1] and got[0].train_tokens == 2 * 1_800_001
+
+
+def test_interpolation_of_equal_blocks_set_aside(spark):
+    aside = next(i for i in range(1000) if folds([i])[1][0])
+    rows = spark.sparkContext.parallelize([(aside, "x"), (aside, "x")], 2)
+    got = score_texts(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(got) == 2 and got[0] == got[1] and got[0].train_tokens == 4
+
+
 def test_quality(docs, empty, labelled):
     model = fit_quality(docs, labelled)
     got = by_id(score_quality(docs, model))
