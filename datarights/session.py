@@ -53,6 +53,13 @@ def rule_table(spark: SparkSession, rows: list, schema: str, limit: int = 5_000)
     return F.broadcast(table) if len(rows) <= limit else table
 
 
+def scratch_path(spark: SparkSession, kind: str) -> str:
+    """A new path beside the checkpoints, where driver and executors both reach it."""
+    ensure_checkpoint_dir(spark)
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
+    return f"{base}/{kind}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write `df` as a Parquet table beside the checkpoints and read it back.
 
@@ -60,9 +67,7 @@ def stage(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     checkpoint: readers prune columns and partitions and know the table's size.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
-    path = f"{base}/stage-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "stage")
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
