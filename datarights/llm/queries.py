@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators and their SQL, each over its whole table."""
+"""The registered queries of the text operators and their SQL, each over its whole table."""
 
 from __future__ import annotations
 
@@ -7,14 +7,17 @@ import public_tokenizers
 from datarights.llm.common import KEY, LOWER, UPPER, documents, labels
 from datarights.llm.decontaminate import NOT_WORD, contamination
 from datarights.llm.exact import exact_groups
+from datarights.llm.filter_audit import audit_filters
 from datarights.llm.html_wrappers import extract_main_text
 from datarights.llm.interpolation import score_texts
 from datarights.llm.log_templates import drop_recurring_lines
 from datarights.llm.minhash import near_groups
 from datarights.llm.packing import pack
+from datarights.llm.planes import token_files
 from datarights.llm.quality import fit_quality, score_quality
 from datarights.llm.recompress import remove_repeats
 from datarights.llm.registry import ORACLES, QUERIES, query
+from datarights.llm.spelling import spelling_forms
 from datarights.llm.toxicity import fit_toxicity, score_toxicity
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -84,3 +87,40 @@ coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN its USING (doc_id)""")
 def op8(spark, sf_dir):
     return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("item_ids", *KEY)
+
+
+@query("op11_gram_spelling")
+def op11(spark, sf_dir):
+    return spelling_forms(documents(spark, sf_dir))
+
+
+@query("op12_bit_planes")
+def op12(spark, sf_dir):
+    return token_files(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op13_filter_audit", """
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, part, t, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws, min(doc_id) OVER (PARTITION BY t) AS lowest FROM d),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+  (CASE WHEN len(ws) < 50 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(ws)) < 65 * len(ws) THEN 'B' ELSE '' END)
+  || (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 'C' ELSE '' END)
+  || (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END) || (CASE WHEN lowest < doc_id THEN 'E' ELSE '' END) AS fails FROM w LEFT JOIN l USING (doc_id)),
+cells AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY part, fails),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM x a, x b, x c, x d, x e
+  WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+s AS (SELECT filter_order, step, filter_order[step] AS c, left(filter_order, step - 1) AS before FROM (SELECT filter_order, unnest(range(1, 6)) AS step FROM o)),
+r AS (SELECT part, filter_order, step, c,
+  coalesce(sum(n) FILTER (translate(fails, before || c, '') = fails), 0) AS kept,
+  coalesce(sum(n) FILTER (contains(fails, c) AND translate(fails, before, '') = fails), 0) AS removed,
+  coalesce(sum(n) FILTER (contains(fails, c) AND translate(fails, before, '') <> fails), 0) AS redundant,
+  coalesce(sum(n) FILTER (fails = c), 0) AS unique_fails,
+  coalesce(sum(good) FILTER (contains(fails, c) AND translate(fails, before, '') = fails), 0) AS good_lost,
+  coalesce(sum(toxic) FILTER (contains(fails, c) AND translate(fails, before, '') = fails), 0) AS toxic_lost
+  FROM cells, s GROUP BY part, filter_order, step, c)
+SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, c))::BIGINT AS shapley FROM r""")
+def op13(spark, sf_dir):
+    return audit_filters(documents(spark, sf_dir), labels(spark, sf_dir))
