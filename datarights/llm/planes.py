@@ -14,6 +14,7 @@ Spark commits, count: a task that is run again leaves an unnamed file and nothin
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -43,20 +44,26 @@ MANIFEST = "shard int, file int, path string, n_docs bigint, n_ids bigint, n_byt
 
 
 def to_planes(ids: np.ndarray, bits: bool) -> list[bytes]:
-    """The 32 bit planes or four byte planes of unsigned 32-bit ids, the lowest first; b'' for a plane of zeros."""
-    octets = ids.astype("<u4").view(np.uint8).reshape(-1, 4)
-    rows = np.packbits(np.unpackbits(octets, axis=1, bitorder="little").T, axis=1, bitorder="little") if bits else octets.T
-    return [r.tobytes() if r.any() else b"" for r in rows]
+    """The 32 bit planes or four byte planes of unsigned 32-bit ids, the lowest first; b'' for those above the largest id."""
+    width, n = (1, 32) if bits else (8, 4)
+    top = int(ids.max()).bit_length() if len(ids) else 0
+    planes = []
+    for i in range(n):
+        if i * width >= top:
+            planes.append(b"")
+        else:
+            row = (ids >> np.uint32(i * width)).astype(np.uint8)
+            planes.append((np.packbits(row & 1, bitorder="little") if bits else row).tobytes())
+    return planes
 
 
 def from_planes(planes: list[bytes], n: int, bits: bool) -> np.ndarray:
-    out = np.zeros((len(planes), n), np.uint8)
+    ids = np.zeros(n, "<u4")
     for i, plane in enumerate(planes):
         if plane:
             row = np.frombuffer(plane, np.uint8)
-            out[i] = np.unpackbits(row, count=n, bitorder="little") if bits else row
-    octets = np.packbits(out.T, axis=1, bitorder="little") if bits else np.ascontiguousarray(out.T)
-    return octets.reshape(-1).view("<u4")
+            ids |= (np.unpackbits(row, count=n, bitorder="little") if bits else row).astype("<u4") << np.uint32(i if bits else 8 * i)
+    return ids
 
 
 class PlaneWriter:
@@ -154,61 +161,137 @@ class PlaneFile:
             rest, first = rest[n:], first + n
 
 
-#: A cut before a blank that a letter, number or sign follows: no token of a byte-level vocabulary spans it.
-_CUT = re.compile(r" (?=[^\s᠎])")
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
+#: White space, to some engines, other than blank and line break; the first byte is kept for texts' first words.
+_OTHER_SPACE = re.compile(b"[\0\t\v\f\r\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+_MAYBE_SPACE = np.isin(np.arange(256), [0, 9, 11, 12, 13, 28, 29, 30, 31, 0xC2, 0xE1, 0xE2, 0xE3])
+
+
+def _byte_names() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable ones for themselves, the others from 256 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(256, 512))
+    return [chr(b if b in own else next(others)) for b in range(256)]
 
 
 class Encoder:
     """Ids of texts by a byte-level BPE file, parts between blanks encoded once and then looked up.
 
-    A token's name has one character per byte, so the ids of many parts encoded in one call are told
-    apart by their lengths. Texts that name a special token are encoded whole.
+    No token spans a blank or line break between two other characters: a blank belongs to the word behind
+    it, a line break is a token. A part is therefore a word, led by a line break or by `\\0` where no
+    blank stands before it. Parts of letters go to the file's BPE model as they are, a last stop or comma
+    is a token of its own; other parts share a call and are told apart by their lengths, a token's name
+    having one character per byte. Texts with other white space, or that name a special token, are
+    encoded whole, and so are all texts if the file is of another kind.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.size = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
-        for name, i in self.tokenizer.get_vocab().items():
+        vocab = self.tokenizer.get_vocab()
+        self.kind = np.dtype("<u2" if max(vocab.values()) < 1 << 16 else "<u4")
+        self.size = np.zeros(max(vocab.values()) + 1, np.int64)
+        for name, i in vocab.items():
             self.size[i] = len(name)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(path) as file:
+            steps = json.load(file)
+        before = steps["pre_tokenizer"] or {}
+        self.by_parts = steps["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before["add_prefix_space"]
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.names = dict(enumerate(_byte_names()))
         self.most = most
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
-
-    def _parts(self, parts: list[str], per_call: int = 2000) -> Iterator[bytes]:
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+
+    def _of_letters(self, parts: list[str]) -> Iterator[bytes]:
+        tokenize, blank, ids, ends = self.tokenizer.model.tokenize, self.names[32], [], [0]
+        line = self._ids("\n").tolist()
+        for part in parts:
+            lead, word = ("", part) if part[0] > "\n" else (part[0], part[1:])
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(self.names)
+            if lead == "\n":
+                ids += line
+            ids += [t.id for t in tokenize(word if lead else blank + word)]
+            ends.append(len(ids))
+        data, ends = np.array(ids, self.kind).tobytes(), [e * self.kind.itemsize for e in ends]
+        return (data[a:b] for a, b in zip(ends, ends[1:]))
+
+    def _together(self, parts: list[str], per_call: int = 2000) -> Iterator[bytes]:
         for i in range(0, len(parts), per_call):
-            some = parts[i: i + per_call]
-            code = np.array(self.tokenizer.encode_batch_fast(["x " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            some = [p if p[0] == "\n" else " " + p for p in parts[i: i + per_call]]
+            code = self._ids("x" + "".join(some))
             ends = np.cumsum(self.size[code])
-            want = np.cumsum([1] + [len(p.encode()) + 1 for p in some])
+            want = np.cumsum([1] + [len(p.encode()) for p in some])
             at = np.searchsorted(ends, want)
             if not np.array_equal(ends[at], want):
-                raise RuntimeError("a token spans a blank; the file is not byte-level BPE")
-            data, at = code.tobytes(), (4 * (at + 1)).tolist()
+                raise RuntimeError("a token spans two parts of a text; the file is not byte-level BPE")
+            data, at = code.tobytes(), (self.kind.itemsize * (at + 1)).tolist()
             yield from (data[a:b] for a, b in zip(at, at[1:]))
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [None if any(s in t for s in self.special) else _CUT.split(t) for t in texts]
-        words = set().union(*(s[1:] for s in split if s))
-        if len(self.new) + len(words) > self.most:
+    def _learn(self, parts: list[bytes]) -> None:
+        seen, known = self.new, {}
+        words = [p.decode() for p in parts]
+        stopped = {w for w in words if w[-1] in ".," and w[-2:-1].isalnum() and w[-2].isascii()}
+        stems = {w[:-1] if w in stopped else w for w in words}
+        letters = [w for w in stems if _LETTERS.fullmatch(w, w[0] <= "\n")]
+        rest = stems.difference(letters)
+        firsts = [w for w in rest if w[0] == "\0"]
+        others = list(rest.difference(firsts))
+        known.update(zip(letters, self._of_letters(letters), strict=True))
+        known.update(zip(others, self._together(others), strict=True))
+        known.update((w, self._ids(w[1:]).tobytes()) for w in firsts)
+        mark = {c: self._ids(c).tobytes() for c in ".,"}
+        seen.update((p, known[w[:-1]] + mark[w[-1]] if w in stopped else known[w]) for p, w in zip(parts, words))
+
+    def _plain(self, text: bytes) -> bool:
+        """Whether the text's white space is single blanks and line breaks between words."""
+        if not self.by_parts or not text:
+            return False
+        data = np.frombuffer(text, np.uint8)
+        blank = (data == 32) | (data == 10)
+        if blank[0] or blank[-1] or (blank[1:] & blank[:-1]).any():
+            return False
+        return not (_MAYBE_SPACE[data].any() and _OTHER_SPACE.search(text)) and not any(s in text for s in self.special)
+
+    def _of_parts(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of plain texts: their distinct parts are looked up, then all parts are put together at once."""
+        texts = [b"\0" + t.replace(b"\n", b" \n") + b" " for t in texts]
+        data = b"".join(texts)
+        ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 32) + 1
+        starts = pa.py_buffer(np.append(0, ends).astype(np.int32).tobytes())
+        coded = pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, starts, pa.py_buffer(data)]).dictionary_encode()
+        parts = [p[:-1] for p in coded.dictionary.to_pylist()]
+        if len(self.new) + len(parts) > self.most:
             self.new, self.old = {}, self.new
-        fresh = words - self.new.keys()
-        known = fresh & self.old.keys()
-        self.new.update((w, self.old[w]) for w in known)
-        fresh = list(fresh - known)
-        self.new.update(zip(fresh, self._parts(fresh), strict=True))
-        for text, parts in zip(texts, split, strict=True):
-            if parts is None:
-                yield self._whole(text)
-            else:
-                yield self._whole(parts[0]) + b"".join(map(self.new.__getitem__, parts[1:]))
+        new, old, fresh = self.new, self.old, []
+        for part in parts:
+            if part not in new:
+                if part in old:
+                    new[part] = old[part]
+                else:
+                    fresh.append(part)
+        self._learn(fresh)
+        found = [new[p] for p in parts]
+        pool, width = np.frombuffer(b"".join(found), self.kind), self.kind.itemsize
+        size = np.fromiter(map(len, found), np.int64, len(found)) // width
+        which = coded.indices.to_numpy()
+        lengths, firsts = size[which], (np.cumsum(size) - size)[which]
+        upto = np.cumsum(lengths)
+        ids = pool[np.repeat(firsts - (upto - lengths), lengths) + np.arange(upto[-1])]
+        last = np.searchsorted(ends, np.cumsum([len(t) for t in texts]))
+        return np.split(ids, upto[last][:-1])
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text."""
+        plain = [self._plain(t) for t in texts]
+        by_parts = iter(self._of_parts([t for t, p in zip(texts, plain) if p]) if any(plain) else [])
+        return [next(by_parts) if p else self._ids(t.decode()) for t, p in zip(texts, plain)]
 
 
 def _open(path: str):
@@ -242,17 +325,16 @@ def write_ids(docs: DataFrame, tokenizer_path: str, folder: str | None = None, *
 
         memory = kept("byte tokens")
         encoder = memory.get(tokenizer_path) or memory.setdefault(tokenizer_path, Encoder(tokenizer_path))
-        end_bytes = np.array([end_id], "<u4").tobytes()
         for batch in slices(batches, keep="byte tokens"):
-            texts = [(t or b"").decode() for t in column_bytes(batch)]
-            for doc_id, data in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
+            texts = [t or b"" for t in column_bytes(batch)]
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
                 if writer is None:
                     files, top = _open(folder)
                     files.create_dir(top)
                     name = f"{shard:06d}-{len(done):04d}-{uuid.uuid4().hex}.planes"
                     path, stream = f"{folder}/{name}", files.open_output_stream(f"{top}/{name}")
                     writer = PlaneWriter(stream, bits, chunk)
-                writer.add(doc_id, np.frombuffer(data + end_bytes, "<u4"))
+                writer.add(doc_id, np.append(ids, np.uint32(end_id)))
                 if writer.n_ids >= file_ids:
                     end()
                     writer = None
