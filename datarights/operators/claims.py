@@ -44,9 +44,9 @@ def check_citations(cites: DataFrame, files: DataFrame, line_table: DataFrame, s
     relative = ~F.col("file").rlike(r"^/|(^|/)\.\.(/|$)") & (F.col("file") != "")
     exists = F.col("n_lines").isNotNull() & relative
     stem = t.norm(F.coalesce("symbol", F.lit("")))
-    early = (F.when(~exists, "file does not exist").when(F.col("scanned_only") & ~F.col("scanned"), "file is not scanned")
-             .when(~F.col("line").between(1, F.col("n_lines")), "line is beyond end of file")
-             .when(F.col("has_symbol") & (stem == ""), "no symbol"))
+    early = (F.when(~exists, "no_file").when(F.col("scanned_only") & ~F.col("scanned"), "not_scanned")
+             .when(~F.col("line").between(1, F.col("n_lines")), "past_end")
+             .when(F.col("has_symbol") & (stem == ""), "no_symbol"))
     seen = seen.withColumn("_early", early)
     open_ = enclosing_span(seen.where("_early IS NULL AND has_symbol").select("cite_id", *keys, "line", "symbol"), spans, keys)
     rows = open_.select("cite_id", *keys, t.norm("symbol").alias("_want"), t.symbol_parts(F.col("symbol")).alias("_parts"), F.explode(
@@ -59,7 +59,7 @@ def check_citations(cites: DataFrame, files: DataFrame, line_table: DataFrame, s
         F.flatten(F.collect_set(F.array_intersect("_parts", "_tok"))).alias("_got"))
     good = found.where((F.col("_whole")) | ((F.size("_parts") > 1) & (F.size(F.array_except("_parts", "_got")) == 0)))
     out = seen.join(good.select("cite_id", F.lit(True).alias("_good")), "cite_id", "left")
-    problem = F.coalesce("_early", F.when(F.col("has_symbol") & F.col("_good").isNull(), "line does not contain the symbol"))
+    problem = F.coalesce("_early", F.when(F.col("has_symbol") & F.col("_good").isNull(), "symbol_absent"))
     return out.withColumn("problem", problem).drop("_early", "_good", "n_lines", "scanned")
 
 

@@ -199,10 +199,11 @@ def admin_entry_points(code: Code, stores: DataFrame, r: Rules) -> DataFrame:
     return _rows(each, "admin", "admin_registration", 9, name=F.col("e.name"), symbol=null(), admin_only=F.lit(True), sets_mode=F.col("e.mode"), models=F.col("models"))
 
 
-def reconcile(declared: DataFrame, discovered: DataFrame, symbols: DataFrame, r: Rules) -> DataFrame:
+def reconcile(declared: DataFrame, discovered: DataFrame, symbols: DataFrame, r: Rules, records: DataFrame | None = None) -> DataFrame:
     """Declared against discovered entry points, per record.
 
-    `declared`: record_id, repo_id, name, file, line. Status: confirmed, unresolved,
+    `declared`: record_id, repo_id, name, file, line. `records`: record_id, repo_id of all records, so that
+    one that declares nothing is told what it misses; without it only declaring records are known. Status: confirmed, unresolved,
     declared_only (something registers it), declared_unregistered (capped), missing.
     """
     by_name = discovered.select("repo_id", "name", "file", F.lit(True).alias("_hit")).distinct()
@@ -219,7 +220,7 @@ def reconcile(declared: DataFrame, discovered: DataFrame, symbols: DataFrame, r:
     status = (F.when(F.col("_hit"), "confirmed").when(F.col("s").isNull(), "unresolved").when(F.col("s.reg") | F.col("_flag"), "declared_only").otherwise("declared_unregistered"))
     rows = out.select("record_id", "repo_id", "name", "file", "line", status.alias("status"), F.col("s.symbol").alias("symbol"))
     told = declared.select("record_id", "repo_id", "name", "file").distinct()
-    per_record = declared.select("record_id", "repo_id").distinct().join(discovered.select("repo_id", "name", "file", "line"), ["repo_id"])
+    per_record = (declared if records is None else records).select("record_id", "repo_id").distinct().join(discovered.select("repo_id", "name", "file", "line"), ["repo_id"])
     missing = per_record.join(told, ["record_id", "repo_id", "name", "file"], "left_anti").select(
         "record_id", "repo_id", "name", "file", "line", F.lit("missing").alias("status"), null().alias("symbol"))
     return rows.unionByName(missing)

@@ -138,9 +138,9 @@ j AS (SELECT cite_id, arg_min(struct_pack(s := start, e := "end"), struct_pack(l
 c AS (SELECT cites.*, nl.n, coalesce(j.b.s, line) AS s, coalesce(j.b.e, line) AS e FROM cites LEFT JOIN nl USING (doc_id) LEFT JOIN j USING (cite_id)),
 bl AS (SELECT c.cite_id, string_agg(l.text, chr(10)) AS block FROM c JOIN lines l ON l.doc_id = c.doc_id AND l.line BETWEEN c.s AND c.e GROUP BY 1),
 tk AS (SELECT cite_id, {_TOKS} AS toks FROM bl)
-SELECT c.cite_id, CASE WHEN c.n IS NULL THEN 'file does not exist' WHEN c.line < 1 OR c.line > c.n THEN 'line is beyond end of file' WHEN symbol = '!!' THEN 'no symbol'
+SELECT c.cite_id, CASE WHEN c.n IS NULL THEN 'no_file' WHEN c.line < 1 OR c.line > c.n THEN 'past_end' WHEN symbol = '!!' THEN 'no_symbol'
  WHEN (symbol = 'The' AND list_contains(toks, 'the')) OR (symbol = 'les' AND list_contains(toks, 'les')) OR (symbol = 'of.the' AND list_contains(toks, 'of') AND list_contains(toks, 'the')) THEN NULL
- ELSE 'line does not contain the symbol' END AS problem FROM c LEFT JOIN tk USING (cite_id)""")
+ ELSE 'symbol_absent' END AS problem FROM c LEFT JOIN tk USING (cite_id)""")
 def c15_check_citations(spark, sf):
     cited = label_cites(spark, sf).select("doc_id")
     table = doc_lines(spark, sf, cited).select(F.col("doc_id").cast("string").alias("file"), "line", "text")
