@@ -41,11 +41,12 @@ def canonical(feedback: DataFrame) -> list:
 def recheck(files: DataFrame, submissions: DataFrame, ledger: DataFrame | None = None, r: Rules | None = None, integrity: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Answers for all submissions; the ledger with what was worked out now; the repositories worked on.
 
-    `ledger`: answer and the answer's parts, from an earlier call or null. Submissions of one repository
-    with equal records are worked out once."""
+    `ledger`: answer and the answer's parts, from an earlier call or null. Equal records about equal
+    repositories have one name and are worked out once."""
+    ledger = None if ledger is None else ledger.dropDuplicates(["answer"])
     named = stage(answer_names(files, submissions, r))
     fresh = named if ledger is None else named.join(ledger, "answer", "left_anti")
-    first = stage(fresh.groupBy("repo_id", "answer").agg(F.min("record_id").alias("record_id")))
+    first = stage(fresh.groupBy("answer").agg(F.min(F.struct("repo_id", "record_id")).alias("_f")).select("answer", "_f.*"))
     parts = ["answer", *ANSWER]
     if first.isEmpty():
         known = ledger if ledger is not None else first.select("answer", *[F.lit("").alias(c) for c in ANSWER])

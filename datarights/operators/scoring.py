@@ -123,6 +123,29 @@ def without_record(scored: DataFrame, has_record) -> DataFrame:
     return scored
 
 
+def unsafe_ever(states: DataFrame, truth: DataFrame, run: list[str], keys: list[str]) -> DataFrame:
+    """Every tuple that any state of a run claimed to reach erasure and the truth does not, drafts that a gate turned down included.
+
+    `states`: run, attempt, delivered (the record handed over, else a draft), keys, reaches; `truth`: the
+    columns it shares with `run`, keys, reaches. One row per run and tuple: the first attempt that claimed
+    it, whether a draft and whether the delivered record did, and whether the truth knows the tuple at all.
+    States are folded before they meet the truth, so attempts do not multiply it.
+    """
+    case = [c for c in run if c in truth.columns]
+    claimed = states.where("reaches").groupBy(*run, *keys).agg(
+        F.min("attempt").alias("first_attempt"), F.bool_or(~F.col("delivered")).alias("in_draft"), F.bool_or("delivered").alias("in_delivered"))
+    known = truth.select(*case, *keys, F.col("reaches").alias("_true")).distinct()
+    both = claimed.join(known, [*case, *keys], "left").where("NOT coalesce(_true, false)")
+    return both.withColumn("matched", F.col("_true").isNotNull()).drop("_true")
+
+
+def score_states(states: DataFrame, truth: DataFrame, run: list[str], keys: list[str]) -> DataFrame:
+    """`score` of every state of a run (run, attempt, delivered): what a rejected draft would have been worth."""
+    by = [*run, "attempt", "delivered"]
+    asked = states.select(*by).distinct().join(truth, [c for c in run if c in truth.columns])
+    return score(match_tuples(states, asked, [*by, *keys]), by)
+
+
 def confusion(matched: DataFrame, by: list[str]) -> DataFrame:
     return (matched.where("in_pred AND in_truth").groupBy(*by, "true_verdict", "pred_verdict")
             .agg(F.count("*").alias("n")))

@@ -97,6 +97,42 @@ def f4_false_safe(spark, sf):
     return sc.score(matched(spark, sf), ["arm", "case", "seed"]).select("arm", "case", "seed", "false_safe", "unmatched_reaching")
 
 
+STATES_SQL = """st AS (SELECT source AS "case", doc_id % 3 AS seed, doc_id, a AS attempt, false AS delivered, n_chars >= 600 + 300 * a AS reaches FROM documents, (SELECT unnest([0, 1]) AS a) WHERE n_chars >= 150
+ UNION ALL SELECT "case", seed, doc_id, 2, true, verdict = 'erased' FROM pred WHERE arm = 'long'),
+tt AS (SELECT "case", seed, doc_id, verdict = 'erased' AS reaches FROM truth)"""
+
+
+def states(spark, sf):
+    """Two drafts of a run, the first the boldest, and the record it delivers."""
+    keys = ["case", "seed", "doc_id"]
+    docs = read(spark, sf, "documents").where("n_chars >= 150").select(F.col("source").alias("case"), (F.col("doc_id") % 3).alias("seed"), "doc_id", "n_chars", F.explode(F.array(F.lit(0), F.lit(1))).alias("attempt"))
+    drafts = docs.select(*keys, "attempt", F.lit(False).alias("delivered"), (F.col("n_chars") >= 600 + 300 * F.col("attempt")).alias("reaches"))
+    handed = predictions(spark, sf).where("arm = 'long'").select(*keys, F.lit(2).alias("attempt"), F.lit(True).alias("delivered"), (F.col("verdict") == "erased").alias("reaches"))
+    return drafts.unionByName(handed)
+
+
+@query("f4_drafts", f"""WITH {BASE_SQL.strip()}, {STATES_SQL}, u AS (SELECT "case", seed, doc_id, min(attempt) AS first_attempt, bool_or(NOT delivered) AS d, bool_or(delivered) AS r, any_value(tt.reaches) IS NOT NULL AS matched
+ FROM st LEFT JOIN tt USING ("case", seed, doc_id) WHERE st.reaches AND NOT coalesce(tt.reaches, false) GROUP BY 1, 2, 3)
+SELECT "case", seed, matched, count(*) FILTER (d) AS in_drafts, count(*) FILTER (r) AS delivered, count(*) FILTER (d AND NOT r) AS hidden, min(first_attempt) AS first_attempt FROM u GROUP BY 1, 2, 3""")
+def f4_drafts(spark, sf):
+    """Unsafe claims that only a rejected draft held, beside those delivered."""
+    t = truth(spark, sf).select("case", "seed", "doc_id", (F.col("verdict") == "erased").alias("reaches"))
+    unsafe = sc.unsafe_ever(states(spark, sf), t, ["case", "seed"], ["doc_id"])
+    return unsafe.groupBy("case", "seed", "matched").agg(
+        sc.count_if(F.col("in_draft")).alias("in_drafts"), sc.count_if(F.col("in_delivered")).alias("delivered"),
+        sc.count_if(F.col("in_draft") & ~F.col("in_delivered")).alias("hidden"), F.min("first_attempt").alias("first_attempt"))
+
+
+@query("f4_draft_scores", f"""WITH {BASE_SQL.strip()}, {STATES_SQL}, a AS (SELECT DISTINCT "case", seed, attempt, delivered FROM st), x AS (SELECT * FROM a JOIN tt USING ("case", seed)),
+m2 AS (SELECT coalesce(p."case", x."case") AS "case", coalesce(p.seed, x.seed) AS seed, coalesce(p.attempt, x.attempt) AS attempt, p.reaches AS pr, x.reaches AS tr FROM st p FULL JOIN x ON p."case" = x."case" AND p.seed = x.seed AND p.attempt = x.attempt AND p.doc_id = x.doc_id)
+SELECT "case", seed, attempt, attempt = 2 AS delivered, count(*) FILTER (pr = tr) AS tp, count(*) FILTER (pr IS NOT NULL AND pr IS DISTINCT FROM tr) AS fp, count(*) FILTER (tr IS NOT NULL AND pr IS DISTINCT FROM tr) AS fn, count(*) FILTER (pr AND NOT tr) AS false_safe
+FROM m2 GROUP BY 1, 2, 3""")
+def f4_draft_scores(spark, sf):
+    t = truth(spark, sf).select("case", "seed", "doc_id", "verdict", (F.col("verdict") == "erased").alias("reaches"))
+    scored = sc.score_states(states(spark, sf).withColumn("verdict", F.lit(None).cast("string")), t, ["case", "seed"], ["doc_id"])
+    return scored.select("case", "seed", "attempt", "delivered", "tp", "fp", "fn", "false_safe")
+
+
 @query("f5_confusion", f"WITH {BASE_SQL} SELECT arm, tv AS true_verdict, pv AS pred_verdict, count(*) AS n FROM m WHERE ip AND it GROUP BY ALL")
 def f5_confusion(spark, sf):
     return sc.confusion(matched(spark, sf), ["arm"])

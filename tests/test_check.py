@@ -62,7 +62,7 @@ RECORDS = {
                                 store("session", "cache", "not_erased", SESSION)]),
     ("hopeful", "shop"): record([store("session", "cache", "erased", SESSION, [cite("app/services.py", 4, "set")]), store("User", "relational", "erased", EMAIL, [cite("app/services.py", 1, "redis")], USER_AT),
                                  store("warehouse", "relational", "erased", ("email", "app/tests/models.py", 3), [cite("app/models.py", 40, "y"), cite("gone.py", 1, "x")])],
-                                entries=[], retention=[("warehouse", 3, None, "app/models.py", 99)]),
+                                entries=[("put", "route", "app/services.py", 3)], retention=[("warehouse", 3, None, "app/models.py", 99)]),
     ("careful", "shop"): record([store("user", "cache", "not_erased", EMAIL, at=USER_AT), store("parcel", "relational", "erased", NOTES, [cite("app/models.py", 5, "CASCADE")], PARCEL_AT),
                                  store("session", "cache", "not_erased", SESSION, overrides="external_manual"), store("ledger", "relational", "not_erased", EMAIL)]),
     ("broken", "shop"): record([("user", "relational", USER_AT, None, None, ("not_erased", [], None, None), [])]),
@@ -160,7 +160,7 @@ def test_known_answers_are_taken_over(spark):
     assert names["s1"] == again["s1"] and names["s2"] != again["s2"] and names["s3"] == again["s3"]
     ledger = answer_names(files, asked).select("answer", *[F.lit("true" if c == "accepted" else "[]").alias(c) for c in ANSWER])
     answers, kept, worked = recheck(files, asked, ledger)
-    assert answers.count() == 3 and worked.isEmpty() and kept.count() == ledger.count()
+    assert answers.count() == 3 and worked.isEmpty() and kept.count() == 2  # equal records about equal files are one answer
     recorded = asked.select("*", *[F.lit("false" if c == "accepted" else "[]").alias(c) for c in ANSWER]).unionByName(
         asked.limit(1).select(F.lit("s4").alias("record_id"), "repo_id", F.lit("[]").alias("record"), *[F.lit("[]").alias(c) for c in ANSWER]))
     found, _, worked = reverify_submissions(files, recorded, ledger)
