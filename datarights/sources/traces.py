@@ -5,34 +5,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from datarights.operators.ordered import in_order
+
 SUBMISSION = "attempt int, record string, feedback string"
 
 
+def numbered_lines(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """file, line, text of every line of the files under `path`, numbered within its file.
+
+    Files are read in splits like any other. A row knows the split that it stands in and its place in the
+    task's reading order, so lines are numbered inside each split and a split starts where the lines of
+    the splits before it end: no file is one row or one task. Lines end with a line feed only.
+    """
+    reader = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n")
+    raw = (reader.option("pathGlobFilter", pattern) if pattern else reader).text(path)
+    rows = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_read"), F.col("value").alias("text"))
+    return in_order(rows, ["file"], ["_read"], F.col("_start"), number="line").select("file", "line", "text")
+
+
 def read_traces(spark: SparkSession, path: str, mode: str = "drop") -> DataFrame:
-    """One row per log line: file, line, obj (VARIANT), type, problem.
+    """One row per log line: file, line, text, obj (VARIANT), type, problem.
 
     `drop` keeps the good lines only; `strict` keeps every line with what is wrong with it.
-    A file is read whole so that its line numbers are its own; logs are one run each.
     """
-    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
-    parts = F.split("value", "\n")
-    kept = F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
-    rows = whole.select(F.col("_metadata.file_path").alias("file"), F.posexplode(kept).alias("pos", "text"))
-    rows = rows.select("file", (F.col("pos") + 1).alias("line"), "text", F.try_parse_json("text").alias("obj"))
+    rows = numbered_lines(spark, path).select("file", "line", "text", F.try_parse_json("text").alias("obj"))
     is_object = F.schema_of_variant("obj").startswith("OBJECT")
     problem = F.when(F.col("obj").isNull(), "does not parse").when(~is_object, "not an object")
     rows = rows.withColumn("problem", problem).withColumn("type", F.when(problem.isNull(), F.try_variant_get("obj", "$.type", "string")))
     return rows.where("problem IS NULL").drop("problem") if mode == "drop" else rows
 
 
-def read_submissions(spark: SparkSession, path: str) -> DataFrame:
-    """Submissions of each run, `record` and `feedback` kept as JSON text; broken lines dropped."""
-    raw = spark.read.option("recursiveFileLookup", True).text(path)
-    parsed = raw.select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("obj")).where("obj IS NOT NULL")
-    return parsed.select(
-        "file", F.try_variant_get("obj", "$.attempt", "int").alias("attempt"),
-        F.to_json(F.try_variant_get("obj", "$.record", "variant")).alias("record"),
-        F.to_json(F.try_variant_get("obj", "$.feedback", "variant")).alias("feedback"))
+def read_submissions(spark: SparkSession, path: str, mode: str = "drop") -> DataFrame:
+    """Submissions of each run: file, line, attempt, `record` and `feedback` as JSON text.
+
+    `drop` leaves broken lines out. `strict` keeps them with their `problem`: a line written by half is a
+    failure of its log, and only lines of white space are no submissions."""
+    lines = read_traces(spark, path, "strict")
+    lines = lines.where("problem IS NULL") if mode == "drop" else lines.where(F.col("text").rlike(r"\S"))
+    out = lines.select(
+        "file", "line", F.try_variant_get("obj", "$.attempt", "int").alias("attempt"), F.to_json(F.try_variant_get("obj", "$.record", "variant")).alias("record"),
+        F.to_json(F.try_variant_get("obj", "$.feedback", "variant")).alias("feedback"), "problem")
+    return out.drop("problem") if mode == "drop" else out
 
 
 def identity_of(path: Column) -> Column:
