@@ -134,3 +134,34 @@ def g9_blocked_parents(spark, sf):
     assert delete_order("customer", RELATIONS)[0] == "customer"
     held = blocked_parents(tables["orders"], "o_orderkey", tables["claim"], "l_orderkey")
     return held.groupBy("o_orderpriority").agg(F.count("*").alias("blocked"))
+
+
+CIRCLE = [
+    Relation("customer", "orders", "id", "cust", "CASCADE"), Relation("orders", "customer", "id", "ref", "CASCADE"),
+    Relation("orders", "claim", "id", "l_orderkey", "PROTECT"),
+]
+STAFF = [Relation("supplier", "supplier", "id", "boss", "CASCADE"), Relation("supplier", "supplier", "id", "mentor", "SET_NULL")]
+
+
+@query("g8_circular_cascade", """
+WITH RECURSIVE c AS (SELECT c_custkey AS id, c_custkey // 2 AS ref FROM customer), o AS (SELECT o_orderkey AS id, o_custkey AS cust FROM orders),
+claim AS (SELECT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 49), s AS (SELECT s_suppkey AS id, s_suppkey // 2 AS boss, s_suppkey + 1 AS mentor FROM supplier),
+cand(kind, id) AS (SELECT 'c', id FROM c WHERE id <= 5 UNION SELECT * FROM (SELECT 'o', o.id FROM cand JOIN o ON kind = 'c' AND o.cust = cand.id UNION ALL SELECT 'c', c.id FROM cand JOIN c ON kind = 'o' AND c.ref = cand.id)),
+blocked(kind, id) AS (SELECT 'o', id FROM cand WHERE kind = 'o' AND id IN (FROM claim) UNION SELECT * FROM (SELECT 'c', o.cust FROM blocked b JOIN o ON b.kind = 'o' AND o.id = b.id
+ UNION ALL SELECT 'o', c.ref FROM blocked b JOIN c ON b.kind = 'c' AND c.id = b.id JOIN cand ON cand.kind = 'o' AND cand.id = c.ref)),
+free AS (SELECT * FROM cand EXCEPT SELECT * FROM blocked),
+erased(kind, id) AS (SELECT kind, id FROM free WHERE kind = 'c' AND id <= 5 UNION SELECT * FROM (SELECT 'o', o.id FROM erased e JOIN o ON e.kind = 'c' AND o.cust = e.id JOIN free f ON f.kind = 'o' AND f.id = o.id
+ UNION ALL SELECT 'c', c.id FROM erased e JOIN c ON e.kind = 'o' AND c.ref = e.id JOIN free f ON f.kind = 'c' AND f.id = c.id)),
+staff(id) AS (SELECT 3 FROM s WHERE id = 3 UNION SELECT s.id FROM staff JOIN s ON s.boss = staff.id)
+SELECT 'customer' AS store, (SELECT count(*) FROM erased WHERE kind = 'c') AS rows_erased, 0::BIGINT AS rows_nulled, (SELECT count(*) FROM cand WHERE kind = 'c') - (SELECT count(*) FROM erased WHERE kind = 'c') AS rows_blocked, 0::BIGINT AS rows_left
+UNION ALL SELECT 'orders', (SELECT count(*) FROM erased WHERE kind = 'o'), 0, (SELECT count(*) FROM cand WHERE kind = 'o') - (SELECT count(*) FROM erased WHERE kind = 'o'), 0
+UNION ALL SELECT 'claim', 0, 0, 0, count(*) FILTER (k IN (SELECT id FROM cand WHERE kind = 'o')) FROM claim
+UNION ALL SELECT 'supplier', (SELECT count(*) FROM staff), count(*) FILTER (mentor IN (FROM staff) AND id NOT IN (FROM staff)), 0, 0 FROM s""")
+def g8_circular_cascade(spark, sf):
+    """Customers have orders, orders bring customers, suppliers have superiors: a circle of two stores and a store that points at itself."""
+    tables = shop_tables(spark, sf)
+    customer = tables["customer"].select(F.col("c_custkey").alias("id"), F.floor(F.col("c_custkey") / 2).cast("bigint").alias("ref"))
+    orders = tables["orders"].select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("cust"))
+    supplier = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.floor(F.col("s_suppkey") / 2).cast("bigint").alias("boss"), (F.col("s_suppkey") + 1).alias("mentor"))
+    circle = erase_cascade({"customer": customer, "orders": orders, "claim": tables["claim"]}, CIRCLE, "customer", F.col("id") <= 5)
+    return circle.unionByName(erase_cascade({"supplier": supplier}, STAFF, "supplier", F.col("id") == 3))
