@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,25 +46,35 @@ def summarise(runs: DataFrame, by: list[str]) -> DataFrame:
         count_if(F.col("_pass") == F.col("_n")).alias("pass_all_cases"))
 
 
+def log_gamma(x):
+    """The logarithm of the gamma function for x >= 1: Stirling's series eight places higher, and back."""
+    z = x + 8.0
+    back = reduce(lambda a, b: a + b, [F.log(x + float(i)) for i in range(8)])
+    series = 1 / (12.0 * z) - 1 / (360.0 * z ** 3) + 1 / (1260.0 * z ** 5) - 1 / (1680.0 * z ** 7)
+    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + series - back
+
+
 def mcnemar(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Exact two-sided McNemar test on paired outcomes (`passed` per key on both sides).
+    """Exact two-sided McNemar test on paired outcomes (`passed` per key on both sides): b, c, n_discordant, p_exact and its logarithm ln_p.
 
-    The binomial terms are summed as exponentials of logarithms, so n may be large.
+    The tail is summed from its largest term down. Terms fall off within some square roots of the number of
+    discordant pairs, which bounds how many are added; the first comes from the gamma function, so p may be
+    smaller than a double can hold while ln_p is not.
     """
     pairs = a.select(*keys, F.col("passed").alias("_a")).join(b.select(*keys, F.col("passed").alias("_b")), keys)
     counts = pairs.agg(count_if(F.col("_a") & ~F.col("_b")).alias("b"), count_if(F.col("_b") & ~F.col("_a")).alias("c"))
-    counts = counts.withColumn("n_discordant", F.col("b") + F.col("c"))
-    counts = counts.withColumn("_m", F.least("b", "c"))
-    n = F.col("n_discordant").cast("double")
-    start = F.struct((-n * F.log(F.lit(2.0))).alias("t"), F.exp(-n * F.log(F.lit(2.0))).alias("s"))
-
-    def add(acc, k):
-        term = acc["t"] + F.log(n - k.cast("double") + 1.0) - F.log(k.cast("double"))
-        return F.struct(term.alias("t"), (acc["s"] + F.exp(term)).alias("s"))
-    total = F.aggregate(F.when(F.col("_m") > 0, F.sequence(F.lit(1).cast("bigint"), F.col("_m"))).otherwise(
-        F.array().cast("array<bigint>")), start, add, lambda acc: acc["s"])
-    return counts.withColumn("p_exact", F.when(F.col("n_discordant") == 0, 1.0)
-                             .otherwise(F.least(F.lit(1.0), F.lit(2.0) * total))).drop("_m")
+    counts = counts.withColumns({"n_discordant": F.col("b") + F.col("c"), "_m": F.least("b", "c").cast("double")})
+    n, m = F.col("n_discordant").cast("double"), F.col("_m")
+    terms = F.least(m, F.ceil(12 * F.sqrt(n) + 60)).cast("bigint")
+
+    def add(acc, i):
+        term = acc["t"] * (m - i) / (n - m + i + 1.0)
+        return F.struct(term.alias("t"), (acc["s"] + term).alias("s"))
+    steps = F.when(terms > 0, F.sequence(F.lit(0).cast("bigint"), terms - 1)).otherwise(F.array().cast("array<bigint>"))
+    tail = F.aggregate(steps, F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")), add, lambda acc: acc["s"])
+    first = log_gamma(n + 1.0) - log_gamma(m + 1.0) - log_gamma(n - m + 1.0) - n * math.log(2)
+    ln_p = F.when(F.col("n_discordant") == 0, 0.0).otherwise(F.least(F.lit(0.0), math.log(2) + first + F.log(tail)))
+    return counts.withColumn("ln_p", ln_p).withColumn("p_exact", F.exp("ln_p")).drop("_m")
 
 
 HASH_P = 2147483647

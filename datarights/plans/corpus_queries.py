@@ -14,6 +14,7 @@ from datarights.sources import corpus as co
 from datarights.sources.catalog import scan_catalog
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+ALL_TABLES = [*TABLES, "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 FILE_TAILS = ["/test_x.py", "/tests/a.py", "/settings/base.py", "/docs/settings.py", "/mod.py", "/app_test.py", "/static/tests/b.py"]
 PATH_SQL = f"""p AS (SELECT page_id, length(html) AS n_bytes, regexp_extract(url, '^https?://([^/]+)/', 1) AS repo_id,
  regexp_extract(url, '^https?://[^/]+/(.*)$', 1) || ({s_array(FILE_TAILS)})[(page_id % 7) + 1] AS path FROM pages),
@@ -83,9 +84,9 @@ def a13_fingerprint(spark, sf):
     return co.fingerprint(read(spark, sf, "documents"), ["source"], "doc_id", "text")
 
 
-@query("a15_catalog", f"SELECT table_name AS store, column_name AS field, (ordinal_position - 1)::INT AS position FROM information_schema.columns WHERE table_name IN {s_list(TABLES)}")
+@query("a15_catalog", f"SELECT table_name AS store, column_name AS field, (ordinal_position - 1)::INT AS position FROM information_schema.columns WHERE table_name IN {s_list(ALL_TABLES)}")
 def a15_catalog(spark, sf):
-    return scan_catalog(spark, {n: read(spark, sf, n) for n in TABLES}).select("store", "field", "position")
+    return scan_catalog(spark, {n: read(spark, sf, n) for n in ALL_TABLES}).select("store", "field", "position")
 
 
 PATTERN = "[0-9]{3}-[0-9]{4}|@"

@@ -47,7 +47,7 @@ def c8_primitives(spark, sf):
 @query("c16_schedules", f"WITH {BASE} SELECT repo_id, 'app.tasks.purge_users' AS symbol, 'CELERY_BEAT_SCHEDULE' AS how, 'settings.py' AS file, 1 AS line FROM s WHERE k = 6")
 def c16_schedules(spark, sf):
     e = es.estate(spark, sf)
-    jobs = e.code.symbols.where("short = 'purge_users'").select("repo_id", F.col("name").alias("symbol"), "short", "file", "decorators")
+    jobs = e.code.symbols.select("repo_id", F.col("name").alias("symbol"), "short", "file", "decorators")
     return schedules_of(e.code, jobs, e.tasks, e.settings["schedules"], rules())
 
 
@@ -139,14 +139,14 @@ def f1_claim_tuples(spark, sf):
     return sc.extract_tuples(claims, ["record_id"]).groupBy("field", "reaches", "invalid", "copies").agg(F.count("*").alias("n"))
 
 
-@query("f2_rekey", f"""WITH {RECORD_SQL} SELECT CASE WHEN record_id % 2 = 0 THEN 'user' ELSE 'user_avatar' END AS store, count(*) AS n FROM r GROUP BY 1 UNION ALL SELECT 'log', count(*) FROM r""")
+@query("f2_rekey", f"""WITH {RECORD_SQL} SELECT store, field, count(*) AS n FROM (SELECT CASE WHEN record_id % 2 = 0 THEN 'user' ELSE 'user_avatar' END AS store, unnest(CASE WHEN twin THEN ['email', 'email'] ELSE ['email', 'phone'] END) AS field FROM r
+ UNION ALL SELECT 'log', 'ip' FROM r) GROUP BY 1, 2""")
 def f2_rekey(spark, sf):
     """Even records know a store `users`; odd ones know only the file store declared on that line."""
     records = order_records(spark, sf).select("record_id", "stores")
     truth = records.select("record_id", F.when(F.col("record_id") % 2 == 0, "shop_users").otherwise("user.avatar").alias("name"), F.when(F.col("record_id") % 2 == 0, "u.py").otherwise("m.py").alias("file"), F.lit(3).alias("line"))
     keyed = sc.rekey(sc.claim_fields(records), truth, ["record_id"], ["shop"])
-    first = keyed.where("field_pos = 0").select("record_id", "store_pos", "store")
-    return first.groupBy("store").agg(F.count("*").alias("n"))
+    return keyed.groupBy("store", "field").agg(F.count("*").alias("n"))
 
 
 # --- over event logs --------------------------------------------------------------------------------------------
