@@ -86,7 +86,15 @@ def unpack_keys(data: bytes) -> np.ndarray:
 
 
 def _numbers(x: np.ndarray) -> bytes:
-    return x.astype(np.uint32).tobytes()
+    """Counts as four bytes each, or as eight where one of them needs more; nothing for none."""
+    if not len(x):
+        return b""
+    width = 4 if x.max(initial=0) < 1 << 32 else 8
+    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+
+
+def _read_numbers(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64) if data else np.zeros(0, np.int64)
 
 
 def _block_counts(ids: list, texts: list) -> tuple[_Counts, _Counts, np.ndarray, np.ndarray]:
@@ -122,8 +130,8 @@ def _merge(rows: pa.Table) -> pa.Table:
     """Answers for the blocks of one range: which keys other blocks have as well, and totals of those; totals of all keys set aside."""
     kind, rng = rows.column("kind")[0].as_py(), rows.column("range")[0].as_py()
     lists = [unpack_keys(k) for k in rows.column("keys").to_pylist()]
-    train = np.concatenate([np.frombuffer(x, np.uint32) for x in rows.column("train").to_pylist()])
-    aside = np.concatenate([np.frombuffer(x, np.uint32) for x in rows.column("aside").to_pylist()])
+    train = np.concatenate([_read_numbers(x) for x in rows.column("train").to_pylist()])
+    aside = np.concatenate([_read_numbers(x) for x in rows.column("aside").to_pylist()])
     _, of = np.unique(np.concatenate(lists), return_inverse=True)
     t_train, t_aside, blocks = np.bincount(of, train), np.bincount(of, aside), np.bincount(of)
     out, at = [], 0
@@ -201,7 +209,7 @@ def score_texts(docs: DataFrame, ranges: int | None = None) -> DataFrame:
         left = []
         for kind, c in ((UNIGRAM, one), (BIGRAM, two)):
             rows = sorted((r, i) for i, (k, r) in enumerate(zip(back.column("kind").to_pylist(), back.column("range").to_pylist())) if k == kind)
-            t, a = (np.concatenate([np.frombuffer(back.column(x)[i].as_py(), np.uint32) for _, i in rows]).astype(np.int64) for x in ("aside_train", "aside"))
+            t, a = (np.concatenate([_read_numbers(back.column(x)[i].as_py()) for _, i in rows]) for x in ("aside_train", "aside"))
             if len(t) != len(c.keys):
                 raise RuntimeError("the rows of a block changed between two reads; write the table first")
             left.append(t - a)
@@ -228,7 +236,7 @@ def score_texts(docs: DataFrame, ranges: int | None = None) -> DataFrame:
                     n = at[r + 1] - at[r]
                     answered += n
                     shared = np.unpackbits(np.frombuffer(mask, np.uint8), count=n).astype(bool)
-                    known[at[r]: at[r + 1]][shared] = np.frombuffer(t, np.uint32)
+                    known[at[r]: at[r + 1]][shared] = _read_numbers(t)
             if answered != len(c.keys):
                 raise RuntimeError("the rows of a block changed between two reads; write the table first")
             sums.append(known)

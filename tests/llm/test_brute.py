@@ -161,6 +161,17 @@ def test_interpolated_sums(spark):
     assert several == one
 
 
+def test_counts_above_32_bits():
+    import pyarrow as pa
+
+    pack, keys = interpolation._numbers, interpolation.pack_keys(np.array([5, 9], np.uint64))
+    assert interpolation._read_numbers(pack(np.array([1, 2**32 - 1]))).tolist() == [1, 2**32 - 1] and interpolation._read_numbers(pack(np.zeros(0, np.int64))).tolist() == []
+    rows = pa.table({"block": [1, 2], "kind": [interpolation.BIGRAM] * 2, "range": [0, 0], "keys": [keys, keys], "train": [pack(np.array([3_000_000_000, 1]))] * 2, "aside": [pack(np.array([1, 0]))] * 2})
+    out = interpolation._merge(rows)
+    assert interpolation._read_numbers(out.column("train")[0].as_py()).tolist() == [6_000_000_000, 2]
+    assert interpolation._read_numbers(out.column("aside_train")[0].as_py()).tolist() == [6_000_000_000]
+
+
 def test_weights():
     bins = [(3, -8, -40, 90), (3, -9999, -16, 10), (5, -9999, -16, 50)]
     w = interpolation.fit_weights(bins, 1e-4)
