@@ -109,7 +109,7 @@ def model_classes(code: Code, r: Rules) -> DataFrame:
 def relational(code: Code, models: DataFrame, r: Rules) -> tuple[DataFrame, DataFrame]:
     """Row stores and file stores of models, core tables, and all their fields."""
     decls = code.fields.where("parent IS NULL").select("repo_id", F.col("owner").alias("ancestor"), "target", "call", "line", "path", "seq", "kw")
-    inherited = code.mro.where("named").select("repo_id", "cls", "ancestor", "path").withColumnRenamed("path", "rank")
+    inherited = code.mro.where("named").select("repo_id", "cls", "ancestor", F.col("named_path").alias("rank"))
     every = models.select("repo_id", "cls", "short", "table").join(inherited, ["repo_id", "cls"]).join(decls, ["repo_id", "ancestor"])
     kept = every.groupBy("repo_id", "cls", "target").agg(F.min_by(F.struct("short", "table", "call", "line", "path", "kw"), F.struct("rank", "seq")).alias("d"))
     kept = kept.select("repo_id", "cls", F.col("target").alias("field"), "d.*").withColumn("fn", tail_of("call"))

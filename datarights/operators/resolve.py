@@ -126,27 +126,28 @@ def class_bases(classes: DataFrame, imports: DataFrame) -> DataFrame:
 
 
 def linearise(classes: DataFrame, bases: DataFrame) -> DataFrame:
-    """repo_id, cls, ancestor, path, imported, named: every class reached through bases.
+    """repo_id, cls, ancestor, path, imported, named, named_path: every class reached through bases, once.
 
-    `path` sorts ancestors depth first, left to right; the class itself has the empty path.
-    `imported` says all steps were imported names, `named` that none was a short-name guess. A
-    class never appears twice on one path, so cycles end.
+    `path` is the first way there, depth first and left to right; the class itself has the empty path.
+    `imported` says that some way has imported names only, `named` that some way has no short-name guess,
+    `named_path` is the first of those. Ways are settled per (class, ancestor): the first way to an
+    ancestor goes by the first way to the class before it, so only ancestors whose way got better in a
+    round are followed, and neither stacked diamonds nor circles multiply rows.
     """
+    keys = ["repo_id", "kind", "cls", "ancestor"]
     step = bases.where("base IS NOT NULL").select(
         "repo_id", F.col("cls").alias("ancestor"), "base", "via",
         F.concat(F.lpad(F.col("ord").cast("string"), 10, "0"), F.lit("-"), F.lpad(F.col("sub").cast("string"), 10, "0"), F.lit("-"), "base", F.lit("/")).alias("_step"))
-    level = cut(classes.select("repo_id", F.col("name").alias("cls")).distinct().select(
-        "repo_id", "cls", F.col("cls").alias("ancestor"), F.lit("").alias("path"), F.lit(True).alias("imported"), F.lit(True).alias("named"),
-        F.array("cls").alias("_chain")))
-    out = level
-    while True:
-        level = cut(level.join(step, ["repo_id", "ancestor"]).where(~F.array_contains("_chain", F.col("base"))).select(
-            "repo_id", "cls", F.col("base").alias("ancestor"), F.concat("path", "_step").alias("path"),
-            (F.col("imported") & (F.col("via") == "imported")).alias("imported"), (F.col("named") & (F.col("via") != "short")).alias("named"),
-            F.concat("_chain", F.array("base")).alias("_chain")))
-        if level.isEmpty():
-            return out.drop("_chain")
-        out = out.unionByName(level)
+    kinds = F.explode(F.array(F.lit("any"), F.lit("named"), F.lit("imported"))).alias("kind")
+    allowed = (F.col("kind") == "any") | ((F.col("kind") == "named") & (F.col("via") != "short")) | (F.col("via") == F.col("kind"))
+    best = better = cut(classes.select("repo_id", F.col("name").alias("cls")).distinct().select("repo_id", kinds, "cls", F.col("cls").alias("ancestor"), F.lit("").alias("path")))
+    while not better.isEmpty():
+        found = better.join(step, ["repo_id", "ancestor"]).where(allowed).select("repo_id", "kind", "cls", F.col("base").alias("ancestor"), F.concat("path", "_step").alias("path"))
+        found = found.groupBy(*keys).agg(F.min("path").alias("path"))
+        better = cut(found.join(best.withColumnRenamed("path", "_old"), keys, "left").where("_old IS NULL OR path < _old").drop("_old"))
+        best = cut(best.unionByName(better).groupBy(*keys).agg(F.min("path").alias("path")))
+    way = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("path")))
+    return best.groupBy("repo_id", "cls", "ancestor").agg(way("any").alias("path"), way("imported").isNotNull().alias("imported"), way("named").isNotNull().alias("named"), way("named").alias("named_path"))
 
 
 def find_methods(asked: DataFrame, mro: DataFrame, symbols: DataFrame) -> DataFrame:

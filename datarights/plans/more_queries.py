@@ -8,7 +8,7 @@ from datarights.functions import text as t
 from datarights.operators import claims as cl, inventory as inv, runlog as rl, scoring as sc, verdicts as vd
 from datarights.operators.entrypoints import schedules_of
 from datarights.operators.graph import ADMISSIBLE_IN_NONE, reach
-from datarights.operators.resolve import unmodelled
+from datarights.operators.resolve import linearise, unmodelled
 from datarights.plans import estate as es
 from datarights.plans.code_queries import BASE, STORES_SQL
 from datarights.plans.graph_queries import EDGES_SQL, STARTS_SQL, part_supplier_edges, region_starts
@@ -31,6 +31,22 @@ def c3_bases(spark, sf):
     return es.code(spark, sf).bases.select("repo_id", "cls", "dotted", "base")
 
 
+@query("c3_ancestors", """
+WITH RECURSIVE b AS (SELECT p_partkey AS c, unnest([p_partkey // 2, p_partkey // 3]) AS b, unnest([0, 1]) AS o, unnest(['imported', CASE WHEN p_partkey % 4 = 0 THEN 'short' ELSE 'local' END]) AS via FROM part),
+w(cls, a, path, imported, named) AS (SELECT p_partkey, p_partkey, '', true, true FROM part
+ UNION ALL SELECT cls, b.b, path || lpad(o::VARCHAR, 10, '0') || '-0000000000-c' || b.b || '/', imported AND via = 'imported', named AND via <> 'short' FROM w JOIN b ON b.c = w.a WHERE b.b > 0)
+SELECT 'c' || cls AS cls, 'c' || a AS ancestor, min(path) AS path, bool_or(imported) AS imported, bool_or(named) AS named, min(path) FILTER (named) AS named_path FROM w GROUP BY 1, 2""")
+def c3_ancestors(spark, sf):
+    """A class per part with two bases, so that diamonds stand on diamonds."""
+    key = F.col("p_partkey")
+    name = lambda c: F.concat(F.lit("c"), c.cast("string"))
+    parts = read(spark, sf, "part").select(F.lit("parts").alias("repo_id"), key, name(key).alias("name"))
+    second = F.when(key % 4 == 0, "short").otherwise("local")
+    two = F.inline(F.array(F.struct(F.lit(0).alias("ord"), F.floor(key / 2).cast("bigint").alias("b"), F.lit("imported").alias("via")), F.struct(F.lit(1).alias("ord"), F.floor(key / 3).cast("bigint").alias("b"), second.alias("via"))))
+    bases = parts.select("repo_id", F.col("name").alias("cls"), two).where("b > 0").select("repo_id", "cls", "ord", F.lit(0).alias("sub"), name(F.col("b")).alias("base"), "via")
+    return linearise(parts, bases).select("cls", "ancestor", "path", "imported", "named", "named_path")
+
+
 @query("c5_constants", f"""WITH {BASE} SELECT repo_id, 'app.config' AS module, 'BUCKET' AS name, 'avatars-' || n AS value FROM s UNION ALL SELECT repo_id, 'app.backup_job', 'DUMP_COLUMNS', 'email|phone' FROM s
 UNION ALL SELECT repo_id, 'app.backup_job', 'RETENTION_DAYS', (n + 30)::VARCHAR FROM s WHERE n % 2 = 0""")
 def c5_constants(spark, sf):
