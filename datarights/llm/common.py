@@ -23,7 +23,8 @@ LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 SEGMENT = 1 << 18
-_BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
+_SEEDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
+_PIECE = 8
 _POWERS: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -82,6 +83,27 @@ def range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: n
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * base)
 
 
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seeds: tuple[np.uint64, ...]) -> list[np.ndarray]:
+    """A 64-bit hash of data[start:end] (bytes, none empty) for every pair and seed.
+
+    Pieces of eight bytes are scrambled together with their place before they are added up, so no
+    algebra of sums and powers makes two unlike words equal."""
+    padded = np.append(data, np.zeros(_PIECE, np.uint8))
+    eights = np.ndarray(len(data), "<u8", padded, strides=(1,))
+    pieces = (ends - starts + _PIECE - 1) // _PIECE
+    first = np.cumsum(pieces) - pieces
+    place = np.arange(int(pieces.sum())) - np.repeat(first, pieces)
+    at = np.repeat(starts, pieces) + _PIECE * place
+    beyond = np.maximum(0, at + _PIECE - np.repeat(ends, pieces)).astype(np.uint64) * np.uint64(8)
+    value = eights[at] & (np.uint64(2**64 - 1) >> beyond)
+    out = []
+    for seed in seeds:
+        scrambled = mix(mix(value + seed) ^ mix(place.astype(np.uint64) * seed + np.uint64(1)))
+        total = np.add.reduceat(scrambled, first) if len(first) else np.zeros(0, np.uint64)
+        out.append(mix(total + (ends - starts).astype(np.uint64) * seed))
+    return out
+
+
 def hash_words(texts: list[bytes | None], lower: bool, second: bool = False):
     """Hashes of all words of the texts in order, and the number of words of each text.
 
@@ -94,8 +116,8 @@ def hash_words(texts: list[bytes | None], lower: bool, second: bool = False):
     sizes = np.fromiter((len(t) + 1 if t else 1 for t in texts), np.int64, len(texts))
     ends_at = np.cumsum(sizes)
     data = np.frombuffer(buf, np.uint8)
-    bases = _BASES if second else _BASES[:1]
-    found, firsts, at = [[] for _ in bases], [], 0
+    seeds = _SEEDS if second else _SEEDS[:1]
+    found, firsts, at = [[] for _ in seeds], [], 0
     while at < len(data):
         stop = min(at + SEGMENT, len(data))
         if stop < len(data):
@@ -110,9 +132,8 @@ def hash_words(texts: list[bytes | None], lower: bool, second: bool = False):
         space = _SPACE[part]
         edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
         starts, ends = edge[::2], edge[1::2]
-        wide = part.astype(np.uint64) + np.uint64(1)
-        for out, base in zip(found, bases, strict=True):
-            out.append(range_hash(wide, starts, ends, base))
+        for out, hashes in zip(found, byte_hashes(part, starts, ends, seeds), strict=True):
+            out.append(hashes)
         firsts.append(starts + at)
         at = stop
     hashes = [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in found]

@@ -324,6 +324,23 @@ def test_pipeline(spark, docs, texts):
     check_packing(rows, {r.doc_id: r.text for r in left.collect()})
 
 
+def test_unlike_words_of_equal_polynomials():
+    one, other = b"a", b"b"
+    for _ in range(12):  # sums of powers of any odd number modulo 2^64 are equal for these two
+        one, other = one + other, other + one
+    first, second, counts = hash_words([one, other, one + b" " + other], lower=False, second=True)
+    assert counts.tolist() == [1, 1, 2]
+    assert first[0] == first[2] != first[1] == first[3] and second[0] == second[2] != second[1] == second[3]
+
+
+def test_all_patterns_are_fitted():
+    lengths = np.arange(1, 60)
+    rows = packing._patterns(lengths, 60)
+    found = {tuple(sorted(int(lengths[i]) for i in row if i >= 0)) for row in rows}
+    assert found == {(a, b, c) for a in lengths for b in lengths for c in lengths if a <= b <= c and a + b + c == 60} | {(a, 60 - a) for a in lengths if 2 * a <= 60}
+    assert len(found) == len(rows)
+
+
 def test_masked_lines():
     text = b"a1 b 22\n\tx\r\ny9z9 w\n7\n\nno digits\v3a"
     assert log_templates.masked_lines(text) == [[re.sub(rb".*[0-9].*", b"<*>", w) for w in line.split()] for line in text.split(b"\n")]
