@@ -139,51 +139,55 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id:
     return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
 
 
-def _patterns(lengths: np.ndarray, counts: np.ndarray, size: int, most: int) -> np.ndarray:
-    """Rows of three indices into `lengths` (or -1) whose lengths fill `size` exactly, the best-filled first."""
+def _patterns(lengths: np.ndarray, size: int) -> np.ndarray:
+    """All rows of three indices into `lengths` (or -1) whose lengths fill `size` exactly."""
     at = np.full(size + 1, -1)
     at[lengths] = np.arange(len(lengths))
     other = size - lengths
     two = np.flatnonzero((other >= lengths) & (other > 0))
     two = two[at[other[two]] >= 0]
-    found = [np.stack([two, at[other[two]], np.full(len(two), -1)], 1)]
+    found = [np.stack([two, at[other[two]], np.full(len(two), -1)], 1).astype(np.int32)]
     for i, a in enumerate(lengths[: np.searchsorted(lengths, size // 3, "right")]):
         b = np.arange(i, len(lengths))
         c = size - a - lengths[b]
         ok = c >= lengths[b]
         b, c = b[ok], c[ok]
         ok = at[c] >= 0
-        found.append(np.stack([np.full(ok.sum(), i), b[ok], at[c[ok]]], 1))
-    rows = np.concatenate(found)
-    if len(rows) > most:
-        weight = np.where(rows >= 0, counts[rows], counts.max()).min(1)
-        rows = rows[np.argsort(-weight, kind="stable")[:most]]
-    return rows
+        found.append(np.stack([np.full(ok.sum(), i), b[ok], at[c[ok]]], 1).astype(np.int32))
+    return np.concatenate(found)
 
 
 def fit_patterns(rows: np.ndarray, counts: np.ndarray, rounds: int = 60) -> np.ndarray:
     """Repeat counts x >= 0 with the least |A x - counts|, A the patterns' length counts; multiplicative steps keep x non-negative."""
-    real = rows >= 0
-    safe = np.where(real, rows, 0)
-    x = np.where(real, counts[safe] / np.maximum(1, np.bincount(rows[real], minlength=len(counts)))[safe], np.inf).min(1)
-    target = np.where(real, counts[safe], 0).sum(1)
+    n = len(counts)
+    places = [np.where(column >= 0, column, n) for column in rows.T]  # an absent third length adds to a place of its own
+    held = np.append(counts, 0.0)
+
+    def of_patterns(values: np.ndarray) -> np.ndarray:
+        return sum(values[p] for p in places)
+
+    share = np.append(counts / np.maximum(1, sum(np.bincount(p, minlength=n + 1) for p in places)[:n]), np.inf)
+    x = np.minimum.reduce([share[p] for p in places])
+    target = of_patterns(held)
     for _ in range(rounds):
-        made = np.bincount(safe.ravel(), (x[:, None] * real).ravel(), len(counts))
-        x = x * target / np.maximum(1e-9, np.where(real, made[safe], 0).sum(1))
+        made = sum(np.bincount(p, x, n + 1) for p in places)
+        made[n] = 0
+        x = x * target / np.maximum(1e-9, of_patterns(made))
     return x
 
 
-def plan_packing(histogram: dict[int, int], size: int = SIZE, most: int = 300_000) -> list[tuple[tuple[int, ...], int]]:
+def plan_packing(histogram: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
     """(lengths in a sequence, number of such sequences) that use up the histogram exactly.
 
-    `most` bounds the patterns that are fitted; the lengths they leave go to the best-fit step.
+    All patterns of two and three lengths are fitted, `size` squared / 12 of them at most, whatever the
+    number of documents; what rounding leaves goes to the best-fit step.
     """
     left = {n: c for n, c in histogram.items() if 0 < n < size and c}
     plan = [((size,), histogram[size])] if histogram.get(size) else []
     if left:
         lengths = np.array(sorted(left))
         counts = np.array([left[n] for n in lengths], float)
-        rows = _patterns(lengths, counts, size, most)
+        rows = _patterns(lengths, size)
         if len(rows):
             x = fit_patterns(rows, counts)
             for k in np.argsort(-x, kind="stable"):
