@@ -150,11 +150,6 @@ class GatedAttention:
                 p[k] = p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, most: int, columns: list[str]) -> DataFrame:
-    """At most `most` labelled rows for a fit, none of them held out, in an order that ids alone decide."""
-    return docs.select("doc_id", *columns).join(F.broadcast(_first(labelled_ids(labels, label, modulus, held), most)), "doc_id")  # `most` rows of two numbers
-
-
 def labelled_ids(labels: DataFrame, label: str, modulus: int, held: int) -> DataFrame:
     """doc_id and label, none of them held out."""
     ids = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), modulus) != held))
@@ -166,7 +161,7 @@ def _first(ids: DataFrame, most: int) -> DataFrame:
 
 
 def sample_by_label(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, most: int, columns: list[str]) -> tuple[DataFrame, float]:
-    """At most `most` labelled rows as in `labelled_sample`, but a rare label (1 or 0) has an eighth of `most` or all its rows.
+    """At most `most` labelled rows for a fit, none of them held out, in an order that ids alone decide; a rare label (1 or 0) has an eighth of `most` or all its rows.
 
     Also what to add to log odds that the sample gives, so that they hold for all labelled rows."""
     ids = labelled_ids(labels, label, modulus, held)
@@ -179,16 +174,17 @@ def sample_by_label(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     return docs.select("doc_id", *columns).join(F.broadcast(first), "doc_id"), float(shift)  # `most` rows of two numbers
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, most: int = 4_000, passages: int = 64) -> GatedAttention | None:
-    """A model from at most `most` labelled texts and, of each, at most `passages` passages spread over it; None without labels."""
-    rows = labelled_sample(docs, labels, "quality", 4, 2, most, ["text"])
+def fit_quality(docs: DataFrame, labels: DataFrame, most: int = 4_000) -> GatedAttention | None:
+    """A model from every passage of at most `most` labelled texts; None without labels.
+
+    A rare label has an eighth of `most` or all its rows; the model's scores are for the shares that all labelled rows have."""
+    rows, shift = sample_by_label(docs, labels, "quality", 4, 2, most, ["text"])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out = []
             for text in column_bytes(batch):
-                x = np.concatenate([encode(s) for s in segments(text)])
-                out.append(x[np.linspace(0, len(x) - 1, min(len(x), passages)).astype(int)].astype(np.float32).tobytes())
+                out.append(np.concatenate([encode(s) for s in segments(text)]).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label").cast(pa.int32()), pa.array(out, pa.binary())], names=["doc_id", "label", "x"])
 
     got = rows.mapInArrow(features, "doc_id bigint, label int, x binary").toPandas().sort_values(["doc_id", "x"])
@@ -196,7 +192,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most: int = 4_000, passages:
         return None
     bags = [np.frombuffer(x, np.float32).reshape(-1, N_FEATURES) for x in got["x"]]
     model = GatedAttention(N_FEATURES)
-    model.fit(np.concatenate(bags).astype(float), np.array([len(b) for b in bags]), got["label"].to_numpy(float))
+    model.fit(np.concatenate(bags), np.array([len(b) for b in bags]), got["label"].to_numpy(float))
+    model.p["d"] = model.p["d"] + shift
     del bags, got
     give_back_memory()
     return model
