@@ -1,12 +1,14 @@
 """Line deduplication by log templates.
 
 Lines are sorted into a tree of fixed depth: first by their number of tokens, then by their two
-leading tokens, fields with a digit counting as variable. In a leaf, a token that enough lines have at
-its place is fixed and anything else there is variable, which gives every line its template; a line
-that shares fewer than half of its tokens with others stays itself. Lines whose template stands in
-enough documents are dropped.
+leading tokens, fields with a digit counting as variable. In a leaf, a token that enough documents
+have at its place is fixed and anything else there is variable, which gives every line its template; a
+line that shares fewer than half of its tokens with others stays itself. Lines whose template stands
+in enough documents are dropped.
 
 Leaves are counted by blocks of texts, so that only lines of leaves that recur are looked at closer.
+Equal lines are one row from there on: tokens are kept and taken apart once for each different line,
+and documents are told by the names of their lines.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from datarights.llm.blocks import beside, count_in_blocks, in_blocks, totals
+from datarights.llm.blocks import PRESENT, beside, count_in_blocks, in_blocks
 from datarights.llm.common import KEY, column_bytes
 from datarights.session import stage
 
@@ -64,52 +67,93 @@ def _sha(lines: list[bytes]) -> str:
     return hashlib.sha256(b"\n".join(lines)).hexdigest()
 
 
-_LINE = pa.list_(pa.struct([("no", pa.int32()), ("leaf", pa.int64()), ("tokens", pa.list_(pa.int64()))]))
+_LINES = pa.list_(pa.struct([("no", pa.int32()), ("leaf", pa.int64()), ("line", pa.binary())]))
+_SEEN = "doc_id bigint, _d bigint, _k bigint, text string, lines array<struct<no:int,leaf:bigint,line:binary>>, n_lines bigint, kept_sha256 string"
+_DONE = "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string, kept string"
 
 
 def _recurring(texts: pa.Table, back: pa.Table) -> pa.Table:
-    """Lines of recurring leaves, and the texts that have any; the others are done."""
+    """Two kinds of rows: every text with its lines of recurring leaves (a text without any is done), and the block's different lines."""
     leaves = set(back.column("leaf").to_pylist())
-    rows = []
-    for text in texts.column("text").cast(pa.binary()).to_pylist():
-        lines = masked_lines(text)
-        found = [{"no": i, "leaf": leaf, "tokens": [_hash(w) for w in t]} for i, t in enumerate(lines) if t and (leaf := leaf_of(t)) in leaves]
-        rows.append((text if found else None, found or None, len(lines), None if found else _sha([text or b""])))
-    columns = [pa.array(x, k) for x, k in zip(zip(*rows), (pa.binary(), _LINE, pa.int64(), pa.string()))]
-    return pa.Table.from_arrays([texts.column("doc_id"), *(texts.column(c) for c in KEY), columns[0].cast(pa.string()), *columns[1:]], names=["doc_id", *KEY, "text", "lines", "n_lines", "kept_sha256"])
+    rows, tokens = [], {}
+    for doc_id, d, k, text in zip(*(texts.column(c).to_pylist() for c in ("doc_id", *KEY)), texts.column("text").cast(pa.binary()).to_pylist()):
+        lines, found = masked_lines(text), []
+        for no, line in enumerate(lines):
+            if line and (leaf := leaf_of(line)) in leaves:
+                name = xxhash.xxh3_128_digest(b" ".join(line))
+                found.append({"no": no, "leaf": leaf, "line": name})
+                if name not in tokens:
+                    tokens[name] = (leaf, [_hash(w) for w in line])
+        rows.append(("text", doc_id, d, k, text if found else None, found or None, len(lines), None if found else _sha([text or b""]), None, None, None))
+    rows += [("line", *[None] * 7, leaf, name, words) for name, (leaf, words) in tokens.items()]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), _LINES, pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+    names = ["part", "doc_id", *KEY, "text", "lines", "n_lines", "kept_sha256", "leaf", "line", "tokens"]
+    columns = [pa.array(x, k) for x, k in zip(zip(*rows), kinds, strict=True)]
+    columns[4] = columns[4].cast(pa.string())
+    return pa.Table.from_arrays(columns, names=names)
+
+
+def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts without the lines whose names are in `gone`."""
+    for batch in batches:
+        rows = []
+        for lines, gone, text in zip(batch.column("lines").to_pylist(), batch.column("gone").to_pylist(), column_bytes(batch)):
+            names = set(gone or ())
+            out = {x["no"] for x in lines if x["line"] in names}
+            kept = b"\n".join(line for no, line in enumerate(text.split(b"\n")) if no not in out)
+            rows.append((len(out), _sha([kept]), kept))
+        columns = [pa.array(x, k) for x, k in zip(zip(*rows), (pa.int64(), pa.string(), pa.binary()))] if rows else [pa.array([], k) for k in (pa.int64(), pa.string(), pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_lines"), *columns[:2], columns[2].cast(pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept_sha256", "kept"])
+
+
+def _fixed(lines: DataFrame, words: DataFrame, uses: DataFrame, least_docs: int) -> DataFrame:
+    """leaf, pos, token where `least_docs` documents have the token.
+
+    Documents are added up over the lines; a document with several lines of a leaf that share the token is then taken off as often as it came too often."""
+    at = ["leaf", "pos", "token"]
+    often = stage(words.groupBy(*at).agg(F.sum("docs").alias("n")).where(F.col("n") >= least_docs))
+    several = uses.groupBy(*KEY, "leaf").agg(F.collect_list("line").alias("line")).where(F.size("line") > 1)
+    several = several.select(*KEY, "leaf", F.explode("line").alias("line")).join(lines.select("line", "tokens"), "line")
+    shared = several.select(*KEY, "leaf", F.posexplode("tokens").alias("pos", "token")).groupBy(*KEY, *at).count().where("count > 1")
+    less = shared.groupBy(*at).agg(F.sum(F.col("count") - 1).alias("less"))
+    return often.join(less, at, "left").where(F.col("n") - F.coalesce("less", F.lit(0)) >= least_docs).select(*at)
+
+
+def _dropped(lines: DataFrame, uses: DataFrame, fixed: DataFrame, words: DataFrame, least_docs: int, least_fixed: float) -> DataFrame:
+    """The names of lines whose template stands in `least_docs` documents."""
+    shapes = words.join(fixed, ["leaf", "pos", "token"]).groupBy("line").agg(F.bit_xor(F.xxhash64("pos", "token")).alias("shape"), F.count("*").alias("n_fixed"))
+    template = ["leaf", "own", "form"]
+    own = F.coalesce(F.col("n_fixed") < least_fixed * F.size("tokens"), F.lit(True))
+    formed = stage(lines.join(shapes, "line", "left").select("line", "leaf", "docs", own.alias("own"), F.when(own, F.xxhash64("line")).otherwise(F.col("shape")).alias("form")))
+    known = stage(formed.groupBy(*template).agg(F.max("docs").alias("least"), F.sum("docs").alias("most")).where(F.col("most") >= least_docs))
+    sure = known.where(F.col("least") >= least_docs).select(*template)
+    open_ = formed.join(known.where(F.col("least") < least_docs).select(*template), template).select("line", *template)
+    counted = uses.select(*KEY, "line").join(open_, "line").select(*template, *KEY).distinct().groupBy(*template).count()
+    common = sure.unionByName(counted.where(F.col("count") >= least_docs).select(*template))
+    return formed.join(common, template).select("line")
 
 
 def drop_recurring_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, least_fixed: float = 0.5) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 and kept (the text without dropped lines, null where none is) for every row of `docs`.
 
     Lines end at a line feed; blank lines stay. A line is dropped when its template stands in
-    `least_docs` documents or more. A token is fixed where `least_docs` documents' lines of the leaf
-    have it at that place; with a share of fixed tokens below `least_fixed`, a line is its own
+    `least_docs` documents or more. A token is fixed where `least_docs` documents have it at that
+    place in lines of the leaf; with a share of fixed tokens below `least_fixed`, a line is its own
     template. Null counts as empty. Equal rows are one document. Extra columns are ignored.
     """
     counts = stage(count_in_blocks(docs, _leaf_counts, "leaf bigint, n bigint"))
-    back = totals(counts, ["leaf"], ["n"]).where(F.col("t_n") >= least_docs).select("block", "kind", "leaf")
-    back = back.unionByName(counts.where("kind = -1").select("block", "kind", "leaf"))
-    row = "doc_id bigint, _d bigint, _k bigint, text string, lines array<struct<no:int,leaf:bigint,tokens:array<bigint>>>, n_lines bigint, kept_sha256 string"
-    seen = stage(beside(in_blocks(docs), back, _recurring, row))
-    own = seen.where("lines IS NOT NULL").select(*KEY, "lines").dropDuplicates(KEY)
-    distinct = F.array_distinct(F.transform("lines", lambda x: F.struct(x["leaf"].alias("leaf"), x["tokens"].alias("tokens"))))
-    lines = stage(own.select(*KEY, F.explode(distinct).alias("x")).select(*KEY, "x.*").withColumn("line", F.monotonically_increasing_id()))
-    words = lines.select("line", "leaf", F.posexplode("tokens").alias("pos", "token"))
-    fixed = stage(words.groupBy("leaf", "pos", "token").count().where(F.col("count") >= least_docs).select("leaf", "pos", "token", F.lit(True).alias("fixed")))
-    marked = words.join(fixed, ["leaf", "pos", "token"], "left")
-    term = F.xxhash64("pos", F.when(F.col("fixed"), F.col("token")).otherwise(F.lit(0)))
-    shapes = marked.groupBy("line").agg(F.sum(term.cast("decimal(38,0)")).alias("shape"), F.count("fixed").alias("fixed"), F.count("*").alias("n"))
-    shapes = shapes.where(F.col("fixed") >= least_fixed * F.col("n")).select("line", "shape")
-    loose = F.coalesce(F.col("shape"), F.xxhash64("tokens").cast("decimal(38,0)"))
-    templated = stage(lines.join(shapes, "line", "left").select(*KEY, "leaf", "tokens", F.xxhash64("leaf", loose, F.col("shape").isNull()).alias("template")))
-    common = stage(templated.select("template", *KEY).distinct().groupBy("template").count().where(F.col("count") >= least_docs).select("template"))
-    gone = templated.join(common, "template").groupBy(*KEY).agg(F.collect_set(F.struct("leaf", "tokens")).alias("gone"))
-    joined = seen.where("lines IS NOT NULL").join(stage(gone), KEY, "left")
-    out = F.transform(F.filter("lines", lambda x: F.array_contains("gone", F.struct(x["leaf"].alias("leaf"), x["tokens"].alias("tokens")))), lambda x: x["no"])
-    split = F.split("text", "\n")
-    joined = joined.withColumn("out", F.coalesce(out, F.array().cast("array<int>")))
-    kept = F.array_join(F.filter(split, lambda line, i: ~F.array_contains("out", i)), "\n")
-    done = joined.select("doc_id", "n_lines", F.size("out").cast("bigint").alias("n_dropped"), F.sha2(kept.cast("binary"), 256).alias("kept_sha256"), kept.alias("kept"))
+    leaves = counts.where(F.col("kind") != PRESENT).groupBy("leaf").agg(F.sum("n").alias("n")).where(F.col("n") >= least_docs).select("leaf")
+    back = counts.where(F.col("kind") != PRESENT).select("block", "kind", "leaf").join(leaves, "leaf").select("block", "kind", "leaf")
+    back = back.unionByName(counts.where(F.col("kind") == PRESENT).select("block", "kind", "leaf"))
+    rows = stage(beside(in_blocks(docs), back, _recurring, f"part string, {_SEEN}, leaf bigint, line binary, tokens array<bigint>"), ["part"])
+    seen = rows.where("part = 'text'")
+    uses = stage(seen.where("lines IS NOT NULL").select(*KEY, F.inline("lines")).select(*KEY, "leaf", "line").distinct())
+    tokens = rows.where("part = 'line'").groupBy("line").agg(F.first("leaf").alias("leaf"), F.first("tokens").alias("tokens"))
+    lines = stage(tokens.join(uses.groupBy("line").agg(F.count("*").alias("docs")), "line"))
+    words = lines.select("line", "leaf", "docs", F.posexplode("tokens").alias("pos", "token"))
+    fixed = stage(_fixed(lines, words, uses, least_docs))
+    dropped = stage(_dropped(lines, uses, fixed, words, least_docs, least_fixed))
+    gone = stage(uses.join(dropped, "line").groupBy(*KEY).agg(F.collect_list("line").alias("gone")))
+    joined = seen.where("lines IS NOT NULL").join(gone, KEY, "left").select("doc_id", "n_lines", "text", "lines", "gone")
     whole = seen.where("lines IS NULL").select("doc_id", "n_lines", F.lit(0).cast("bigint").alias("n_dropped"), "kept_sha256", F.lit(None).cast("string").alias("kept"))
-    return whole.unionByName(done)
+    return whole.unionByName(joined.mapInArrow(_without, _DONE))

@@ -347,6 +347,43 @@ def test_masked_lines():
     assert log_templates.masked_lines(None) == log_templates.masked_lines(b"") == [[]]
 
 
+def plain_templates(rows: set, least: int, share: float) -> dict:
+    """Dropped lines of every (doc_id, text), by sets of documents."""
+    split = {row: log_templates.masked_lines((row[1] or "").encode()) for row in rows}
+    held: dict = {}
+    for row, lines in split.items():
+        for line in lines:
+            for pos, token in enumerate(line):
+                held.setdefault((len(line), *line[:2], pos, token), set()).add(row)
+
+    def template(line):
+        fixed = [len(held[(len(line), *line[:2], pos, token)]) >= least for pos, token in enumerate(line)]
+        return (len(line), *line[:2], tuple(t if f else None for t, f in zip(line, fixed))) if sum(fixed) >= share * len(line) else (tuple(line),)
+
+    where: dict = {}
+    for row, lines in split.items():
+        for line in filter(None, lines):
+            where.setdefault(template(line), set()).add(row)
+    return {row: [bool(line) and len(where[template(line)]) >= least for line in lines] for row, lines in split.items()}
+
+
+@pytest.mark.parametrize(("least", "share"), [(2, 0.5), (3, 0.9), (10, 0.5)])
+def test_templates_of_all_documents(spark, docs, least, share):
+    lines = ["alpha beta gamma one", "alpha beta gamma two", "alpha beta delta one", "alpha beta delta 7", "", "zeta 5 x", "zeta 6 x", "omega"]
+    made = [(1000 + i, "\n".join(lines[(i * 3 + j * (1 + i % 4)) % 8] for j in range(1 + i % 6))) for i in range(40)]
+    made += [(2000, None), (2001, ""), made[5], made[5], (None, made[7][1]), (2002, "\n".join(lines * 3))]
+    table = docs.select("doc_id", "text").unionByName(spark.createDataFrame(made, "doc_id bigint, text string").repartition(3))
+    rows = [(r.doc_id, r.text) for r in table.collect()]
+    want = plain_templates(set(rows), least, share)
+    expected = Counter()
+    for row in rows:
+        kept = [line for line, out in zip((row[1] or "").split("\n"), want[row], strict=True) if not out]
+        expected[row[0], len(want[row]), sum(want[row]), hashlib.sha256("\n".join(kept).encode()).hexdigest()] += 1
+    got = stage(log_templates.drop_recurring_lines(stage(table), least, share))
+    assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in got.collect()) == expected
+    assert sum(n[2] for n in expected) > 0
+
+
 def test_folds(spark, docs):
     got = {r.doc_id: r.m for r in docs.select("doc_id", crc_mod(F.col("doc_id"), 7).alias("m")).collect()}
     assert got == {d: zlib.crc32(str(d).encode()) % 7 for d in got}
