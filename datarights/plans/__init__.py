@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("text_queries", "graph_queries", "run_queries", "score_queries", "corpus_queries", "code_queries", "check_queries", "log_queries", "stream_queries", "more_queries")
+MODULES = ("text_queries", "graph_queries", "run_queries", "score_queries", "corpus_queries", "code_queries", "check_queries", "log_queries", "stream_queries", "more_queries", "report_queries")
 
 
 def load_queries():

@@ -158,6 +158,14 @@ def f7_summary(spark, sf):
     return out.withColumns({c: F.round(c, 6) for c in SUMMARY})
 
 
+@query("f8_spreads", f"""WITH {BASE_SQL}, k AS (SELECT arm, stop, "case", avg(f1) AS a, stddev_pop(f1) AS sd FROM runs GROUP BY 1, 2, 3)
+SELECT arm, stop, count(*) AS n_cases, round(avg(sd), 6) AS f1_std_seeds, round(stddev_pop(a), 6) AS f1_std_cases FROM k GROUP BY arm, stop""")
+def f8_spreads(spark, sf):
+    """Both spreads of runs that end alike."""
+    out = st.summarise(runs(spark, sf), ["arm", "stop"])
+    return out.select("arm", "stop", "n_cases", *[F.round(c, 6).alias(c) for c in ("f1_std_seeds", "f1_std_cases")])
+
+
 @query("f9_majority", f"""WITH {BASE_SQL} SELECT arm, "case", count(*) FILTER (passed) * 2 > count(*) AS majority, bool_and(passed) AS pass_all FROM runs GROUP BY 1, 2""")
 def f9_majority(spark, sf):
     return st.majority(runs(spark, sf), ["arm", "case"])
