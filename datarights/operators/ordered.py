@@ -21,20 +21,23 @@ def _windows(keys: list[str], order: list[str]):
 
 def in_order(df: DataFrame, keys: list[str], order: list[str], bucket: Column, *,
              number: str | None = None, sums: dict[str, Column] | None = None,
-             previous: dict[str, str] | None = None, upcoming: dict[str, Column] | None = None) -> DataFrame:
+             previous: dict[str, str] | None = None, upcoming: dict[str, Column] | None = None, latest: dict[str, Column] | None = None) -> DataFrame:
     """Adds running columns per `keys` in `order`; `bucket` must not decrease along the order.
 
     number: name for a 1-based position. sums: name -> value summed up to and including the row.
     previous: name -> column whose value on the row before is wanted (null on the first row).
     upcoming: name -> value whose smallest non-null among this and later rows is wanted.
+    latest: name -> value whose last non-null among this and earlier rows is wanted.
     """
-    sums, previous, upcoming = sums or {}, previous or {}, upcoming or {}
+    sums, previous, upcoming, latest = sums or {}, previous or {}, upcoming or {}, latest or {}
     kept = df.columns
     df = df.withColumn("_bucket", bucket)
     for i, value in enumerate(sums.values()):
         df = df.withColumn(f"_v{i}", value)
     for i, value in enumerate(upcoming.values()):
         df = df.withColumn(f"_u{i}", value)
+    for i, value in enumerate(latest.values()):
+        df = df.withColumn(f"_t{i}", value)
     inside, between = _windows(keys, order)
     before = between.rowsBetween(Window.unboundedPreceding, -1)
     after = between.rowsBetween(1, Window.unboundedFollowing)
@@ -43,12 +46,14 @@ def in_order(df: DataFrame, keys: list[str], order: list[str], bucket: Column, *
     stats += [F.sum(f"_v{i}").alias(f"_s{i}") for i in range(len(sums))]
     stats += [F.max_by(F.struct(F.col(c).alias("x")), place).alias(f"_l{i}") for i, c in enumerate(previous.values())]
     stats += [F.min(f"_u{i}").alias(f"_m{i}") for i in range(len(upcoming))]
+    stats += [F.max_by(f"_t{i}", F.when(F.col(f"_t{i}").isNotNull(), place)).alias(f"_k{i}") for i in range(len(latest))]
     carried = df.groupBy(*keys, "_bucket").agg(*stats)
     carried = carried.select(
         *keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
         *[F.sum(f"_s{i}").over(before).alias(f"_os{i}") for i in range(len(sums))],
         *[F.lag(f"_l{i}").over(between).alias(f"_ol{i}") for i in range(len(previous))],
-        *[F.min(f"_m{i}").over(after).alias(f"_om{i}") for i in range(len(upcoming))])
+        *[F.min(f"_m{i}").over(after).alias(f"_om{i}") for i in range(len(upcoming))],
+        *[F.last(f"_k{i}", ignorenulls=True).over(before).alias(f"_ok{i}") for i in range(len(latest))])
     here = {"_rn": F.row_number().over(inside)}
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     on = inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)
@@ -58,6 +63,8 @@ def in_order(df: DataFrame, keys: list[str], order: list[str], bucket: Column, *
         here[f"_p{i}"] = F.lag(F.struct(F.col(column).alias("x"))).over(inside)
     for i in range(len(upcoming)):
         here[f"_q{i}"] = F.min(f"_u{i}").over(on)
+    for i in range(len(latest)):
+        here[f"_h{i}"] = F.last(f"_t{i}", ignorenulls=True).over(upto)
     joined = df.withColumns(here).join(carried, [*keys, "_bucket"])
     out = {}
     if number:
@@ -68,6 +75,8 @@ def in_order(df: DataFrame, keys: list[str], order: list[str], bucket: Column, *
         out[name] = F.when(F.col("_rn") > 1, F.col(f"_p{i}.x")).otherwise(F.col(f"_ol{i}.x"))
     for i, name in enumerate(upcoming):
         out[name] = F.least(F.col(f"_q{i}"), F.col(f"_om{i}"))
+    for i, name in enumerate(latest):
+        out[name] = F.coalesce(f"_h{i}", f"_ok{i}")
     return joined.withColumns(out).select(*kept, *out)
 
 

@@ -13,6 +13,7 @@ from datarights.sources.traces import numbered_lines, read_traces
 
 PATH = r"arm=([^/]+)/case=([^/]+)/seed=([^/]+)/"
 KEYS = ["arm", "case", "seed"]
+HEADER = r"^==> (.+) <==$"
 
 
 def log_lines(spark, sf: str) -> DataFrame:
@@ -46,9 +47,13 @@ def log_lines(spark, sf: str) -> DataFrame:
 
 
 def written(spark, sf: str) -> str:
-    """The logs as files, one run a folder; a run's lines are sorted and stand in one file."""
-    path = scratch_path(spark, "logs")
-    log_lines(spark, sf).repartition(*KEYS).sortWithinPartitions(*KEYS, "place").select(*KEYS, "text").write.partitionBy(*KEYS).text(path, lineSep="\n")
+    """The logs in files, many a file, each after a header that names it; a run's lines are sorted and stand in one file.
+
+    A folder and a file for every run would cost a listing, a rename and an open each, which is most of the work."""
+    path, lines = scratch_path(spark, "logs"), log_lines(spark, sf)
+    name = F.concat(F.lit("==> arm="), "arm", F.lit("/case="), "case", F.lit("/seed="), "seed", F.lit("/run.jsonl <=="))
+    heads = lines.where("place = 1").select(*KEYS, F.lit(0).cast("bigint").alias("place"), name.alias("text"))
+    lines.unionByName(heads).repartition(*KEYS).sortWithinPartitions(*KEYS, "place").select("text").write.text(path, lineSep="\n")
     return path
 
 
@@ -72,7 +77,7 @@ x AS (SELECT u, t, p + 1 AS line, 1 AS "check" FROM e WHERE i % 97 = 0 UNION ALL
 FROM x GROUP BY ALL""")
 def h0_check_logs(spark, sf):
     """Runs with a broken line are told that alone, and so are runs without an end."""
-    lines = read_traces(spark, written(spark, sf), "strict")
+    lines = read_traces(spark, written(spark, sf), "strict", HEADER)
     found = check_logs(lines, "large", ["TOOL_BUDGET", "SUBMIT_BUDGET"], F.struct(*_run("file")))
     return found.select(*_run("file"), "line", "check").groupBy("case", "arm", "line", "check").agg(F.count("*").alias("n"))
 
@@ -80,6 +85,6 @@ def h0_check_logs(spark, sf):
 @query("a8_numbered_lines", """WITH e AS (SELECT user_id, event_type, count(*) AS n, bool_or(event_id % 97 = 0) AS broken FROM events GROUP BY 1, 2)
 SELECT 'S' || user_id AS "case", count(*) AS logs, sum(n + 2)::BIGINT AS lines, sum((n + 2) * (n + 3) / 2)::BIGINT AS numbers FROM e GROUP BY user_id""")
 def a8_numbered_lines(spark, sf):
-    """Lines are numbered 1 to their count in every file."""
-    lines = numbered_lines(spark, written(spark, sf)).groupBy("file").agg(F.count("*").alias("n"), F.sum("line").alias("s"), F.max("line").alias("m"), F.countDistinct("line").alias("d")).where("n = m AND n = d")
+    """Lines are numbered 1 to their count in every log."""
+    lines = numbered_lines(spark, written(spark, sf), header=HEADER).groupBy("file").agg(F.count("*").alias("n"), F.sum("line").alias("s"), F.max("line").alias("m"), F.countDistinct("line").alias("d")).where("n = m AND n = d")
     return lines.select(*_run("file"), "n", "s").groupBy("case").agg(F.count("*").alias("logs"), F.sum("n").alias("lines"), F.sum("s").alias("numbers"))
