@@ -12,7 +12,7 @@ times candidates is never written out.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from datarights.session import cut
@@ -122,6 +122,76 @@ def _rounds(edges: DataFrame, starts: DataFrame, hubs: DataFrame | None, blocked
     return visited
 
 
+def _mode_bit(mode) -> Column:
+    """The bit of a mode; a mode that is none of `MODES` is an error, as it would be lost."""
+    known = F.coalesce(*[F.when(mode == m, F.lit(1 << i).cast("bigint")) for i, m in enumerate(MODES)])
+    return F.coalesce(known, F.raise_error(F.concat(F.lit("unknown mode "), mode)).cast("bigint"))
+
+
+def reach_states(edges: DataFrame, starts: DataFrame, *, hubs: DataFrame | None = None, resolved_only: bool = False,
+                 blocked: DataFrame | None = None, must_pass: DataFrame | None = None, compact_every: int = 8) -> DataFrame:
+    """repo_id, entry, node, mode, passed, depth: the states and depths of `reach`, without the edges that led there.
+
+    Where no path is shown, a search of a node is one row: its modes, before and after a node of `must_pass`, are
+    bits of a number. So an edge is followed once for all states that come by in a round, candidates are
+    added up before they are shuffled, and nothing is sorted but keys. Arguments are those of `reach`.
+    """
+    n, width = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(MODES)
+    if "hub" not in edges.columns:
+        edges = edges.withColumn("hub", F.lit(False))
+    if resolved_only:
+        edges, hubs = edges.where("NOT ambiguous AND NOT hub"), None
+    elif hubs is None:
+        edges = edges.withColumn("hub", F.lit(False))
+    allowed = F.aggregate(F.transform("modes", _mode_bit), F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b))
+    searched = F.when(F.col("kind").isin(ADMISSIBLE_IN_NONE), allowed).otherwise(allowed.bitwiseAND(F.lit(~(1 << MODES.index("none")))))
+    sets = F.when(F.col("sets_mode").isNotNull(), _mode_bit(F.col("sets_mode")))
+    links = (edges.select("repo_id", "src", "dst", "hub", sets.alias("_sets"), searched.alias("_allowed"))
+             .groupBy("repo_id", "src", "dst", "hub", "_sets").agg(F.bit_or("_allowed").alias("_allowed")).where("_allowed <> 0")
+             # a given number of sorted parts, so that no round deals or sorts the edges anew
+             .repartition(n, "repo_id", "src").sortWithinPartitions("repo_id", "src").persist())
+    keys = ["repo_id", "entry", "node"]
+    hit = None if must_pass is None else must_pass.select("repo_id", "node", F.lit(True).alias("_hit")).distinct()
+    bits = F.col("bits")
+
+    def passed(found: DataFrame) -> DataFrame:
+        if hit is None:
+            return found
+        over = F.shiftleft(bits, width).bitwiseOR(bits).bitwiseAND(F.lit(((1 << width) - 1) << width))
+        return found.join(hit, ["repo_id", "node"], "left").withColumn("bits", F.when(F.col("_hit"), over).otherwise(bits)).drop("_hit")
+
+    def moved(part: Column) -> Column:
+        through = part.bitwiseAND(F.col("_allowed"))
+        return F.when(through == 0, F.lit(0).cast("bigint")).otherwise(F.coalesce("_sets", through))
+
+    try:
+        begin = F.bit_or(_mode_bit(F.col("mode")) if must_pass is not None else F.shiftleft(_mode_bit(F.col("mode")), width)).alias("bits")
+        frontier = cut(passed(starts.groupBy(*keys).agg(begin)).withColumn("depth", F.lit(0)))
+        visited, depth = frontier, 0
+        while not frontier.isEmpty():
+            depth += 1
+            low, high = bits.bitwiseAND(F.lit((1 << width) - 1)), F.shiftright(bits, width)
+            found = (frontier.select("repo_id", "entry", F.col("node").alias("src"), "bits").join(links, ["repo_id", "src"])
+                     .select("repo_id", "entry", F.col("dst").alias("node"), "hub", moved(low).bitwiseOR(F.shiftleft(moved(high), width)).alias("bits")).where("bits <> 0"))
+            if hubs is not None:
+                named = found.where("hub").groupBy("repo_id", "entry", F.col("node").alias("hub")).agg(F.bit_or("bits").alias("bits"))
+                opened = named.join(hubs.select("repo_id", "hub", F.col("dst").alias("node")), ["repo_id", "hub"])
+                found = found.where("NOT hub").select(*keys, "bits").unionByName(opened.select(*keys, "bits"))
+            if blocked is not None:
+                found = found.groupBy(*keys).agg(F.bit_or("bits").alias("bits")).join(blocked, [c for c in keys if c in blocked.columns], "left_anti")
+            found = passed(found.groupBy(*keys).agg(F.bit_or("bits").alias("bits")))
+            seen = visited.groupBy(*keys).agg(F.bit_or("bits").alias("_seen"))
+            fresh = found.join(seen, keys, "left").withColumn("bits", bits.bitwiseAND(F.bitwise_not(F.coalesce("_seen", F.lit(0).cast("bigint"))))).where("bits <> 0")
+            frontier = cut(fresh.select(*keys, "bits", F.lit(depth).alias("depth")))
+            visited = visited.unionByName(frontier)
+            if depth % compact_every == 0:
+                visited = cut(visited)
+    finally:
+        links.unpersist()
+    states = F.array(*[F.when(bits.bitwiseAND(F.lit(1 << (i + width * p))) != 0, F.struct(F.lit(m).alias("mode"), F.lit(bool(p)).alias("passed"))) for p in (0, 1) for i, m in enumerate(MODES)])
+    return visited.select(*keys, F.inline(F.array_compact(states)), "depth").select(*STATE, "depth")
+
+
 def first_paths(reached: DataFrame) -> DataFrame:
     """The state a node is credited with: its first arrival on any admissible path."""
     cols = [c for c in reached.columns if c not in ("repo_id", "entry", "node")]
@@ -132,8 +202,9 @@ def first_paths(reached: DataFrame) -> DataFrame:
 
 def reach_two_pass(edges: DataFrame, starts: DataFrame, hubs: DataFrame | None = None) -> DataFrame:
     """Nodes reached over resolved edges, and those reached only through an ambiguous one."""
-    sure = first_paths(reach(edges, starts, resolved_only=True)).select("repo_id", "entry", "node", F.col("depth").alias("sure_depth"))
-    loose = first_paths(reach(edges, starts, hubs=hubs)).select("repo_id", "entry", "node", F.col("depth").alias("loose_depth"))
+    least = lambda states, name: states.groupBy("repo_id", "entry", "node").agg(F.min("depth").alias(name))
+    sure = least(reach_states(edges, starts, resolved_only=True), "sure_depth")
+    loose = least(reach_states(edges, starts, hubs=hubs), "loose_depth")
     return (sure.join(loose, ["repo_id", "entry", "node"], "full_outer")
             .withColumn("only_ambiguous", F.col("sure_depth").isNull()))
 
