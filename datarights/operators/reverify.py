@@ -39,10 +39,10 @@ def canonical(feedback: DataFrame) -> list:
 
 
 def recheck(files: DataFrame, submissions: DataFrame, ledger: DataFrame | None = None, r: Rules | None = None, integrity: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Answers for all submissions; the ledger with what was worked out now; the repositories worked on.
+    """Answers for all submissions; the ledger with what was worked out now; the repositories whose answer was not known.
 
     `ledger`: answer and the answer's parts, from an earlier call or null. Equal records about equal
-    repositories have one name and are worked out once."""
+    repositories have one name and are worked out once; all these repositories are told."""
     ledger = None if ledger is None else ledger.dropDuplicates(["answer"])
     named = stage(answer_names(files, submissions, r))
     fresh = named if ledger is None else named.join(ledger, "answer", "left_anti")
@@ -55,11 +55,11 @@ def recheck(files: DataFrame, submissions: DataFrame, ledger: DataFrame | None =
         made = check_claims(files, records, r, integrity)
         made = stage(made.select("record_id", *canonical(made)).join(first.select("record_id", "answer"), "record_id").select(*parts))
         known = made if ledger is None else stage(ledger.select(*parts).unionByName(made))
-    return named.join(known, "answer").select("record_id", "repo_id", *ANSWER), known, first.select("repo_id").distinct()
+    return named.join(known, "answer").select("record_id", "repo_id", *ANSWER), known, fresh.select("repo_id").distinct()
 
 
 def reverify_submissions(files: DataFrame, submissions: DataFrame, ledger: DataFrame | None = None, r: Rules | None = None, integrity: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Differences (record_id, what, was, now) between recorded answers and those of today, the ledger, and the repositories worked on.
+    """Differences (record_id, what, was, now) between recorded answers and those of today, the ledger, and the repositories whose answer was not known.
 
     `submissions`: record_id, repo_id, record (JSON) and the recorded answer's parts, null where none was
     recorded. A record that is no JSON object is a difference of its own, `no record`, and not asked."""
