@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from datarights.llm import stages
-from datarights.session import stage
+from datarights.session import stage_unsized as stage
 
 STAGES = [("toxicity", stages.drop_toxic), ("exact dedup", stages.drop_copies), ("minhash near-dedup", stages.drop_near_copies),
           ("benchmark decontamination", stages.drop_contaminated), ("best-fit packing", stages.pack_sequences)]

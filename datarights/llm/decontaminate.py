@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from datarights.llm.common import KEY, LOWER, UPPER, ascii_lower, column_bytes, keyed, slices
-from datarights.session import stage
+from datarights.session import stage_unsized as stage
 
 WINDOW = 13
 #: How many neighbouring words must be neighbours in some phrase for a position to be stored.

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from datarights.llm.common import ascii_lower
-from datarights.session import stage
+from datarights.session import stage_unsized as stage
 
 #: A chunk ends after white space before a letter of the first half of the alphabet, from 1024
 #: characters on, and at 4096 at the latest.

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from datarights.llm.common import UPPER, column_bytes, slices
-from datarights.session import rule_table, stage
+from datarights.session import rule_table, stage_unsized as stage
 
 LETTERS = "ABCDE"
 COPY = 1 << LETTERS.index("E")

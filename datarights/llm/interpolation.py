@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from datarights.llm.blocks import apart, beside, in_blocks
 from datarights.llm.common import column_bytes, hash_words, keyed, mix, slices
-from datarights.session import stage
+from datarights.session import stage_unsized as stage
 
 BLOCK = 8 << 20
 UNIGRAM, BIGRAM, STATS = 1, 2, 3

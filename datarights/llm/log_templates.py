@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from datarights.llm.blocks import PRESENT, beside, count_in_blocks, in_blocks
 from datarights.llm.common import KEY, column_bytes
-from datarights.session import stage
+from datarights.session import stage_unsized as stage
 
 LEAST_DOCS = 10
 _DIGIT = re.compile(rb"[0-9]")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from datarights.llm.common import column_bytes, hash_words, mix, range_hash, signed, slices
 from datarights.llm.components import components
-from datarights.session import cut, stage
+from datarights.session import cut_unsized as cut, stage_unsized as stage
 
 SHINGLE, BANDS, ROWS, BITS = 5, 32, 4, 4
 #: Bits of a set's parity map: shingles fall on bits, and a bit tells whether an odd number did. Bits

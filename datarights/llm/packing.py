@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from datarights.llm.common import LOWER_BYTES, column_bytes, give_back_memory, kept, slices
-from datarights.session import stage
+from datarights.session import stage_unsized as stage
 
 SIZE = 4096
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"

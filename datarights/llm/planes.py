@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from datarights.llm.common import column_bytes, kept, slices
 from datarights.operators.ordered import in_order
-from datarights.session import scratch_path, stage
+from datarights.session import scratch_path, stage_unsized as stage
 
 CHUNK = 1 << 16
 FILE_IDS = 1 << 24

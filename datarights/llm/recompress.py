@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from datarights.llm.blocks import beside, count_in_blocks, in_blocks, totals
 from datarights.llm.common import KEY, column_bytes, hash_words, mix, range_hash, signed
-from datarights.session import stage
+from datarights.session import stage_unsized as stage
 
 WINDOW = 35
 #: Rounds and the most words that a symbol may have after each.

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from datarights.llm.common import LOWER_BYTES, column_bytes, slices
-from datarights.session import cut, stage
+from datarights.session import cut_unsized as cut, stage_unsized as stage
 
 LEAST = 7
 NOISE = 31

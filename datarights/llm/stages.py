@@ -12,7 +12,7 @@ from datarights.llm.exact import exact_groups
 from datarights.llm.minhash import near_groups
 from datarights.llm.packing import pack
 from datarights.llm.toxicity import clean_rows, fit_toxicity
-from datarights.session import stage
+from datarights.session import stage_unsized as stage
 
 _ROW = ["__row_d", "__row_k"]
 

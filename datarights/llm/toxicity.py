@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from datarights.llm.common import column_bytes, crc_mod, give_back_memory, slices
 from datarights.llm.quality import sample_by_label, segments
-from datarights.session import stage
+from datarights.session import stage_unsized as stage
 
 WORD = re.compile(r"[^\W\d_]+")
 STARTS, ENDS = (4, 5, 6, 7, 8), (5,)

@@ -13,6 +13,7 @@ from datarights.operators.graph import reach_two_pass
 from datarights.operators.verdicts import classify_write, explain, parse_days
 from datarights.plans import estate as es
 from datarights.plans.registry import query, read
+from datarights.session import stage
 from datarights.sources.rules import rules
 
 BASE = f"s AS (SELECT 'repo' || s_suppkey AS repo_id, (s_suppkey % {es.SHAPES})::INT AS k, s_nationkey AS n FROM supplier)"
@@ -179,7 +180,7 @@ def c13_reconcile(spark, sf):
     said = F.explode(F.array(*[F.struct(F.lit(a).alias("name"), F.lit(b).alias("file"), F.lit(c).alias("line")) for a, b, c in
                                (("delete_user", "app/views.py", 8), ("remember", "app/services.py", 16), ("ghost", "app/views.py", 1))]))
     declared = read(spark, sf, "supplier").select(F.concat(F.lit("repo"), F.col("s_suppkey").cast("string")).alias("repo_id"), said.alias("d")).select("repo_id", F.col("repo_id").alias("record_id"), "d.*")
-    return reconcile(declared, e.entries, e.code.symbols, rules()).select("repo_id", "name", "status")
+    return reconcile(stage(declared), e.entries, e.code.symbols, rules()).select("repo_id", "name", "status")
 
 
 CLAIMS_SQL = """cm AS (SELECT repo_id, k, n, unnest([{'p': 0, 'c': 'admin_users', 'kind': 'relational', 'v': 'erased'}, {'p': 1, 'c': 'Users', 'kind': 'relational', 'v': 'erased'}, {'p': 2, 'c': 'shop_parcel' || n, 'kind': 'relational', 'v': 'not_erased'},
