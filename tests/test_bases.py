@@ -29,3 +29,25 @@ def test_circles_and_order(spark):
     assert set(got) == {("a", "a"), ("a", "b"), ("a", "c"), ("b", "b"), ("b", "a"), ("b", "c"), ("c", "c")}
     assert got["a", "a"].path == "" and got["a", "c"].path == "0000000000-0000000000-b/0000000001-0000000000-c/"  # depth first: by b, left of c
     assert got["a", "c"].imported and got["a", "c"].named_path == "0000000001-0000000000-c/"
+
+
+def test_each_way_is_written_once(spark):
+    """Classes are settled once, after their bases, and their ways written as ranks; only classes that reach a circle go by rounds."""
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from datarights.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    folder = Path(urlparse(spark.sparkContext.getCheckpointDir()).path)
+    before = set(folder.glob("ways-*"))
+    bases = [("d", 0, 0, "m", "short"), ("d", 0, 1, "n", "imported"), ("d", 1, 0, "t", "imported"), ("m", 0, 0, "t", "imported"), ("n", 0, 0, "t", "imported"), ("t", 0, 0, "o", "local")]
+    bases += [("x", 0, 0, "y", "imported"), ("y", 0, 0, "x", "imported"), ("y", 1, 0, "o", "imported")]
+    got = run(spark, bases)
+    (ways,) = set(folder.glob("ways-*")) - before
+    assert sum(spark.read.parquet(str(level)).count() for level in ways.iterdir()) == len([k for k in got if k[0] not in "xy"]) == 14
+    step = lambda o, s, b: f"{o:010d}-{s:010d}-{b}/"
+    top = got["d", "o"]
+    assert (top.path, top.named_path, top.imported) == (step(0, 0, "m") + step(0, 0, "t") + step(0, 0, "o"), step(0, 1, "n") + step(0, 0, "t") + step(0, 0, "o"), False)
+    assert got["d", "t"].imported and got["d", "d"].path == "" and got["d", "m"].named_path is None and not got["d", "m"].named
+    assert got["x", "o"].path == step(0, 0, "y") + step(1, 0, "o") and got["y", "o"].path == step(1, 0, "o")
