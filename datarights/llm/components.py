@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from datarights.session import cut_unsized as cut
+from datarights.session import stage_unsized as cut
 
 
 def _followed(hooks: DataFrame) -> DataFrame:

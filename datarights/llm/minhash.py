@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from datarights.llm.common import column_bytes, hash_words, mix, range_hash, signed, slices
 from datarights.llm.components import components
-from datarights.session import cut_unsized as cut, stage_unsized as stage
+from datarights.session import stage_unsized as stage
 
 SHINGLE, BANDS, ROWS, BITS = 5, 32, 4, 4
 #: Bits of a set's parity map: shingles fall on bits, and a bit tells whether an odd number did. Bits
@@ -124,9 +124,9 @@ class _Links:
         if self.roots is not None:
             rows, comp = rows.join(self.roots.select(F.col("node").alias("cls"), "root"), "cls", "left"), F.coalesce("root", "cls")
         rows = rows.select("key", "cls", comp.alias("comp"))
-        rows = cut(rows)
+        rows = stage(rows)
         open_ = stage(rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"))
-        return cut(rows.join(open_, "key"))
+        return stage(rows.join(open_, "key"))
 
     def compare(self, labelled: DataFrame, other: DataFrame, on: str, best: int | None = None) -> None:
         extra = [c for c in ("n", "parity") if c in labelled.columns]
@@ -143,7 +143,7 @@ class _Links:
         if best:
             order = Window.partitionBy("a").orderBy(F.col("e").desc(), "b")
             pairs = pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= best)
-        pairs = cut(pairs.select("a", "b", "ca", "cb"))
+        pairs = stage(pairs.select("a", "b", "ca", "cb"))
         for side in "ab":
             pairs = pairs.join(self.sets.select(F.col("cls").alias(side), F.col("grams").alias(f"g{side}")), side)
         both = F.size(F.array_intersect("ga", "gb"))
@@ -155,7 +155,7 @@ class _Links:
             later = new.select(F.col("node").alias("root"), F.col("root").alias("new"))
             old = self.roots.join(later, "root", "left").select("node", F.coalesce("new", "root").alias("root"))
             new = old.unionByName(new.join(self.roots.select("node"), "node", "left_anti"))
-        self.roots = cut(new)
+        self.roots = stage(new)
 
 
 def near_groups(docs: DataFrame) -> DataFrame:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -77,6 +79,34 @@ def scratch_path(spark: SparkSession, kind: str) -> str:
     return f"{base}/{kind}-{uuid.uuid4().hex}"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_cleaning, _cleaning_lock = {}, threading.Lock()
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Shuffle files of a table written inside go when its job ends, not when the driver happens to collect its garbage.
+
+    Many small rounds else leave some files for each task of each round on the disks. What is written is read back from
+    storage, so its shuffles are not needed again (checkpoints keep theirs). Threads may overlap; the last one out puts
+    the setting back."""
+    with _cleaning_lock:
+        threads, was = _cleaning.get(spark, (0, None))
+        if not threads:
+            was = spark.conf.get(CLEANUP, "false")
+            spark.conf.set(CLEANUP, "true")
+        _cleaning[spark] = (threads + 1, was)
+    try:
+        yield
+    finally:
+        with _cleaning_lock:
+            threads, was = _cleaning.pop(spark)
+            if threads > 1:
+                _cleaning[spark] = (threads - 1, was)
+            else:
+                spark.conf.set(CLEANUP, was)
+
+
 def stage_unsized(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """`stage`, whose joins are left to Spark's estimate."""
     spark = df.sparkSession
@@ -84,7 +114,8 @@ def stage_unsized(df: DataFrame, partition_by: list[str] | None = None) -> DataF
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    with shuffles_removed(spark):
+        writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
