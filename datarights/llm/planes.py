@@ -202,8 +202,8 @@ class Encoder:
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.names = dict(enumerate(_byte_names()))
         self.most = most
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
@@ -234,20 +234,23 @@ class Encoder:
             data, at = code.tobytes(), (self.kind.itemsize * (at + 1)).tolist()
             yield from (data[a:b] for a, b in zip(at, at[1:]))
 
-    def _learn(self, parts: list[bytes]) -> None:
-        seen, known = self.new, {}
-        words = [p.decode() for p in parts]
-        stopped = {w for w in words if w[-1] in ".," and w[-2:-1].isalnum() and w[-2].isascii()}
-        stems = {w[:-1] if w in stopped else w for w in words}
-        letters = [w for w in stems if _LETTERS.fullmatch(w, w[0] <= "\n")]
-        rest = stems.difference(letters)
-        firsts = [w for w in rest if w[0] == "\0"]
-        others = list(rest.difference(firsts))
+    def _learn(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts not seen before, which are kept; a word is not encoded again for the stop or comma behind it."""
+        marks = [p[-1] if p[-1] in ".," and p[-2:-1].isalnum() and p[-2].isascii() else "" for p in parts]
+        stems = [p[:-1] if m else p for p, m in zip(parts, marks)]
+        bare = [s for s, m in zip(stems, marks) if m]
+        known = {s: code for s in bare if (code := self.new.get(s) or self.old.get(s))}
+        letters, firsts, others = [], [], []
+        for s in dict.fromkeys(stems):
+            if s not in known:
+                (letters if _LETTERS.fullmatch(s, s[0] <= "\n") else firsts if s[0] == "\0" else others).append(s)
         known.update(zip(letters, self._of_letters(letters), strict=True))
         known.update(zip(others, self._together(others), strict=True))
-        known.update((w, self._ids(w[1:]).tobytes()) for w in firsts)
-        mark = {c: self._ids(c).tobytes() for c in ".,"}
-        seen.update((p, known[w[:-1]] + mark[w[-1]] if w in stopped else known[w]) for p, w in zip(parts, words))
+        known.update((s, self._ids(s[1:]).tobytes()) for s in firsts)
+        mark = {c: self._ids(c).tobytes() for c in ".,"} | {"": b""}
+        found = [known[s] + mark[m] for s, m in zip(stems, marks)]
+        self.new.update(zip(parts, found))
+        return found
 
     def _plain(self, text: bytes) -> bool:
         """Whether the text's white space is single blanks and line breaks between words."""
@@ -266,18 +269,20 @@ class Encoder:
         ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 32) + 1
         starts = pa.py_buffer(np.append(0, ends).astype(np.int32).tobytes())
         coded = pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, starts, pa.py_buffer(data)]).dictionary_encode()
-        parts = [p[:-1] for p in coded.dictionary.to_pylist()]
+        distinct = coded.dictionary
+        parts = distinct.buffers()[2].slice(0, int(np.frombuffer(distinct.buffers()[1], np.int32)[len(distinct)])).to_pybytes().decode().split(" ")[:-1]
         if len(self.new) + len(parts) > self.most:
             self.new, self.old = {}, self.new
-        new, old, fresh = self.new, self.old, []
-        for part in parts:
-            if part not in new:
-                if part in old:
-                    new[part] = old[part]
-                else:
-                    fresh.append(part)
-        self._learn(fresh)
-        found = [new[p] for p in parts]
+        new, old = self.new, self.old
+        found, fresh = list(map(new.get, parts)), []
+        for i in [i for i, code in enumerate(found) if code is None]:
+            code = old.get(parts[i])
+            if code is None:
+                fresh.append(i)
+            else:
+                new[parts[i]] = found[i] = code
+        for i, code in zip(fresh, self._learn([parts[i] for i in fresh]), strict=True):
+            found[i] = code
         pool, width = np.frombuffer(b"".join(found), self.kind), self.kind.itemsize
         size = np.fromiter(map(len, found), np.int64, len(found)) // width
         which = coded.indices.to_numpy()

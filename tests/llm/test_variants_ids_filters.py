@@ -165,6 +165,17 @@ def test_encoder(spark):
         assert [b.tolist() + [2] for b in encoder.encode([t.encode() for t in texts])] == [plain_ids(t) for t in texts]
 
 
+def test_encoder_knows_stems():
+    """A word that was seen is not encoded again for the stop or comma behind it, nor what the older half still holds."""
+    texts = ["the velum kappa und Übermut", "a kappa, Übermut velum.", "velum, kappa. velum"]
+    encoder, asked = planes.Encoder(TOKENIZER, most=10), []
+    of_letters = encoder._of_letters
+    encoder._of_letters = lambda parts: asked.extend(parts) or of_letters(parts)
+    for t in texts:
+        assert encoder.encode([t.encode()])[0].tolist() + [2] == plain_ids(t)
+    assert sorted(asked) == sorted(["\0the", "velum", "kappa", "und", "Übermut", "\0a", "\0velum"]) and encoder.old
+
+
 @pytest.mark.parametrize("partitions", [1, 5])
 def test_files(spark, docs, rows, partitions):
     manifest = planes.write_ids(docs, TOKENIZER, file_ids=400, chunk=64, partitions=partitions)
