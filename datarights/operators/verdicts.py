@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from datarights.functions import text as t
 from datarights.operators.edges import (build_edges, enforcing_engines, loaded_modules, primitives, receivers, row_stores, synthetic_edges)
 from datarights.operators.entrypoints import entry_points, schedules_of, task_table
-from datarights.operators.graph import all_modes, first_paths, paths, reach
+from datarights.operators.graph import all_modes, first_paths, paths, reach, reach_states
 from datarights.operators.inventory import detect_stores, null, settings_facts, union
 from datarights.operators.resolve import Code, hub_members, propagate_bindings, references, tail_of, unmodelled
 from datarights.operators.scoring import REACHING
@@ -82,10 +82,13 @@ def classify_write(assigns: DataFrame, constants: DataFrame, r: Rules) -> DataFr
     return out.withColumn("write", kind).drop("_short", "_const")
 
 
-def writes_on(estate: Estate, on_path: DataFrame, r: Rules) -> DataFrame:
-    """First classified write per (model, column) in the symbols of `on_path` (repo_id, symbol)."""
+def writes_on(estate: Estate, on_path: DataFrame, r: Rules, bound: DataFrame | None = None) -> DataFrame:
+    """First classified write per (model, column) in the symbols of `on_path` (repo_id, symbol).
+
+    `bound`: the estate's bindings carried over its calls, where they are at hand."""
     code = estate.code
-    bound = propagate_bindings(estate.bindings, code.calls, code.symbols)
+    if bound is None:
+        bound = propagate_bindings(estate.bindings, code.calls, code.symbols)
     a = code.assigns.where("scope IS NOT NULL AND contains(target, '.')").select(
         "repo_id", F.col("scope").alias("symbol"), F.col("path").alias("file"), "line", "seq", "value_kind", "value", "keys",
         F.regexp_extract("target", r"^(.*)\.[^.]*$", 1).alias("var"), tail_of("target").alias("column"))
@@ -200,7 +203,7 @@ def verdicts(estate: Estate, r: Rules | None = None, extra_starts: DataFrame | N
     starts = entries.select("repo_id", "entry", F.col("entry").alias("node"), F.lit("none").alias("mode")).distinct()
     sure_states = stage(reach(edges, starts, resolved_only=True))
     sure = stage(first_paths(sure_states))
-    loose = stage(first_paths(reach(edges, starts, hubs=estate.hubs)))
+    loose = stage(reach_states(edges, starts, hubs=estate.hubs).select("repo_id", "entry", "node").distinct())
     who = entries.select("repo_id", "entry", F.col("name").alias("entry_name"), F.col("file").alias("entry_file"), F.col("line").alias("entry_line"), F.col("kind").alias("entry_kind"),
                          F.col("symbol").alias("entry_symbol"), F.col("flags").alias("entry_flags"))
     live = ~F.array_contains("entry_flags", "unscheduled")
@@ -211,11 +214,12 @@ def verdicts(estate: Estate, r: Rules | None = None, extra_starts: DataFrame | N
     walked = stage(sure.join(who.where(live), ["repo_id", "entry"]).select("repo_id", F.col("node").alias("symbol"), "entry", "entry_kind", "entry_flags").join(symbols, ["repo_id", "symbol"], "left_semi"))
 
     # writes on the path; markers only where the path is not a job's own
-    writes = stage(writes_on(estate, walked, r))
+    bound = propagate_bindings(estate.bindings, code.calls, code.symbols)
+    writes = stage(writes_on(estate, walked, r, bound))
     columns = stage(columns_under_test(stores, estate.fields, code, claimed))
     anon, field_verdicts = anonymisation(stores, columns, writes, relations)
     anon, field_verdicts = stage_all([anon, field_verdicts])
-    user_writes = writes_on(estate, walked.where(~F.col("entry_kind").isin(JOBS)), r).where("write = 'marker'")
+    user_writes = writes_on(estate, walked.where(~F.col("entry_kind").isin(JOBS)), r, bound).where("write = 'marker'")
     marks = stage(stores.where("model IS NOT NULL").select("repo_id", "store_id", "model").join(user_writes, ["repo_id", "model"]).groupBy("repo_id", "store_id").agg(
         F.min(F.struct("file", "line", "column")).alias("mark")))
 
@@ -262,7 +266,7 @@ def verdicts(estate: Estate, r: Rules | None = None, extra_starts: DataFrame | N
             "repo_id", F.lit("entry:*").alias("src"), F.col("entry").alias("dst"), F.lit("entry").alias("kind"), F.lit("").alias("file"), F.lit(0).alias("line"), F.lit("SE0").alias("rule"),
             F.lit(False).alias("ambiguous"), all_modes().alias("modes"), null().alias("sets_mode"), F.lit(False).alias("hub"), F.lit("").alias("note"))
         blocked = odd_on.select("repo_id", F.col("node").alias("entry"), F.col("dst").alias("node"))
-        round_ = reach(edges.unionByName(root.select(*edges.columns)), again, resolved_only=True, blocked=blocked)
+        round_ = reach_states(edges.unionByName(root.select(*edges.columns)), again, resolved_only=True, blocked=blocked)
         bypass = round_.where("entry = node").select("repo_id", "node").distinct()
         only_odd = stage(odd_on.select("repo_id", "node").distinct().join(bypass, ["repo_id", "node"], "left_anti"))
     versioned = estate.versioning.select("repo_id").distinct().withColumn("_versioned", F.lit(True))
@@ -377,7 +381,7 @@ def unverified_reasons(estate: Estate, edges: DataFrame, sure_hits: DataFrame, w
     frames = [say(split, 1, "R10"), say(ddl, 2, "R6"), say(restrict, 3, "R3b"), say(raw, 4, "R19")]
     if not origins.isEmpty():
         starts = origins.select("repo_id", F.concat_ws(":", "why", "node").alias("entry"), "node", F.lit("none").alias("mode"))
-        from_symbol = stage(reach(edges, starts, hubs=estate.hubs).select("repo_id", "entry", "node").distinct().join(node, ["repo_id", "node"]))
+        from_symbol = stage(reach_states(edges, starts, hubs=estate.hubs).select("repo_id", "entry", "node").distinct().join(node, ["repo_id", "node"]))
         frames.append(say(from_symbol.where("entry LIKE 'weak:%'"), 5, "R11"))
         frames.append(say(from_symbol.where("entry LIKE 'reference:%'"), 7, "R26 reference"))
     opaque = code.calls.where("rule = 'CG-12'").select("repo_id", F.substring_index("receiver", ".", 1).alias("client"), F.col("path").alias("file"))
