@@ -51,8 +51,9 @@ def check_citations(cites: DataFrame, files: DataFrame, line_table: DataFrame, s
     open_ = enclosing_span(seen.where("_early IS NULL AND has_symbol").select("cite_id", *keys, "line", "symbol"), spans, keys)
     rows = open_.select("cite_id", *keys, t.norm("symbol").alias("_want"), t.symbol_parts(F.col("symbol")).alias("_parts"), F.explode(
         F.sequence(F.coalesce("start", "line"), F.coalesce("end", "line"))).alias("line"))
-    # Tokens are made after the join: cited lines only, and of those only words near the symbol.
-    read = rows.join(line_table.select(*keys, "line", "text"), [*keys, "line"])
+    # Tokens are made after the join: cited lines only, and of those only words near the symbol. Lines are not sent
+    # whole to every executor: alike files are small on disk, and Spark judges their lines by that.
+    read = rows.join(line_table.select(*keys, "line", "text").hint("merge"), [*keys, "line"])
     read = read.withColumn("_tok", t.tokens_like("text", F.concat(F.array("_want"), "_parts")))
     found = read.groupBy("cite_id").agg(
         F.bool_or(F.array_contains("_tok", F.col("_want"))).alias("_whole"), F.first("_parts").alias("_parts"),

@@ -3,6 +3,8 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from datarights.operators import claims as cl, report, runlog as rl, scoring as sc
+from datarights.session import stage
+from datarights.sources import corpus as co
 
 CITE = "struct<file:string,line:int,symbol:string>"
 ERASURE = f"struct<verdict:string,evidence:array<{CITE}>,timer_days:int,note:string>"
@@ -103,3 +105,19 @@ def test_report_tables(spark):
     assert out["open_cells"].count() == 3
 
 
+def test_lines_of_alike_files_are_not_sent_whole(spark):
+    """Twelve thousand alike files are some kilobytes on disk; their lines, joined to the cited ones, are not broadcast."""
+    text = "\n".join(f"x{i} = 'pad'" for i in range(20))
+    files = stage(spark.range(12_000).select(F.col("id").cast("string").alias("file"), F.lit(text).alias("text")))
+    cites = stage(files.select("file", F.lit(3).alias("line"), F.when(F.col("file") == "7", "gone").otherwise("x2").alias("symbol"), F.lit(True).alias("has_symbol"),
+                               F.lit(False).alias("scanned_only"), F.col("file").cast("bigint").alias("cite_id")))
+    read = files.join(cites.select("file").distinct(), ["file"], "left_semi")
+    spans = spark.createDataFrame([], "file string, start int, end int")
+    checked = cl.check_citations(cites, read.select("file", F.lit(20).alias("n_lines"), F.lit(True).alias("scanned")), co.lines(read, ["file"]), spans, [])
+    plan = checked._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = [len(p) - len(p.lstrip(" :+-")) for p in plan]
+    for i in (i for i, p in enumerate(plan) if "BroadcastExchange" in p):
+        below = next((j for j in range(i + 1, len(plan)) if depth[j] <= depth[i]), len(plan))
+        assert not any("Generate posexplode" in p for p in plan[i:below]), plan[i]
+    assert any("Generate posexplode" in p for p in plan)
+    assert rows(checked.where("problem IS NOT NULL"), "file", "problem") == [("7", "symbol_absent")]
