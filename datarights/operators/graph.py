@@ -12,10 +12,12 @@ times candidates is never written out.
 
 from __future__ import annotations
 
+from contextlib import ExitStack
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from datarights.session import cut
+from datarights.session import bucketed, cut, stage
 
 MODES = ["none", "model_delete", "queryset_delete", "db_cascade", "session_delete", "bulk_dml", "raw_sql"]
 #: Edge kinds a search may follow before any primitive has set a mode.
@@ -134,7 +136,8 @@ def reach_states(edges: DataFrame, starts: DataFrame, *, hubs: DataFrame | None
 
     Where no path is shown, a search of a node is one row: its modes, before and after a node of `must_pass`, are
     bits of a number. So an edge is followed once for all states that come by in a round, candidates are
-    added up before they are shuffled, and nothing is sorted but keys. Arguments are those of `reach`.
+    added up before they are shuffled, and nothing is sorted but keys. Edges and rounds are written tables, whose
+    shuffle files go at once. Arguments are those of `reach`.
     """
     n, width = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(MODES)
     if "hub" not in edges.columns:
@@ -146,10 +149,7 @@ def reach_states(edges: DataFrame, starts: DataFrame, *, hubs: DataFrame | None
     allowed = F.aggregate(F.transform("modes", _mode_bit), F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b))
     searched = F.when(F.col("kind").isin(ADMISSIBLE_IN_NONE), allowed).otherwise(allowed.bitwiseAND(F.lit(~(1 << MODES.index("none")))))
     sets = F.when(F.col("sets_mode").isNotNull(), _mode_bit(F.col("sets_mode")))
-    links = (edges.select("repo_id", "src", "dst", "hub", sets.alias("_sets"), searched.alias("_allowed"))
-             .groupBy("repo_id", "src", "dst", "hub", "_sets").agg(F.bit_or("_allowed").alias("_allowed")).where("_allowed <> 0")
-             # a given number of sorted parts, so that no round deals or sorts the edges anew
-             .repartition(n, "repo_id", "src").sortWithinPartitions("repo_id", "src").persist())
+    steps = edges.select("repo_id", "src", "dst", "hub", sets.alias("_sets"), searched.alias("_allowed")).where("_allowed <> 0")
     keys = ["repo_id", "entry", "node"]
     hit = None if must_pass is None else must_pass.select("repo_id", "node", F.lit(True).alias("_hit")).distinct()
     bits = F.col("bits")
@@ -164,9 +164,12 @@ def reach_states(edges: DataFrame, starts: DataFrame, *, hubs: DataFrame | None
         through = part.bitwiseAND(F.col("_allowed"))
         return F.when(through == 0, F.lit(0).cast("bigint")).otherwise(F.coalesce("_sets", through))
 
-    try:
+    with bucketed(steps, n, ["repo_id", "src"]) as table, ExitStack() as held:
+        # added up and sorted within buckets, so that no round deals or sorts the edges anew
+        links = table.groupBy("repo_id", "src", "dst", "hub", "_sets").agg(F.bit_or("_allowed").alias("_allowed")).sortWithinPartitions("repo_id", "src").persist()
+        held.callback(links.unpersist)
         begin = F.bit_or(_mode_bit(F.col("mode")) if must_pass is not None else F.shiftleft(_mode_bit(F.col("mode")), width)).alias("bits")
-        frontier = cut(passed(starts.groupBy(*keys).agg(begin)).withColumn("depth", F.lit(0)))
+        frontier = stage(passed(starts.groupBy(*keys).agg(begin)).withColumn("depth", F.lit(0)))
         visited, depth = frontier, 0
         while not frontier.isEmpty():
             depth += 1
@@ -182,12 +185,10 @@ def reach_states(edges: DataFrame, starts: DataFrame, *, hubs: DataFrame | None
             found = passed(found.groupBy(*keys).agg(F.bit_or("bits").alias("bits")))
             seen = visited.groupBy(*keys).agg(F.bit_or("bits").alias("_seen"))
             fresh = found.join(seen, keys, "left").withColumn("bits", bits.bitwiseAND(F.bitwise_not(F.coalesce("_seen", F.lit(0).cast("bigint"))))).where("bits <> 0")
-            frontier = cut(fresh.select(*keys, "bits", F.lit(depth).alias("depth")))
+            frontier = stage(fresh.select(*keys, "bits", F.lit(depth).alias("depth")))
             visited = visited.unionByName(frontier)
             if depth % compact_every == 0:
-                visited = cut(visited)
-    finally:
-        links.unpersist()
+                visited = stage(visited)
     states = F.array(*[F.when(bits.bitwiseAND(F.lit(1 << (i + width * p))) != 0, F.struct(F.lit(m).alias("mode"), F.lit(bool(p)).alias("passed"))) for p in (0, 1) for i, m in enumerate(MODES)])
     return visited.select(*keys, F.inline(F.array_compact(states)), "depth").select(*STATE, "depth")
 

@@ -128,6 +128,20 @@ def stage(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return _sized(df, lambda rows: stage_unsized(rows, partition_by))
 
 
+@contextmanager
+def bucketed(df: DataFrame, parts: int, keys: list[str]):
+    """`df` dealt to a table of `parts` buckets by `keys`: aggregations and joins by them read it without a shuffle.
+
+    Cached behind a shuffle, it would leave the shuffle's files beside it; these go when the table is written."""
+    spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
+    try:
+        with shuffles_removed(spark):
+            df.repartition(parts, *keys).write.bucketBy(parts, *keys).option("path", scratch_path(spark, "buckets")).saveAsTable(name, format="parquet")
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def stage_all(frames: list[DataFrame], threads: int = 6) -> list[DataFrame]:
     """Stage independent tables side by side, so that small jobs fill the cluster together."""
     if not frames:

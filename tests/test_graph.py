@@ -1,12 +1,15 @@
 """The reach operator against a plain breadth-first search, and its small print."""
 
 import random
+import time
 from collections import deque
 
 from pyspark.sql import functions as F
 
 from conftest import rows
-from datarights.operators.graph import ADMISSIBLE_IN_NONE, EDGE_SCHEMA, MODES, closure, first_paths, package_seeds, paths, reach, reach_states, reach_two_pass
+from datarights.operators.graph import ADMISSIBLE_IN_NONE, EDGE_SCHEMA, MODES, closure, first_paths, mode_array, package_seeds, paths, reach, reach_states, reach_two_pass
+from datarights.plans.graph_queries import part_supplier_edges
+from test_session import shuffle_files
 
 START = "repo_id string, entry string, node string, mode string"
 
@@ -193,3 +196,31 @@ def test_cascade_over_circles(spark):
                      Relation("b", "c", "id", "b", "CASCADE"), Relation("a", "d", "id", "a", "SET_NULL"), Relation("b", "d", "id", "b", rng.choice(["PROTECT", "DO_NOTHING"]))]
         frames = {s: spark.createDataFrame([tuple(r.values()) for r in rows_], ", ".join(f"{k} int" for k in rows_[0])) for s, rows_ in tables.items()}
         assert rows(erase_cascade(frames, relations, "a", F.col("id") < 3)) == plain_cascade(tables, relations, "a", lambda r: r["id"] < 3)
+
+
+def test_search_of_states_leaves_no_shuffle_files(spark):
+    """Edges and rounds are written tables: what dealt them out is gone when the search ends, as is the edges' table."""
+    edges = spark.range(400).select(F.lit("r").alias("repo_id"), F.concat(F.lit("n"), (F.col("id") % 40).cast("string")).alias("src"), F.concat(F.lit("n"), ((F.col("id") * 7 + 1) % 40).cast("string")).alias("dst"),
+                                    F.lit("call").alias("kind"), F.lit(False).alias("ambiguous"), mode_array(MODES).alias("modes"), F.lit(None).cast("string").alias("sets_mode"))
+    starts = spark.createDataFrame([("r", "e", "n0", "none")], "repo_id string, entry string, node string, mode string")
+    before = shuffle_files(spark)
+    found = reach_states(edges, starts)
+    until = time.time() + 20  # they are removed beside the next job
+    while (left := shuffle_files(spark) - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left
+    assert not [x.name for x in spark.catalog.listTables() if x.name.startswith("bucketed_")]
+    assert rows(found, "node", "depth") == [("n0", 0), ("n1", 1), ("n17", 3), ("n8", 2)]
+
+
+def test_edges_of_odd_lines(spark, tmp_path):
+    """Every edge once, whatever lines repeat or lack, and without both keys there and back are one edge."""
+    lines = [(1, 2, "A", "O"), (1, 2, "A", "F"), (1, 2, "A", "O"), (1, 2, "N", None), (1, 2, None, "O"), (1, 2, "X", "O"), (None, 2, "R", "F"), (1, None, "R", "O"), (None, None, "A", "O"), (None, None, "N", "O")]
+    spark.createDataFrame(lines, "l_partkey bigint, l_suppkey bigint, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    every, want = tuple(MODES), set()
+    for p, s, flag, status in lines:
+        part, supp = None if p is None else f"p{p}", None if s is None else f"s{s}"
+        want.add((supp, part, {"A": "call", "R": "SE12"}.get(flag, "SE1"), ("model_delete", "queryset_delete") if flag == "N" else every, "model_delete" if flag == "R" else None))
+        want.add((part, supp, "call" if status == "O" else "SE8", every if status == "O" else ("model_delete",), None))
+    got = [(r["src"], r["dst"], r["kind"], tuple(r["modes"]), r["sets_mode"]) for r in part_supplier_edges(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
