@@ -1,5 +1,6 @@
 """Ancestors of classes: one row each, however many ways lead there."""
 
+from datarights.operators import resolve
 from datarights.operators.resolve import linearise
 
 BASES = "repo_id string, cls string, ord int, sub int, base string, via string"
@@ -51,3 +52,16 @@ def test_each_way_is_written_once(spark):
     assert (top.path, top.named_path, top.imported) == (step(0, 0, "m") + step(0, 0, "t") + step(0, 0, "o"), step(0, 1, "n") + step(0, 0, "t") + step(0, 0, "o"), False)
     assert got["d", "t"].imported and got["d", "d"].path == "" and got["d", "m"].named_path is None and not got["d", "m"].named
     assert got["x", "o"].path == step(0, 0, "y") + step(1, 0, "o") and got["y", "o"].path == step(1, 0, "o")
+
+
+def test_depths_leave_no_shuffle_files(spark, monkeypatch):
+    """What a depth shuffled is gone when its ways are written; the last shuffle is that of the result."""
+    seen, removed = [], resolve.shuffles_removed
+
+    def watched(session):
+        seen.append(session)
+        return removed(session)
+    monkeypatch.setattr(resolve, "shuffles_removed", watched)
+    got = run(spark, [("d", 0, 0, "m", "imported"), ("m", 0, 0, "t", "imported"), ("t", 0, 0, "o", "local")])
+    assert len(seen) == 4  # one job for each depth
+    assert len(got) == 10
